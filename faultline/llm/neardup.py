@@ -26,7 +26,7 @@ KEPT, RETRIEVE, SHARED = 64, 16, 5
 #: Pairs whose estimate is more than so many standard errors below the threshold aren't compared.
 ERRORS = 4.5
 #: Lists up to LIST are paired in full; longer ones with PIVOTS of their members first, then across what is still apart.
-LIST, PIVOTS, BLOCK, DEEP = 24, 6, 1024, 512
+LIST, PIVOTS, BLOCK, DEEP = 24, 3, 1024, 512
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
@@ -227,7 +227,8 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
     short = lists.where(F.col("m") <= LIST)
     pairs = short.select("value", F.col("cid").alias("a")).join(short.select("value", F.col("cid").alias("b")), "value").where("a > b").select("a", "b")
     long = lists.where(F.col("m") > LIST)
-    pivots = long.groupBy("value").agg(F.expr(f"min_by(cid, xxhash64(cid, value, 0))").alias("p0"), *(F.expr(f"min_by(cid, xxhash64(cid, value, {k}))").alias(f"p{k}") for k in range(1, PIVOTS)))
+    # the order of members is the same in all lists, so that lists of one group agree on pivots
+    pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
     star = long.join(pivots, "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p").select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
     pairs = materialize(pairs.unionByName(star).distinct(), "pairs")
     links = _linked(materialize(_close(pairs, own, classes, t), "close"), documents, classes, n, t)
