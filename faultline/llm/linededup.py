@@ -72,7 +72,8 @@ def deletions(documents: DataFrame, least: int = LEAST) -> DataFrame:
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without the later copies of repeated runs of `least` lines or more, with n_lines (before) and n_deleted."""
     gone = materialize(deletions(documents, least), "deletions").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
-    out = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__print")), "left")
+    # always a shuffle: the plan is the same at every size, and skew is split at run time
+    out = documents.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__print")), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     left = F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(stays, lambda i: F.get(x, i)), "\n")), 1)
