@@ -128,21 +128,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _sample(documents: DataFrame) -> list[tuple[str, bytes]]:
+    """(label, window) of at most SAMPLE labelled documents that aren't held out, EACH windows or fewer of each.
+
+    Only ids are ranked; the texts of the chosen ones are cut into windows where they are. Of rows that share an id, the
+    least text stands for all.
+    """
+    usable = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    one = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                x, text, size = windows(*string_buffers(part.column(1)))
+                n = np.bincount(text, minlength=part.num_rows)
+                nth = np.arange(len(text)) - np.concatenate(([0], np.cumsum(n)))[text]
+                chosen = (size >= WINDOW // 4) | (n[text] == 1)
+                chosen = np.flatnonzero(chosen & ((nth * EACH // n[text]) != ((nth - 1) * EACH // n[text])))
+                rows = pa.array(text[chosen])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array([x[k].tobytes() for k in chosen], pa.binary())], names=["doc_id", "lang", "window"])
+
+    return [(r[1], bytes(r[2])) for r in sorted(one.mapInArrow(run, "doc_id long, lang string, window binary").collect())]
+
+
 def train(documents: DataFrame) -> ByteNet | None:
-    """A network trained on at most SAMPLE labelled documents that aren't held out; None if there are none."""
-    usable = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    rows = usable.orderBy(F.xxhash64("doc_id"), "text", "lang").select("text", "lang").limit(SAMPLE).collect()
+    """A network trained on the sample; None if there is no labelled row."""
+    ship(documents.sparkSession)
+    rows = _sample(documents)
     if not rows:
         return None
-    labels = sorted({r[1] for r in rows})
-    data, offsets = string_buffers(pa.array([r[0] for r in rows], pa.large_string()))
-    x, text, size = windows(data, offsets)
-    n = np.bincount(text, minlength=len(rows))
-    nth = np.arange(len(text)) - np.concatenate(([0], np.cumsum(n)))[text]
-    chosen = (size >= WINDOW // 4) | (n[text] == 1)
-    chosen &= (nth * EACH // n[text]) != ((nth - 1) * EACH // n[text])
+    labels = sorted({lang for lang, _ in rows})
     net = ByteNet(labels)
-    net.train(x[chosen], np.array([labels.index(r[1]) for r in rows])[text[chosen]])
+    net.train(np.stack([np.frombuffer(w, np.uint8) for _, w in rows]), np.array([labels.index(lang) for lang, _ in rows]))
     return net
 
 
