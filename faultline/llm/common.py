@@ -77,7 +77,7 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes, so that memory doesn't follow the batch (one row at least)."""
     _, offsets = string_buffers(batch.column(batch.schema.get_field_index(name)))
     start = 0
