@@ -98,7 +98,7 @@ def _label(attrs: dict[str, str]) -> str:
 
 def read_dot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all files that the path names; a file's folder is its service."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("service"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("service"), F.decode("content", "UTF-8").alias("text"))
 
     def node_rows(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -121,7 +121,7 @@ def read_dot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _named(attrs: dict[str, str]) -> str:
-    found = re.search(r'name:\s*"([^"]+)"', clean(attrs.get("label")))
+    found = re.search(r'name:\s*"([^"]+)"', html.unescape(attrs.get("label") or ""))
     return found[1] if found else ""
 
 
