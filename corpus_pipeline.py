@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, linededup, mixing, neardup, quality
 from faultline.llm.common import materialize, table
@@ -14,7 +15,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    # an exploded flag and not a filter: a filter would be pushed below and work out all counts a second time
+    return judged.select(*COLUMNS, F.explode(F.filter(F.array("kept"), lambda x: x)).alias("__kept")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
