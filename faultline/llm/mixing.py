@@ -29,7 +29,7 @@ def size_of(text: Column) -> Column:
     """Words of a text: its pieces between white space, less empty ones at either end."""
     pieces = F.size(F.split(F.coalesce(text, F.lit("")), SPACE))
     at_start = F.coalesce(text, F.lit("")).rlike(r"^[\x20\x09-\x0D]").cast("int")
-    at_end = F.coalesce(text, F.lit("")).rlike(r"[\x20\x09-\x0D]$").cast("int")
+    at_end = F.coalesce(text, F.lit("")).rlike(r"[\x20\x09-\x0D]\z").cast("int")
     blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return F.when(blank, 0).otherwise(pieces - at_start - at_end).cast("long")
 

@@ -32,7 +32,7 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """One name for a page: host without www. and port, path without trailing slashes; scheme, query and fragment go."""
-    return F.when(host != "", F.concat(F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", ""), F.regexp_replace(path, r"/+$", "")))
+    return F.when(host != "", F.concat(F.regexp_replace(F.regexp_replace(host, r":[0-9]*\z", ""), r"^www\.", ""), F.regexp_replace(path, r"/+\z", "")))
 
 
 def _mask(key: Column) -> Column:
