@@ -194,13 +194,21 @@ def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last place of each window of a batch. Suffixes of one key come together, so of a passage that very
+    many documents have few rows are left to be counted."""
     for whole in batches:
         for at in range(0, whole.num_rows, 8192):
             part = whole.slice(at, 8192)
             hashes, good = _windows(_around(part))
             r, c = np.nonzero(good)
-            pos = part.column(3).to_numpy()[r] - LEFT + c
-            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array(pos.astype(np.int32)), pa.array(hashes[r, c].view(np.int64))], names=["doc_id", "print", "start", "window"])
+            window, start = hashes[r, c], part.column(3).to_numpy()[r] - LEFT + c
+            given = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+            doc_id, mark = part.column(1).fill_null(0).to_numpy(), part.column(2).to_numpy()
+            order = np.lexsort((start, mark[r], doc_id[r], given[r], window))
+            change = window[order][1:] != window[order][:-1]
+            ends = np.unique(np.concatenate((np.flatnonzero(np.concatenate(([True], change))), np.flatnonzero(np.concatenate((change, [True])))))) if len(order) else order
+            keep = order[ends]
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(r[keep])), part.column(2).take(pa.array(r[keep])), pa.array(start[keep].astype(np.int32)), pa.array(window[keep].view(np.int64))], names=["doc_id", "print", "start", "window"])
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
@@ -226,7 +234,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     # matches with suffixes that aren't neighbours: windows within reach, looked up among those of the same keys
     free = matches.where(F.col("kind") == OPEN).select("key", "doc_id", "print", "start", "end", "window")
     every = suffixes.join(free.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "print", "pos", "around")
-    every = every.mapInArrow(_all_windows, "doc_id long, print long, start int, window long").join(free.select("window").distinct(), "window", "left_semi")
+    every = every.sortWithinPartitions("key").mapInArrow(_all_windows, "doc_id long, print long, start int, window long").join(free.select("window").distinct(), "window", "left_semi")
     place = F.struct("doc_id", "print", "start")
     twice = every.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window", F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
     late = free.join(twice, "window").select("doc_id", "print", "start", "end", F.when(F.col("x") == F.col("doc_id"), F.col("y")).otherwise(F.col("x")).alias("other"))
