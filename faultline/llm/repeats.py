@@ -23,6 +23,8 @@ from .common import Words, drop_tables, materialize, mix, ship, text_slices
 #: A passage's words, the words that a suffix is keyed by, and so the keys among which the smallest is selected.
 SHORTEST, KEY = 50, 11
 CHOICE = SHORTEST - KEY + 1
+#: A key that at least this part (one in so many) of all suffixes have is joined without a shuffle.
+HOT = 1000
 #: Suffixes are compared so far right (from their first word on) and left.
 RIGHT, LEFT = SHORTEST, CHOICE - 1
 
@@ -219,11 +221,14 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = _documents(documents)
     anchors = materialize(_anchors(docs), "anchors")
-    again = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = anchors.join(again, "key", "left_semi").groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    again = materialize(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    # keys that so large a share of all suffixes have are HOT at most; their suffixes stay where they are
+    hot = F.broadcast(again.where(F.col("n") * HOT >= anchors.count()).select("key"))
+    kept = anchors.join(hot, "key", "left_semi").unionByName(anchors.join(hot, "key", "left_anti").join(again.select("key"), "key", "left_semi"))
+    places = kept.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     joined = docs.join(places.withColumnsRenamed({"doc_id": "d", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).dropDuplicates(["doc_id", "print"]).select("doc_id", "text", "print", "places")
     suffixes = materialize(_suffixes(joined), "suffixes")
-    drop_tables(spark, anchors)
+    drop_tables(spark, anchors, again)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a range, so that a passage that very many documents have is split between tasks
     ordered = suffixes.repartitionByRange(parts, "key", "around", "doc_id", "pos").sortWithinPartitions("key", "around", "doc_id", "pos")
