@@ -123,8 +123,8 @@ def aggregation_stats(found: DataFrame) -> DataFrame:
 
 def similar_patterns(errors: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """Leader clustering within each service and type, in row order: a message joins the most similar leader (the first of
-    ties) at or above the threshold, or becomes one. Equal token sets join one leader, so each distinct set is one step;
-    groups stream through the task in bounded batches and only leaders' token sets are held.
+    ties) at or above the threshold, or becomes one. Equal token sets join one leader, so each distinct set is one step:
+    one task holds the distinct token sets of a service and type, never its rows.
     """
     rows = signed(errors, "mine").select("row_id", "timestamp", "service", "error_type", "message", X.word_tokens(F.col("normalized")).alias("tokens"))
     sets = rows.groupBy("service", "error_type", "tokens").agg(F.min("row_id").alias("first_row"))
