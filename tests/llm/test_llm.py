@@ -163,6 +163,22 @@ def test_quality_counts_like_python(spark):
     assert np.mean([g.kept for g in good]) > 0.98
 
 
+@pytest.mark.parametrize(("scale", "part", "most"), [("sf0.001", 1, 0.1), ("sf0.01", 1, 0.1), ("sf0.01", 8, 0.35), ("sf0.1", 1, 0.1), ("sf0.1", 64, 0.35)])
+def test_quality_rejects_labelled_junk_at_every_size(spark, scale, part, most):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.where(F.pmod(F.xxhash64(F.lit("x"), "doc_id"), F.lit(part)) == 0)
+    rows = quality.judge(docs, few).where("not base_failed").join(labels, "doc_id").where("coalesce(toxic, 0) = 0").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in rows}
+    assert kept[0] < most and kept[1] > 0.95, kept
+
+
+def test_quality_without_two_trusted_documents(spark):
+    docs = odd(spark, [(i, " ".join(f"w{i}x{k}" for k in range(30)), "s") for i in range(4)])
+    for rows in ([], [(0, 1, 0)]):
+        got = quality.judge(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+        assert got.where("kept").count() == 4 and "__least" not in got.columns
+
+
 def base_spans(text):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
