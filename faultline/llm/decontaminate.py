@@ -2,7 +2,8 @@
 
 TF-IDF passages are projected by a distributed randomised SVD; cosine search of every document window against every
 benchmark passage gives candidates; the longest common subsequence of words and a check of the passage's last sentence
-(its answer) confirm them, so passages with a few words changed, dropped or inserted are found too.
+(its answer) confirm them, so passages with a few words changed, dropped or inserted are found too. A long passage is
+searched by its pieces; any of them that is found has the whole passage verified around it.
 
 Defined results: null or blank texts on either side match nothing; equal benchmark items are each reported; rows that
 share a doc_id are judged one by one and reported once per (doc_id, item_id), best match first. Other columns are ignored.
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import Words, ship, text_slices
 
-#: Benchmark passages held at once; a larger benchmark is searched in blocks of so many, one pass over the documents each.
+#: Pieces of benchmark passages held at once; a larger benchmark is searched in blocks of so many, one pass over the documents each.
 ITEMS = 4096
 RANK, OVERSAMPLE, POWER, FEATURES = 64, 16, 2, 1 << 14
-#: Windows of so many words, at a quarter's distance: a passage is searched with the smallest that holds it whole in one.
+#: Windows of so many words, at a quarter's distance: a piece is searched with the smallest that holds it whole in one.
 WIDTHS = (16, 32, 64, 128, 256, 512)
+#: Longer passages are cut into equal pieces of so many words at most, which the widest windows hold whole.
+PIECE = WIDTHS[-1] * 3 // 4
 #: Weights are inverse document frequencies to this power. A candidate's cosine at least, and the share at least of the
-#: passage's length in latent space that its window reaches in the passage's direction. Of a match at least: the share of the passage's words in a common subsequence with the
+#: piece's length in latent space that its window reaches in the piece's direction. Of a match at least: the share of the passage's words in a common subsequence with the
 #: window, the same share of its last sentence, and the share of its inverse document frequencies that the window has.
 SHARP, COSINE, REACH, LCS, ANSWER, MASS = 1.5, 0.5, 0.4, 0.7, 0.5, 0.6
 
@@ -45,7 +48,7 @@ def _lcs(a: list[int], b: list[int]) -> int:
 
 
 class Benchmark:
-    """Passages as word hashes, their vocabulary, and where each one's last sentence begins."""
+    """Passages as word hashes, their vocabulary, where each one's last sentence begins, and their pieces: (passage, first word, end)."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         w = Words(pa.array([t for _, t in rows], pa.string()))
@@ -55,6 +58,7 @@ class Benchmark:
         for a, b in zip(w.first[:-1], w.first[1:], strict=True):
             ends = [k - a + 1 for k in range(a, b - 1) if int(w.data[w.end[k] - 1]) in _STOP]
             self.answer.append(next((e for e in reversed(ends) if b - a - e >= 3), max(0, (b - a) - max(3, (b - a) // 4))))
+        self.pieces = [(i, len(x) * k // n, len(x) * (k + 1) // n) for i, x in enumerate(self.words) for n in [max(1, -(-len(x) // PIECE))] for k in range(n)]
         self.vocabulary = np.unique(w.hash)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -70,11 +74,15 @@ class Benchmark:
         out[maybe[good]] = place[good]
         return out
 
+    def piece(self, k: int) -> np.ndarray:
+        i, a, b = self.pieces[k]
+        return self.words[i][a:b]
+
     def matrix(self, idf: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """TF-IDF rows of length one of some passages."""
+        """TF-IDF rows of length one of some pieces."""
         out = np.zeros((len(which), self.n_features), np.float32)
         for k, i in enumerate(which):
-            place = self.find(self.words[i])
+            place = self.find(self.piece(i))
             np.add.at(out[k], self.feature[place], idf[place])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -107,14 +115,14 @@ def document_frequencies(documents: DataFrame, bench: Benchmark) -> tuple[np.nda
 
 
 def randomised_svd(spark: SparkSession, bench: Benchmark, idf: np.ndarray) -> np.ndarray:
-    """Right singular vectors (features x rank) of the passages' TF-IDF matrix A.
+    """Right singular vectors (features x rank) of the pieces' TF-IDF matrix A.
 
     Executors multiply their rows: A' (A Q) is a sum over rows, so each round sends back one bounded sum.
     """
     rng = np.random.default_rng(7)
     basis = rng.standard_normal((bench.n_features, min(RANK + OVERSAMPLE, bench.n_features))).astype(np.float32)
-    parts = max(1, min(64, len(bench.ids) // 256))
-    rows = spark.range(len(bench.ids)).repartition(parts, "id") if parts > 1 else spark.range(0, len(bench.ids), 1, 1)
+    parts = max(1, min(64, len(bench.pieces) // 256))
+    rows = spark.range(len(bench.pieces)).repartition(parts, "id") if parts > 1 else spark.range(0, len(bench.pieces), 1, 1)
 
     for _ in range(POWER + 1):
         q, _ = np.linalg.qr(basis)
@@ -136,20 +144,20 @@ def randomised_svd(spark: SparkSession, bench: Benchmark, idf: np.ndarray) -> np
 
 
 class Index:
-    """Passages in latent space by the width of their windows, and the search of documents against them."""
+    """Pieces in latent space by the width of their windows, and the search of documents against them."""
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, right: np.ndarray) -> None:
         self.bench, self.idf = bench, idf
         self.table = np.vstack([right[bench.feature] * idf[:, None], np.zeros((1, right.shape[1]))]).astype(np.float32)  # the last: other words
         self.mass = [float(idf[bench.find(w)].sum()) for w in bench.words]
         self.groups = []
-        lengths = np.array([len(w) for w in bench.words])
+        lengths = np.array([b - a for _, a, b in bench.pieces])
         for k, width in enumerate(WIDTHS):
             low, high = (WIDTHS[k - 1] * 3 // 4 if k else 0), width * 3 // 4
-            own = np.flatnonzero((lengths > low) & ((lengths <= high) | (k == len(WIDTHS) - 1)))
+            own = np.flatnonzero((lengths > low) & (lengths <= high))
             if len(own):
                 latent = bench.matrix(idf, own) @ right
-                self.groups.append((width, own, np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T), np.array([REACH * np.linalg.norm(self.table[bench.find(bench.words[i])].sum(axis=0)) for i in own], np.float32)))
+                self.groups.append((width, own, np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T), np.array([REACH * np.linalg.norm(self.table[bench.find(bench.piece(i))].sum(axis=0)) for i in own], np.float32)))
 
     def search(self, w: Words) -> Iterator[tuple[int, int, int, int, float, float]]:
         """(text, passage, first word, words, cosine, share of the passage found) for the texts' words."""
@@ -160,6 +168,7 @@ class Index:
         base = np.concatenate(([0], np.cumsum(blocks)))
         if not base[-1]:
             return
+        tried: set[tuple[int, int, int]] = set()
         text = np.repeat(np.arange(len(count)), blocks)
         fine = np.add.reduceat(self.table[place], w.first[text] + (np.arange(len(text)) - base[text]) * finest, axis=0)
         for width, own, latent, reach in self.groups:
@@ -174,18 +183,24 @@ class Index:
                 if len(text) > k:
                     window[:-k] += sums[k:] * (text[k:] == text[:-k])[:, None]
             norm = np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            # a passage beyond the widest window is found by the part of it that the window holds
             for at in range(0, len(window), 8192):
                 dot = window[at : at + 8192] @ latent
                 cosine = dot / norm[at : at + 8192]
                 near = (dot >= reach) & (cosine >= COSINE)
                 for i, j in zip(*np.nonzero(near), strict=True):
-                    item = own[j]
-                    span = max(width, len(self.bench.words[item]) * 5 // 4)
-                    a = max(w.first[text[at + i]], start[at + i] - step)
-                    b = min(w.first[text[at + i] + 1], start[at + i] + span + step)
+                    item, begin, end = self.bench.pieces[own[j]]
+                    one, long = text[at + i], len(self.bench.words[item])
+                    if end - begin == long:
+                        a, b = start[at + i] - step, start[at + i] + max(width, long * 5 // 4) + step
+                    else:  # around the passage's likely first word, from multiples of a quarter, so pieces share what is verified
+                        a = w.first[one] + (start[at + i] - begin - long // 4 - w.first[one]) // (long // 4) * (long // 4)
+                        b = a + long // 4 * 7 + width
+                        if (one, item, a) in tried:
+                            continue
+                        tried.add((one, item, a))
+                    a, b = max(w.first[one], a), min(w.first[one + 1], b)
                     if found := self.verify(item, w.hash[a:b], place[a:b]):
-                        yield int(text[at + i]), int(item), int(a - w.first[text[at + i]]), int(b - a), float(cosine[i, j]), found
+                        yield int(one), int(item), int(a - w.first[text[at + i]]), int(b - a), float(cosine[i, j]), found
 
     def verify(self, item: int, hashes: np.ndarray, place: np.ndarray) -> float | None:
         own = self.bench.words[item]
@@ -204,6 +219,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     docs = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     block: list[tuple[int, str]] = []
+    held = 0
     found = []
 
     def search(rows: list[tuple[int, str]]) -> None:
@@ -227,10 +243,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found.append(docs.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, cosine double, share double"))
 
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == ITEMS:
+        own = max(1, -(-len(row[1].split()) // PIECE))
+        if block and held + own > ITEMS:
             search(block)
-            block = []
+            block, held = [], 0
+        block.append((row[0], row[1]))
+        held += own
     if block:
         search(block)
     if not found:

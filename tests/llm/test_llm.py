@@ -120,6 +120,28 @@ def test_leaks_and_paraphrases(spark):
     assert found <= wanted and len(found) >= len(wanted) - 1 and {w for w in wanted if w[0] % 8 == 0} <= found
 
 
+def test_leaks_of_long_passages(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common_words = [word() for _ in range(300)]
+    text = lambda n: [rng.choice(common_words) if rng.random() < 0.6 else word() for _ in range(n)]
+    items = [text(n) for n in (60, 390, 1000, 3000, 12_000)]
+    docs, wanted = [], set()
+    for d in range(40):
+        body = text(rng.randrange(5, 6000))
+        if d % 2 == 0:
+            i = d // 2 % len(items)
+            passage = items[i] if d < 20 else [x for w in items[i] for x in rng.choices(([w], [word()], [], [w, word()]), (84, 8, 4, 4))[0]]
+            at = rng.randrange(len(body))
+            body[at:at] = passage
+            wanted.add((d, i))
+        elif d % 4 == 1:
+            body += items[3][: 1500 if d % 8 == 1 else 384]  # half of a passage is none
+        docs.append((d, " ".join(body), "s"))
+    found = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(odd(spark, docs), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()}
+    assert set(found) == wanted and all(found[d, i] == 1 for d, i in wanted if d < 20)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
