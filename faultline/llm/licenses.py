@@ -29,7 +29,7 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-short": "GNU General Public License, version 3",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -38,7 +38,37 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
+    "LGPL": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+# Short forms: so few words (eight at most) that a match has all of them, as the version is often the last.
+SHORT = {
+    "MIT": ["Licensed under the MIT License", "Distributed under the MIT License", "Available under the MIT License", "Under the terms of the MIT License", "The MIT License (MIT)", "Licensed under MIT"],
+    "Apache-2.0": ["Licensed under the Apache License 2.0", "Licensed under the Apache 2.0 License", "Licensed under Apache 2.0", "Apache License, Version 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GNU GPL version 2", "Licensed under the GPL version 2", "Licensed under the GPLv2", "Licensed under GPLv2"],
+    "GPL-3.0": ["GNU General Public License v3", "GNU GPL version 3", "Licensed under the GPL version 3", "Licensed under the GPLv3", "Licensed under GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL version 2.1", "Licensed under the LGPL version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "GNU LGPL version 3", "Licensed under the LGPL version 3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "Licensed under the AGPL version 3"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "BSD 2-Clause License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "BSD 3-Clause License", "3-Clause BSD License"],
+    "BSD": ["governed by a BSD-style license", "Licensed under the BSD License"],
+    "ISC": ["Licensed under the ISC License", "Released under the ISC License", "Licensed under ISC"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Licensed under CC0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"],
+}
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "EUPL-1.2", "Zlib", "WTFPL", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"]
+TEMPLATES |= {f"{name}-short-{k}": text for name, forms in SHORT.items() for k, text in enumerate(forms, 1)}
+TEMPLATES |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False

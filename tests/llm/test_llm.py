@@ -168,6 +168,14 @@ def test_licenses_like_containment(spark):
     assert wanted <= found and {d for d, _ in found} == {d for d, _ in wanted}
 
 
+def test_short_notices_and_tags(spark):
+    notices = [("MIT", "Licensed under the MIT License."), ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "covered by the GNU Lesser General Public License v3"), ("ISC", "Licensed under the ISC license"), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), ("CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("CC-BY-4.0", "Licensed under CC BY 4.0")]
+    found = {}
+    for r in licenses.scan(odd(spark, [(i, f"one two three\n{t}\nfour five", "s") for i, (_, t) in enumerate(notices)] + [(99, "the general public has a license to see version 2 of it", "s")])).collect():
+        found.setdefault(r.doc_id, set()).add(re.sub("-(short|spdx).*", "", r.license))
+    assert found == {i: {name} for i, (name, _) in enumerate(notices)}
+
+
 def test_quality_counts_like_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "a b c d e a b c d e f"), (-2, "x " * 40), (-3, "l\nl\n \nl|<")], "doc_id long, text string"))
     got = {r.doc_id: r for r in quality.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
