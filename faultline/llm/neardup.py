@@ -23,8 +23,8 @@ from .common import Words, components, drop_tables, list_array, materialize, mix
 #: share each of the RETRIEVE smallest values of their union with probability s; at 0.8 fewer than SHARED of 16 are
 #: common with probability 3e-6, so of each sketch the RETRIEVE - SHARED + 1 rarest values are listed (prefix filter).
 KEPT, RETRIEVE, SHARED = 64, 16, 5
-#: Pairs whose estimate is more than so many standard errors below the threshold aren't compared.
-ERRORS = 4.5
+#: Pairs whose estimate is more than so many standard errors below the threshold aren't compared: at 0.8, 2e-8 of them.
+ERRORS = 6
 #: Lists up to LIST are paired in full; longer ones with PIVOTS of their members first, then across what is still apart.
 LIST, PIVOTS, BLOCK, DEEP = 24, 3, 1024, 512
 

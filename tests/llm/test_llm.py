@@ -1,6 +1,7 @@
 """The corpus operators against SQL, brute force, and inputs with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -86,6 +87,11 @@ def test_near_duplicates_like_all_pairs(spark):
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(len(s), x, x == i) for i, (s, x) in enumerate(zip(sets, label, strict=True))]
 
 
+def test_estimates_rule_out_next_to_no_link():
+    lost = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(65) if k / 64 < neardup._floor(0.8, np.array([64]))[0])
+    assert lost < 1e-7
+
+
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     bits = urls.bloom(keys)
