@@ -54,8 +54,23 @@ def call_name(label: Column) -> Column:
     return F.nullif(F.regexp_extract(label, r'name:\s*"([^"]+)"', 1), F.lit(""))
 
 
+def micros(ts: Column) -> Column:
+    """Epoch seconds as whole microseconds, the fraction rounded to the nearest (of two, the even one)."""
+    whole = F.floor(ts)
+    return whole * 1_000_000 + F.rint((ts - whole) * 1_000_000).cast("long")
+
+
+def moment(ts: Column) -> Column:
+    return F.timestamp_micros(micros(ts))
+
+
+def duckdb_micros(column: str) -> str:
+    """micros() as SQL for DuckDB."""
+    return f"(floor({column})::bigint * 1000000 + round_even(({column} - floor({column})) * 1000000, 0)::bigint)"
+
+
 def timestamp_text(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(F.timestamp_seconds(ts), pattern)
+    return F.date_format(moment(ts), pattern)
 
 
 def clock_text(ts: Column) -> Column:
@@ -63,7 +78,7 @@ def clock_text(ts: Column) -> Column:
 
 
 def iso_text(ts: Column) -> Column:
-    whole = F.pmod(F.unix_micros(F.timestamp_seconds(ts)), F.lit(1_000_000)) == 0
+    whole = F.pmod(micros(ts), F.lit(1_000_000)) == 0
     return F.when(whole, timestamp_text(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(timestamp_text(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 

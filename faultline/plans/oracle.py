@@ -17,7 +17,7 @@ _groups = lambda ps, flags="": "coalesce(" + ", ".join(f"nullif(regexp_extract(m
 _EXCEPTION = _groups(E.EXCEPTIONS)
 _PLACE = "case " + " ".join(f"when regexp_matches(message, '{p}') then regexp_extract(message, '{p}', 1) || ':' || regexp_extract(message, '{p}', 2)" for p in E.PLACES) + " end"
 _TRACEBACK = f"(regexp_matches(message, '(?i){E.TRACE_HEADER}') or " + " or ".join(f"regexp_matches(message, '(?m){p}')" for p in E.TRACE_LINES) + ")"
-_stamp = lambda c: f"strftime(make_timestamp(cast(floor({c}) as bigint) * 1000000), '%Y-%m-%d %H:%M:%S')"
+_stamp = lambda c: f"strftime(make_timestamp({X.duckdb_micros(c)}), '%Y-%m-%d %H:%M:%S')"
 _tokens = lambda c: f"list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z ]+', ' ', 'g'), ' +'), lambda x: length(x) >= 3)))"
 
 L = f"l as ({V.logs_sql(False)})"
@@ -161,6 +161,8 @@ ORACLE = {
     "mapping_coverage": _matched() + f"select service, count(*) as errors, count_if(method <> '<unknown>' and round(score, 4) > 0.01) as mapped, count_if(method <> '<unknown>' and round(score, 4) > 0.01)::double / count(*) as coverage from ma where {_STEP} group by service",
     "context_summary": _matched(CALLS, EROOTS, S2, _CONTEXT) + "select *, 1 - unique_patterns::double / total_errors as deduplication_ratio, mapped_to_methods::double / total_errors as mapping_rate from t",
     "recommendations": _matched(CALLS, _E, EROOTS, *_G3, S2, _CONTEXT) + "select (row_number() over (order by o) - 1)::int as nth, priority, finding from (select 1 as o, 'CRITICAL' as priority, 'dominant pattern' as finding from t where most_frequent > total_errors * 0.5 union all select 2, 'HIGH', 'timeouts' from t where timeouts > total_errors * 0.3 union all select 3, 'HIGH', 'few root causes' where (select count(*) from cp where n_internal = 0) <= 3)",
-    "session_window_batch": _with(L) + "select service, min(us) as start_us, count(*) as n from (select *, sum(new) over (partition by service order by us, row_id) as k from (select *, case when us - lag(us) over (partition by service order by us, row_id) <= 2000000 then 0 else 1 end as new from (select *, (timestamp * 1000000)::bigint as us from l))) group by service, k",
+    "session_window_batch": _with(L) + "select service, min(us) as start_us, count(*) as n from (select *, sum(new) over (partition by service order by us, row_id) as k from (select *, case when us - lag(us) over (partition by service order by us, row_id) <= 2000000 then 0 else 1 end as new from (select *, " + X.duckdb_micros("timestamp") + " as us from l))) group by service, k",
+    "times_text": _with(L) + f"select row_id, substr(strftime(make_timestamp({X.duckdb_micros('timestamp')}), '%H:%M:%S.%f'), 1, 12) as clock from l",
+    "times_iso": _with(L) + f"select row_id, case when us % 1000000 = 0 then strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') else strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') end as iso from (select row_id, {X.duckdb_micros('timestamp')} as us from l)",
     "activity_by_second": _with(L) + f"select service, {_stamp('timestamp')} as second, count(*) as count from l group by all",
 }

@@ -395,6 +395,11 @@ def times_text(i):
     return i.logs.select("row_id", X.clock_text(F.col("timestamp")).alias("clock"))
 
 
+@query
+def times_iso(i):
+    return i.logs.select("row_id", X.iso_text(F.col("timestamp")).alias("iso"))
+
+
 @query
 def evidence_before_10(i):
     return T.evidence_before(i.probes, i.named_logs, 10.0)
@@ -477,7 +482,7 @@ def context_summary(i):
 
 @query
 def session_window_batch(i):
-    own = i.logs.withColumn("ts", F.timestamp_seconds("timestamp")).groupBy(F.session_window("ts", "2 seconds"), "service").agg(F.count("*").alias("n"))
+    own = i.logs.withColumn("ts", X.moment(F.col("timestamp"))).groupBy(F.session_window("ts", "2 seconds"), "service").agg(F.count("*").alias("n"))
     return own.select("service", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode,
+    whose executors are the driver; on a cluster that is an error, as executors don't see each other's disks."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="faultline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def small(frame: DataFrame, most: int = SMALL) -> DataFrame:
     """frame with a broadcast hint if it has `most` rows at most, which a limited count checks."""
     return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

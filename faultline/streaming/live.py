@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions import normalize as N
+from ..functions import text as X
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """A stream of Parquet log files with row_id, timestamp, service and message; ts is the event time."""
     rows = spark.readStream.schema("row_id long, timestamp double, service string, message string").parquet(path)
-    return rows.withColumn("ts", F.timestamp_seconds("timestamp"))
+    return rows.withColumn("ts", X.moment(F.col("timestamp")))
 
 
 def classified(logs: DataFrame, late: str = "30 seconds") -> DataFrame:
