@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,18 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps survive a lost executor and never recompute it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -215,15 +208,16 @@ def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 # --- connected components --------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (a, b): component is the smallest node that can be reached.
 
     Large-star and small-star rounds: stars shrink towards the smallest node, in a number of rounds that grows with
-    the logarithm of the graph. Only two sums per round reach the driver. A hub's edges are split by the join.
+    the logarithm of the graph; they go on until one changes nothing. Only two sums per round reach the driver. A hub's
+    edges are split by the join.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         big = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
@@ -236,6 +230,5 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         drop_tables(edges.sparkSession, now, big)
         now = small
         if (seen := tuple(row)) == mark:
-            break
+            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
         mark = seen
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")

@@ -44,7 +44,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "text")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +112,12 @@ from {relation} d join m on m.doc_id = d.doc_id left join c on c.doc_id = d.doc_
 
 
 def line_sql(relation: str) -> str:
-    """SQL for linededup.dedup_lines() at the depth of two lines, of a relation with unique doc_ids and texts."""
+    """SQL for linededup.dedup_lines() at the depth of two lines, of a relation with unique doc_ids and texts.
+
+    Repeated runs are followed line by line: `most` is the longest from each line on that occurs elsewhere too.
+    """
     return rf"""
-with lines as (
+with recursive lines as (
   select doc_id, i, x, case when regexp_matches(x, '[^\x20\x09-\x0D]') then row_number() over (partition by doc_id, regexp_matches(x, '[^\x20\x09-\x0D]') order by i) end as k
   from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from {relation} where text is not null)),
 runs as (select doc_id, k, x as a, lead(x) over (partition by doc_id order by k) as b from lines where k is not null),
@@ -123,8 +126,19 @@ later as (select doc_id, k from runs join firsts using (a, b) where (doc_id, k)
 gone as (select doc_id, k from later union select doc_id, k + 1 from later),
 texts as (
   select doc_id, count(*) as n_lines, count(g.k) as n_deleted, coalesce(string_agg(x, chr(10) order by i) filter (where g.k is null), '') as text
-  from lines left join gone g using (doc_id, k) group by doc_id)
-select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_deleted, 0)::bigint as n_deleted, t.text from {relation} d left join texts t using (doc_id)
+  from lines left join gone g using (doc_id, k) group by doc_id),
+longer(doc_id, k, w, h) as (
+  select doc_id, k, 1, h from (select doc_id, k, md5(a) as h, count(*) over (partition by a) as n from runs) where n > 1
+  union all
+  select doc_id, k, w, h from (
+    select r.doc_id, r.k, r.w + 1 as w, md5(r.h || l.a) as h, count(*) over (partition by md5(r.h || l.a)) as n
+    from longer r join runs l on l.doc_id = r.doc_id and l.k = r.k + r.w) where n > 1),
+most as (select doc_id, k, max(w) as m from longer group by doc_id, k),
+beside as (select *, lag(k) over o as k0, lag(m) over o as m0 from most window o as (partition by doc_id order by k)),
+found as (select doc_id, count(*) as n_runs, max(m) as longest_run from beside where m >= 2 and not coalesce(k0 = k - 1 and m0 > m, false) group by doc_id)
+select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_deleted, 0)::bigint as n_deleted,
+  coalesce(n_runs, 0)::bigint as n_runs, coalesce(longest_run, 0)::bigint as longest_run, t.text
+from {relation} d left join texts t using (doc_id) left join found using (doc_id)
 """
 
 

@@ -215,6 +215,34 @@ def test_quality_without_two_trusted_documents(spark):
         assert got.where("kept").count() == 4 and "__least" not in got.columns
 
 
+def test_maximal_runs_like_all_pairs(spark):
+    rng = random.Random(11)
+    block = [f"line {k} of it" for k in range(45)]
+    texts = []
+    for d in range(60):
+        own = [f"own {d} {k}" if rng.random() < 0.6 else "common" for k in range(rng.randrange(6))]
+        a, b = sorted((rng.randrange(46), rng.randrange(46)))
+        texts.append("\n".join([*own, *block[a:b], *(["", " "] if d % 5 == 0 else []), *(block[3:9] * 2 if d % 7 == 0 else [])]))
+    texts += [texts[0]] * 3 + ["common", "common\ncommon\ncommon", "", None]
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip()] for t in texts]
+    # the longest common prefix with any other suffix, by all pairs
+    every = [(d, k) for d, own in enumerate(lines) for k in range(len(own))]
+    names = [[x for _, x in own] for own in lines]
+    most = {}
+    for d, k in every:
+        for e, j in every:
+            if (d, k) != (e, j) and names[d][k] == names[e][j]:
+                n = 0
+                while k + n < len(names[d]) and j + n < len(names[e]) and names[d][k + n] == names[e][j + n]:
+                    n += 1
+                most[d, k] = max(most.get((d, k), 0), n)
+    expected = sorted((d, lines[d][k][0], n) for (d, k), n in most.items() if n > 1 and most.get((d, k - 1), 0) <= n)
+    documents = odd(spark, [(d, t, "s") for d, t in enumerate(texts)])
+    assert sorted(map(tuple, linededup.repeated_runs(documents).collect())) == expected
+    assert linededup.repeated_runs(odd(spark, EDGES)).count() == 0
+    assert linededup.repeated_runs(odd(spark, EDGES), least=1).count() == 6
+
+
 def base_spans(text):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
