@@ -37,6 +37,8 @@ ONE_PASS = {
 OTHER = {"secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{12,}", "number": r"(?<![0-9A-Za-z+.])\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"}
 _CUES = r"(?i)(token|secret|passw|api.?key|key|auth|bearer|credential|ssn|passport|iban|account|phone|tel|mobile|fax|call)[^\n]{0,12}$"
 LABELERS = 5
+#: Characters before a candidate that labelers see. Arrays are built in pieces of so many members.
+CONTEXT, PIECE = 32, 128
 ROUNDS, ACCEPT = 50, 0.5
 
 
@@ -61,44 +63,74 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<start:int,end:int,found:string>>"
+def _scanned(items: Column, carry: str, out: str, step) -> Column:
+    """What step(carry, item) gives out over an array, in order. step returns the next carry (a number) and a value to
+    keep, or null. Arrays are built in pieces of PIECE and joined, so the work is in proportion to the array."""
+
+    def inside(acc: Column, x: Column) -> Column:
+        now, kept = step(acc["carry"], x)
+        return F.struct(now.cast(carry).alias("carry"), F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+
+    def outside(acc: Column, piece: Column) -> Column:
+        start = F.struct(acc["carry"].alias("carry"), F.expr(f"cast(array() as array<{out}>)").alias("out"))
+        return let(F.aggregate(piece, start, inside), lambda done: F.struct(done["carry"].alias("carry"), F.array_append(acc["out"], done["out"]).alias("out")))
+
+    def whole(all_of: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / PIECE).cast("int")), lambda i: F.slice(all_of, i * PIECE + 1, F.lit(PIECE)))
+        start = F.struct(F.lit(0).cast(carry).alias("carry"), F.expr(f"cast(array() as array<array<{out}>>)").alias("out"))
+        found = F.aggregate(pieces, start, outside, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(all_of) > 0, found).otherwise(F.expr(f"cast(array() as array<{out}>)"))
+
+    return let(items, whole)
+
+
+_SPAN = "struct<start:int,end:int,found:string,before:string>"
 
 
 def spans(kind: str, pattern: str, guard: str, text: Column) -> Column:
     """Valid matches of a pattern, leftmost and non-overlapping, with their places: sums of the lengths of the matches and
-    of what is between them, so a text with very many matches isn't searched again for each.
+    of what is between them, so a text with very many matches isn't searched again for each. before: the last characters
+    between the match before and this one.
     """
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["found"])
-        new = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), x["found"].alias("found"))
-        return F.struct(end.cast("int").alias("at"), F.when(_valid(kind, x["found"]), F.array_append(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(_valid(kind, x["found"]), F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"), F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before")))
 
     pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("found"), gap.alias("gap")))
-    all_of = F.aggregate(F.filter(pieces, lambda x: x["found"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(guard), all_of).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    all_of = _scanned(F.filter(pieces, lambda x: x["found"].isNotNull()), "int", _SPAN, step)
+    return F.when(text.rlike(guard), all_of).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
-def _votes(text: Column, x: Column) -> Column:
-    """The labelers' votes on a span: 1 for personal, -1 against, 0 for none. And features for the final classifier."""
+def _outside(own: Column, others: Column, fields: str) -> Column:
+    """Members of `own` (spans with start and end) that overlap none of `others`: in one order, by the end of the former and
+    the start of the latter, a span is free if no other that starts before its end goes beyond its start."""
+    empty = F.lit(None).cast(f"struct<{fields}>")
+    mark = lambda key, last, to, x: F.struct(key.alias("key"), last.alias("last"), to.alias("to"), x.alias("x"))
+    both = F.concat(F.transform(others, lambda o: mark(o["start"], F.lit(1), o["end"], empty)), F.transform(own, lambda c: mark(c["end"], F.lit(0), F.lit(0), F.struct(*(c[f.split(":")[0]].alias(f.split(":")[0]) for f in fields.split(","))))))
+
+    def step(far: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(far, x["to"]), F.when((x["last"] == 0) & (far <= x["x"]["start"]), x["x"])
 
-    def with_context(before: Column) -> Column:
-        found = x["found"]
-        digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
-        share = digits / F.length(found)
-        hexes = found.rlike(r"^[0-9a-f]{16,}$")
-        regex = F.when(hexes | found.rlike(r"^(ghp|sk|pk|AKIA|xox)[A-Za-z0-9_-]{12,}$") | (x["kind"] == "number"), 1).when(found.rlike(r"[a-z]-[a-z]|/"), -1).otherwise(0)
-        gazetteer = F.when(before.rlike(_CUES), 1).otherwise(0)
-        context = F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).when(before.rlike(r"[A-Za-z]\s$"), 0).otherwise(-1)
-        shape = F.when(share.between(0.2, 0.95) & (F.length(found) >= 16), 1).when(share < 0.1, -1).otherwise(0)
-        length = F.when(F.length(found) >= 24, 1).when(F.length(found) < 14, F.when(x["kind"] == "number", 0).otherwise(-1)).otherwise(0)
-        pattern = (regex + 1) + 3 * (gazetteer + 1) + 9 * (context + 1) + 27 * (shape + 1) + 81 * (length + 1)
-        cell = F.when(x["kind"] == "number", 1).otherwise(0) + 2 * F.least(F.floor(F.length(found) / 8), F.lit(7)) + 16 * F.floor(share * 4).cast("int") + 80 * F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).otherwise(0) + 160 * gazetteer + 320 * hexes.cast("int")
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), pattern.cast("int").alias("pattern"), cell.cast("int").alias("cell"))
+    free = let(_scanned(F.array_sort(both), "int", f"struct<{fields}>", step), lambda found: F.array_sort(found))
+    return F.when((F.size(own) > 0) & (F.size(others) > 0), free).otherwise(own)
 
-    return let(F.substring(text, F.greatest(F.lit(1), x["start"] - 31), F.least(F.lit(32), x["start"])), with_context)
+
+def _votes(x: Column) -> Column:
+    """The labelers' votes on a span: 1 for personal, -1 against, 0 for none. And features for the final classifier."""
+    found, before = x["found"], x["before"]
+    digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
+    share = digits / F.length(found)
+    hexes = found.rlike(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$") & found.rlike("[A-Fa-f]")
+    regex = F.when(hexes | found.rlike(r"^(ghp|sk|pk|AKIA|xox)[A-Za-z0-9_-]{12,}$") | (x["kind"] == "number"), 1).when(found.rlike(r"[a-z]-[a-z]|/"), -1).otherwise(0)
+    gazetteer = F.when(before.rlike(_CUES), 1).otherwise(0)
+    context = F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).when(before.rlike(r"[A-Za-z]\s$"), 0).otherwise(-1)
+    shape = F.when(share.between(0.2, 0.95) & (F.length(found) >= 16), 1).when(share < 0.1, -1).otherwise(0)
+    length = F.when(F.length(found) >= 24, 1).when(F.length(found) < 14, F.when(x["kind"] == "number", 0).otherwise(-1)).otherwise(0)
+    pattern = (regex + 1) + 3 * (gazetteer + 1) + 9 * (context + 1) + 27 * (shape + 1) + 81 * (length + 1)
+    cell = F.when(x["kind"] == "number", 1).otherwise(0) + 2 * F.least(F.floor(F.length(found) / 8), F.lit(7)) + 16 * F.floor(share * 4).cast("int") + 80 * F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).otherwise(0) + 160 * gazetteer + 320 * hexes.cast("int")
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), pattern.cast("int").alias("pattern"), cell.cast("int").alias("cell"))
 
 
 def reliabilities(patterns: dict[int, int]) -> dict[int, float]:
@@ -135,7 +167,7 @@ def classifier(cells: dict[int, tuple[float, float]]) -> list[int]:
 
 
 def _named(kind: str, found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found")))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["found"].alias("found"), x["before"].alias("before")))
 
 
 def _joined(kind: str, found: Column) -> Column:
@@ -143,15 +175,16 @@ def _joined(kind: str, found: Column) -> Column:
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added for each row of documents."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans (all) for each row of documents."""
     text = F.col("__t")
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     own = own.withColumns({k: spans(k, p, GUARD[k], text) for k, p in ONE_PASS.items()})
     own = own.withColumns({f"other_{k}": _named(k, spans(k, p, r"[0-9]", text)) for k, p in OTHER.items()})
     base = F.concat(*BASE)
-    free = F.filter(F.concat(*(f"other_{k}" for k in OTHER)), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = F.concat(*(f"other_{k}" for k in OTHER))
+    free = _outside(found, base, "start:int,end:int,kind:string,found:string,before:string")
     plain = {k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE}
-    seen = materialize(own.select("doc_id", *plain.values(), F.transform(free, lambda x: _votes(text, x)).alias("other")), "spans")
+    seen = materialize(own.select("doc_id", *plain.values(), F.transform(free, lambda x: _votes(x)).alias("other")), "spans")
     every = seen.select(F.explode("other").alias("x")).select("x.*")
     patterns = {r[0]: r[1] for r in every.groupBy("pattern").count().collect()}  # 243 rows at most
     good: list[int] = []
@@ -163,7 +196,7 @@ def find(documents: DataFrame) -> DataFrame:
     # of added spans that overlap, the first by kind stays
     lists = [_joined(k, F.col(k)) for k in BASE]
     secret = F.filter("added", lambda x: x["kind"] == "secret")
-    number = F.filter("added", lambda x: (x["kind"] == "number") & ~F.exists(F.filter("added", lambda y: y["kind"] == "secret"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    number = _outside(F.filter("added", lambda x: x["kind"] == "number"), secret, "start:int,end:int,kind:string,pattern:int,cell:int")
     out = seen.withColumn("added", added)
     out = out.withColumn("more", F.concat(_joined("secret", secret), _joined("number", number)))
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.array_join(F.concat(*lists), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*lists, "more"), ",").alias("spans"), F.size("more").cast("long").alias("n_added"))
+    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.array_join(F.concat(*lists), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*lists, "more"), ",").alias("spans"), F.size("more").cast("long").alias("n_added"), (F.size(F.concat(*lists)) + F.size("more")).cast("long").alias("n_spans"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -263,7 +264,49 @@ def test_pii_like_python(spark):
         g = got[r.doc_id]
         assert g.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), (r.doc_id, g.spans, text)
         assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(sum(s[0] == k for s in spans) for k in pii.BASE)
-        assert g.spans.startswith(text)
+        assert g.spans.startswith(text) and g.n_spans == len([x for x in g.spans.split(",") if x])
+        added = [(int(a), int(b)) for x in g.spans[len(text) :].split(",") if x for _, a, b in [x.split(":")]]
+        assert not any(a < e and s < b for a, b in added for _, s, e in spans) and g.n_added == len(added)
+
+
+def planted_secrets(rng):
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digits = "0123456789"
+    return [
+        ('token = "', some(digits + "abcdef", 40), '"'),
+        ('TOKEN = "', some(digits + "ABCDEF", 40), '"'),
+        ("api_key: ", "ghp_" + some(digits + lower + upper, 36), ""),
+        ("aws_secret=", "AKIA" + some(digits + upper, 16), ""),
+        ('password="', some(digits + lower + upper + "+/", 24), '"'),
+        ("Authorization: Bearer ", some(digits + lower, 32), ""),
+    ]
+
+
+def test_pii_finds_planted_secrets(spark):
+    rng = random.Random(3)
+    docs, wanted = [], {}
+    plain_words = "the release-2024-final-notes of src/lib2/module3/file7 came on 2024-05-06 as build20240506 with part number 1234567890123456".split()
+    for d in range(600):
+        body = [rng.choice(plain_words) if rng.random() < 0.05 else "word" for _ in range(60)]
+        if d % 3 == 0:
+            cue, secret, end = planted_secrets(rng)[d // 3 % 6]
+            if any(c.isdigit() for c in secret):
+                body.insert(30, cue + secret + end)
+                wanted[d] = secret
+        docs.append((d, " ".join(body), "s"))
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.find(odd(spark, docs)).collect()}
+    caught = sum(any(docs[d][1][int(a) : int(b)] == x for _, a, b in got[d]) for d, x in wanted.items())
+    false = sum(bool(got[d]) for d in got if d not in wanted)
+    assert caught >= 0.9 * len(wanted) and false <= 0.05 * (len(docs) - len(wanted)), (caught, len(wanted), false)
+
+
+def test_pii_of_very_many_matches(spark):
+    texts = ["1.2.3.4 é " * 20_000, "k9 " + "abcdefghijk0l " * 20_000 + "+1 (988) 555-2485 " * 2000]
+    pii.find(odd(spark, [(1, texts[0][:1000], "s")])).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(odd(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert got[0].n_ip == 20_000 and got[1].n_phone == 2000 and time.time() - began < 30
 
 
 def test_em_trusts_labelers_that_agree():
