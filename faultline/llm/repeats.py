@@ -25,6 +25,8 @@ SHORTEST, KEY = 50, 11
 CHOICE = SHORTEST - KEY + 1
 #: A key that at least this part (one in so many) of all suffixes have is joined without a shuffle.
 HOT = 1000
+#: The suffixes of such keys are sorted in ranges of about so many rows; the sample that sets the ranges follows their number.
+RANGE = 200_000
 #: Suffixes are compared so far right (from their first word on) and left.
 RIGHT, LEFT = SHORTEST, CHOICE - 1
 
@@ -167,25 +169,40 @@ def _edge(part: pa.RecordBatch, k: int) -> pa.RecordBatch:
     return _rows(1, EDGE, doc_id=row.column(1), print=row.column(2), start=row.column(3), key=row.column(0), around=row.column(4))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches and open windows of one task's sorted suffixes, and the first and the last of them."""
-    held = None
-    begun = False
-    for whole in batches:
-        for at in range(0, whole.num_rows, 8192):
-            part = whole.slice(at, 8192)
-            if not begun:
-                yield _edge(part, 0)
-            part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0] if held is not None else part
-            if part.num_rows > 1:
-                yield from _neighbours(part, 1 if begun else 0, part.num_rows - 1, (True, False))
-                begun = True
-                held = part.slice(part.num_rows - 2)
-            else:
-                held = part
-    if held is not None:
-        yield from _neighbours(held, held.num_rows - 1, held.num_rows, (True, True))
-        yield _edge(held, held.num_rows - 1)
+def _once(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Sorted suffixes without repeated rows: those of documents that are the same by id and text."""
+    given = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+    columns = (part.column(0).to_numpy(), part.column(1).fill_null(0).to_numpy(), given, part.column(2).to_numpy(), part.column(3).to_numpy())
+    new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+    return part if new.all() else part.filter(pa.array(new))
+
+
+def _compared(ends: bool):
+    """Over one task's sorted suffixes: matches and open windows. ends: keys go on in other tasks, so the first and the last
+    suffix are given too, and what they share with others is not known here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        begun = False
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                part = whole.slice(at, 8192)
+                if held is None and ends:
+                    yield _edge(part, 0)
+                part = _once(pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0] if held is not None else part)
+                if part.num_rows > 1:
+                    # held are the last two; the first of them is done
+                    yield from _neighbours(part, 1 if begun else 0, part.num_rows - 1, (ends, False))
+                    begun = True
+                    held = part.slice(part.num_rows - 2)
+                else:
+                    held = part
+        if held is not None:
+            yield from _neighbours(held, held.num_rows - 1, held.num_rows, (ends, ends))
+            if ends:
+                yield _edge(held, held.num_rows - 1)
+
+    return run
 
 
 def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,22 +240,30 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     anchors = materialize(_anchors(docs), "anchors")
     again = materialize(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "again")
     # keys that so large a share of all suffixes have are HOT at most; their suffixes stay where they are
-    hot = F.broadcast(again.where(F.col("n") * HOT >= anchors.count()).select("key"))
-    kept = anchors.join(hot, "key", "left_semi").unionByName(anchors.join(hot, "key", "left_anti").join(again.select("key"), "key", "left_semi"))
+    hot = materialize(again.where(F.col("n") * HOT >= anchors.count()).select("key", "n"), "hot")
+    often = F.broadcast(hot.select("key"))
+    kept = anchors.join(often, "key", "left_semi").unionByName(anchors.join(often, "key", "left_anti").join(again.select("key"), "key", "left_semi"))
     places = kept.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    joined = docs.join(places.withColumnsRenamed({"doc_id": "d", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).dropDuplicates(["doc_id", "print"]).select("doc_id", "text", "print", "places")
+    joined = docs.join(places.withColumnsRenamed({"doc_id": "d", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "text", "print", "places")
     suffixes = materialize(_suffixes(joined), "suffixes")
     drop_tables(spark, anchors, again)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a range, so that a passage that very many documents have is split between tasks
-    ordered = suffixes.repartitionByRange(parts, "key", "around", "doc_id", "pos").sortWithinPartitions("key", "around", "doc_id", "pos")
-    matches = materialize(ordered.mapInArrow(_compare, _MATCH_DDL), "matches")
-    # neighbours in two tasks: the two outer suffixes of each meet in one small one
+    order = ["key", "around", "doc_id", "print", "pos"]
+    # only suffixes of one key are compared: all of a key meet in one task
+    rare = suffixes.join(often, "key", "left_anti").repartition(parts, "key").sortWithinPartitions(*order)
+    # but for keys that very many have: their suffixes are dealt by ranges of so many rows, whatever the key
+    some = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(2, -(-some // RANGE))
+    many = suffixes.join(often, "key", "left_semi").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    matches = materialize(rare.mapInArrow(_compared(False), _MATCH_DDL).unionByName(many.mapInArrow(_compared(True), _MATCH_DDL)), "matches")
+    # neighbours in two tasks: the two outer suffixes of each range meet in one small one
     edges = matches.where(F.col("kind") == EDGE).select("key", "doc_id", "print", F.col("start").alias("pos"), "around").distinct()
-    edges = edges.coalesce(1).sortWithinPartitions("key", "around", "doc_id", "pos").mapInArrow(_compare_edges, _MATCH_DDL)
+    edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare_edges, _MATCH_DDL)
     # matches with suffixes that aren't neighbours: windows within reach, looked up among those of the same keys
     free = matches.where(F.col("kind") == OPEN).select("key", "doc_id", "print", "start", "end", "window")
-    every = suffixes.join(free.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "print", "pos", "around")
+    # stored, and always a shuffle: a key that very many suffixes have is split at run time
+    wanted = materialize(free.select("key").distinct(), "open-keys")
+    every = suffixes.join(wanted.hint("merge"), "key", "left_semi").select("key", "doc_id", "print", "pos", "around")
     every = every.sortWithinPartitions("key").mapInArrow(_all_windows, "doc_id long, print long, start int, window long").join(free.select("window").distinct(), "window", "left_semi")
     place = F.struct("doc_id", "print", "start")
     twice = every.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window", F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
