@@ -25,8 +25,12 @@ from .common import Words, components, drop_tables, list_array, materialize, mix
 KEPT, RETRIEVE, SHARED = 64, 16, 5
 #: Pairs whose estimate is more than so many standard errors below the threshold aren't compared: at 0.8, 2e-8 of them.
 ERRORS = 6
-#: Lists up to LIST are paired in full; longer ones with PIVOTS of their members first, then across what is still apart.
-LIST, PIVOTS, BLOCK, DEEP = 24, 3, 1024, 512
+#: Lists up to LIST are paired in full; longer ones with PIVOTS of their members first. What is still apart then is dealt into
+#: shorter lists by the smallest values under so many further hashes of the sketch at once, as often as a link must be to
+#: come together at least once but with probability LOST; lists that are still long are dealt again by more hashes.
+LIST, PIVOTS, JOINT, LOST = 24, 3, (4, 8, 16), 1e-7
+#: Long lists that no joint values split are compared in blocks of so many members, by their DEEP smallest values.
+BLOCK, DEEP = 1024, 512
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
@@ -133,14 +137,83 @@ def _linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int,
     return links
 
 
-def _apart(lists: DataFrame, documents: DataFrame, classes: DataFrame, labels: DataFrame, n: int, t: float) -> DataFrame:
-    """Pairs across what is still apart in long lists, if they may be or are links.
+def _often(t: float, joint: int) -> int:
+    """How often members must be dealt by `joint` values for two of similarity t to miss each other with LOST at most."""
+    return int(np.ceil(np.log(LOST) / np.log1p(-(t**joint))))
+
+
+def _dealt(members: DataFrame, joint: int, times: int) -> DataFrame:
+    """value, cid: lists of members (cid, sketch) whose sketches have `joint` smallest values in common, `times` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = mix(np.arange(1, joint + 1, dtype=np.uint64)) | np.uint64(1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sketch = part.column(1)
+                begin = sketch.offsets.to_numpy()[:-1] - sketch.offsets.to_numpy()[0]
+                flat = sketch.flatten().to_numpy().view(np.uint64)
+                for k in range(times):
+                    value = np.full(part.num_rows, k, np.uint64)
+                    for j in range(joint):
+                        seed = mix(np.array([k * joint + j + 1], np.uint64))[0]
+                        value += np.minimum.reduceat(mix(flat ^ seed), begin) * weights[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(mix(value))), part.column(0)], names=["value", "cid"])
+
+    return members.mapInArrow(run, "value long, cid long")
+
+
+def _star(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's members (value, cid) with PIVOTS of them."""
+    # the order of members is the same in all lists, so that lists of one group agree on pivots
+    pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    out = long.join(pivots, "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p")
+    return out.select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
+
+
+def _still_apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """value, cid, label of the lists (value, cid) whose members aren't all of one component."""
+    member = lists.select("value", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+    split = member.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
+    return member.select("value", "cid", "label").join(materialize(split, "split"), "value")
+
+
+def _refined(long: DataFrame, links: DataFrame, own: DataFrame, documents: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
+    """All links, with those across what is still apart in long lists (value, cid)."""
+    labels = materialize(components(links), "labels")
+    apart = materialize(_still_apart(long, labels), "apart")
+    sketch = own.select(F.col("doc_id").alias("cid"), "fp1", "fp2", "sketch").join(classes.select("cid", "fp1", "fp2"), ["cid", "fp1", "fp2"]).dropDuplicates(["cid"])
+    for joint in JOINT:
+        if apart.isEmpty():
+            return links
+        members = apart.select("cid", "label").distinct().join(classes.select("cid", "n_shingles"), "cid")
+        known = sketch.join(members.select("cid"), "cid", "left_semi").select("cid", "sketch")
+        lists = _dealt(known.repartition("cid"), joint, _often(t, joint)).join(members, "cid")
+        lists = materialize(lists.where("n_shingles > 0"), "lists")
+        sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value", "m"), "sizes")
+        lists = lists.join(sizes, "value")
+        short = lists.where(F.col("m") <= LIST)
+        left, right = (short.select("value", F.col("cid").alias(k), F.col("label").alias(f"l{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+        pairs = left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na")))
+        more = lists.where(F.col("m") > LIST).select("value", "cid")
+        pairs = materialize(pairs.select("a", "b").unionByName(_star(more)).distinct(), "pairs")
+        found = _linked(materialize(_close(pairs, own, classes, t), "close"), documents, classes, n, t)
+        links = links.unionByName(found)
+        labels = materialize(components(links), "labels")
+        apart = materialize(_still_apart(more, labels), "apart")
+    if not apart.isEmpty():
+        rest = materialize(_apart(apart, documents, classes, n, t), "rest")
+        links = links.unionByName(_linked(rest, documents, classes, n, t))
+    return links
+
+
+def _apart(member: DataFrame, documents: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
+    """Pairs across what is apart in lists (value, cid, label), if they may be or are links.
 
     Members are dealt into blocks, and each pair of blocks is one task of bounded size. In it, sets of up to DEEP
     values are compared exactly, so pairs that a found link joins are left out; larger ones by their DEEP smallest.
     """
-    member = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
-    split = member.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("value", "m")
+    split = member.groupBy("value").agg(F.count("*").alias("m"))
     member = materialize(member.join(split, "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "members")
     low = materialize(_sets_of(member.select("cid").distinct(), documents, classes, n, DEEP), "deep")
     member = member.join(low.select(F.col("id").alias("cid"), "n", "items"), "cid")
@@ -227,21 +300,15 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
     short = lists.where(F.col("m") <= LIST)
     pairs = short.select("value", F.col("cid").alias("a")).join(short.select("value", F.col("cid").alias("b")), "value").where("a > b").select("a", "b")
     long = lists.where(F.col("m") > LIST)
-    # the order of members is the same in all lists, so that lists of one group agree on pivots
-    pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    star = long.join(pivots, "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p").select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
-    pairs = materialize(pairs.unionByName(star).distinct(), "pairs")
+    pairs = materialize(pairs.unionByName(_star(long)).distinct(), "pairs")
     links = _linked(materialize(_close(pairs, own, classes, t), "close"), documents, classes, n, t)
     same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(classes.select("fp1", "fp2", "cid"), ["fp1", "fp2"])
     # one doc_id with several sets joins their classes
     twice = same.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).where("a <> b").select("a", "b")
     links = links.unionByName(twice)
-    labels = components(links)
     if not long.isEmpty():
-        labels = materialize(labels, "labels")
-        rest = materialize(_apart(long.select("value", "cid"), documents, classes, labels, n, t), "rest")
-        if not rest.isEmpty():
-            labels = components(links.unionByName(_linked(rest, documents, classes, n, t)))
+        links = _refined(long, links, own, documents, classes, n, t)
+    labels = components(links)
     labels = classes.select("fp1", "fp2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component"))
     out = own.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["fp1", "fp2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

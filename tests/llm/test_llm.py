@@ -88,6 +88,36 @@ def test_near_duplicates_like_all_pairs(spark):
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(len(s), x, x == i) for i, (s, x) in enumerate(zip(sets, label, strict=True))]
 
 
+def test_near_duplicates_in_long_lists(spark, monkeypatch):
+    """Families that share a long boilerplate: all are in the same lists, few are links, and lists are split again and again."""
+    monkeypatch.setattr(neardup, "LIST", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rng = random.Random(12)
+    shell = [f"b{k}" for k in range(70)]
+    docs = []
+    for _ in range(40):
+        body = [f"u{rng.randrange(10**6)}" for _ in range(18)]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            own = list(body)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            docs.append(" ".join(shell + own))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (d.split() for d in docs)]
+    label = list(range(len(docs)))
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(len(docs)):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert 1 < len(set(label)) < len(docs)
+    got = neardup.near_duplicates(odd(spark, [(i, d, "s") for i, d in enumerate(docs)]), 4).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label
+
+
+def test_dealing_misses_next_to_no_link():
+    for joint in neardup.JOINT:
+        assert (1 - 0.8**joint) ** neardup._often(0.8, joint) <= neardup.LOST
+
+
 def test_estimates_rule_out_next_to_no_link():
     lost = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(65) if k / 64 < neardup._floor(0.8, np.array([64]))[0])
     assert lost < 1e-7
