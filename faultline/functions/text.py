@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Methods that only log, names that aren't real ones, and short names of known services.
 LOG_METHODS = ["info", "warn", "warning", "debug", "error", "trace", "fatal", "log"]
+PLAIN_LOG_CALLS = ["info", "warn", "error", "debug", "log", "print"]
 ANONYMOUS = ["<lambda>", "<anonymous>", "<arrow>", "<init>", ""]
 SERVICE_LABELS = {"frontend": "fe", "adservice": "ad", "cartservice": "cart", "checkoutservice": "chk", "currencyservice": "cur", "emailservice": "email", "paymentservice": "pay", "recommendationservice": "rec", "shippingservice": "ship", "redis": "rds"}
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import small
+from .graph import cut
+from .ordering import RANGE, numbered, ranged, running
 
-#: Rows are dealt into time spans of so many seconds; only one row for each span meets in one place.
-SPAN = 3600.0
+#: Arrows look ahead within blocks of so many events, and some more from the block after.
+BLOCK = 10_000
 
 
 def error_window(calls: DataFrame, window: float = 10.0, clamp: bool = True) -> DataFrame:
@@ -31,46 +33,48 @@ def window_summary(calls: DataFrame) -> DataFrame:
 def time_sessions(rows: DataFrame, gap: float = 2.0) -> DataFrame:
     """rows with `session`, numbered from 0 in time order: a new one begins after more than `gap` seconds.
 
-    Gaps are found within time spans; between spans, one row for each gives the last time and the sessions before.
+    Rows are stored by ranges of time of about equal numbers of rows; gaps are found within ranges, and between them from
+    one row for each.
     """
-    rows = rows.withColumn("__span", F.floor(F.col("timestamp") / SPAN))
-    spans = rows.groupBy("__span").agg(F.max("timestamp").alias("hi"))
-    before = spans.select("__span", F.lag("hi").over(W.orderBy("__span")).alias("__before"))
-    order = W.partitionBy("__span").orderBy("timestamp", "row_id")
-    rows = rows.join(F.broadcast(before), "__span")
-    previous = F.coalesce(F.lag("timestamp").over(order), "__before")
-    rows = rows.withColumn("__new", F.when(previous.isNull() | (F.col("timestamp") - previous > gap), 1).otherwise(0))
-    offsets = rows.groupBy("__span").agg(F.sum("__new").alias("n"))
-    offsets = offsets.select("__span", F.coalesce(F.sum("n").over(W.orderBy("__span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    run = F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("__run", run).join(F.broadcast(offsets), "__span").withColumn("session", F.col("__run") + F.col("__offset") - 1).drop("__span", "__before", "__new", "__run", "__offset")
+    held = ranged(rows, "timestamp", "row_id")
+    ends = held.groupBy(RANGE).agg(F.max("timestamp").alias("hi"))
+    ends = ends.select(RANGE, F.lag("hi").over(W.orderBy(RANGE)).alias("__before"))
+    previous = F.coalesce(F.lag("timestamp").over(W.partitionBy(RANGE).orderBy("timestamp", "row_id")), "__before")
+    held = held.join(F.broadcast(ends), RANGE).withColumn("__previous", previous)
+    new = F.when(F.col("__previous").isNull() | (F.col("timestamp") - F.col("__previous") > gap), 1).otherwise(0)
+    return running(held, new, "session", "timestamp", "row_id").withColumn("session", F.col("session") - 1).drop("__before", "__previous", RANGE)
 
 
 def flows(calls: DataFrame, edges: DataFrame, gap: float = 2.0) -> DataFrame:
     """calls with `flow`, from 0. Time alone never splits what is within `gap`; structure only joins a session to the flow
-    before it, if its first call has an edge, either way, with a call of that flow. So sessions are folded, not calls:
-    one row for each streams through one task that holds one flow's members.
+    before it, if its first call has an edge, either way, with a call of that flow. So sessions are folded, not calls, and
+    a session whose first call has no edge begins a flow whatever came before it: the sessions from one such to the next
+    are a piece. Pieces are folded in parallel, each streams through a task that holds one flow's members.
     """
-    parts = time_sessions(calls, gap)
+    parts = cut(time_sessions(calls, gap))
     sessions = parts.groupBy("session").agg(F.min_by("qualified_name", F.struct("timestamp", "row_id")).alias("first"), F.collect_set("qualified_name").alias("members"))
     pairs = edges.where("kind = 'CALL'").select("caller", "callee")
     near = pairs.unionByName(pairs.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))).distinct().groupBy(F.col("caller").alias("first")).agg(F.collect_set("callee").alias("linked"))
-    ordered = sessions.join(small(near), "first", "left").select("session", "members", "linked").coalesce(1).sortWithinPartitions("session")
+    held = ranged(sessions.join(small(near), "first", "left").select("session", "members", "linked"), "session")
+    pieces = running(held, F.when(F.col("linked").isNull(), 1).otherwise(0), "piece", "session")
+    pieces = pieces.select("piece", "session", "members", "linked").repartition("piece").sortWithinPartitions("piece", "session")
 
     def fold(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        flow, members = -1, set()
+        now, members = None, set()
         for frame in batches:
             out = []
-            for session, own, linked in zip(frame["session"], frame["members"], frame["linked"], strict=True):
-                if flow < 0 or linked is None or members.isdisjoint(linked):
-                    flow, members = flow + 1, set()
+            for piece, session, own, linked in zip(frame["piece"], frame["session"], frame["members"], frame["linked"], strict=True):
+                begins = piece != now or linked is None or members.isdisjoint(linked)
+                if begins:
+                    now, members = piece, set()
                 members.update(own)
-                out.append((session, flow))
-            yield pd.DataFrame(out, columns=["session", "flow"])
+                out.append((session, int(begins)))
+            yield pd.DataFrame(out, columns=["session", "begins"])
 
-    folded = ordered.mapInPandas(fold, "session long, flow long")
+    held = ranged(pieces.mapInPandas(fold, "session long, begins int"), "session")
+    folded = running(held, F.col("begins"), "flow", "session").select("session", (F.col("flow") - 1).alias("flow"))
     return parts.join(folded, "session").drop("session")
 
 
@@ -99,9 +103,17 @@ def flow_connections(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def arrows(events: DataFrame, edges: DataFrame, reach: float = 2.0, ahead: int = 19, order: list[str] | None = None) -> DataFrame:
-    """(from_row, to_row): event i calls event j, one of the next `ahead` events in order, within `reach` seconds."""
-    frame = W.orderBy(*(order or ["row_id"])).rowsBetween(1, ahead)
-    near = events.withColumn("next", F.collect_list(F.struct("row_id", "timestamp", "qualified_name")).over(frame))
+    """(from_row, to_row): event i calls event j, one of the next `ahead` events in order, within `reach` seconds.
+
+    Events are numbered, and dealt into blocks by number; a block also gets the first events of the next one to look at.
+    """
+    if ahead > BLOCK:
+        raise ValueError(f"at most {BLOCK} events ahead")
+    slim = numbered(events.select("row_id", "timestamp", "qualified_name", *(c for c in order or [] if c not in ("row_id", "timestamp"))), "n", *(order or ["row_id"]))
+    block = F.floor(F.col("n") / BLOCK)
+    dealt = slim.withColumn("own", block).withColumn("block", F.explode(F.when((F.col("n") % BLOCK < ahead) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
+    frame = W.partitionBy("block").orderBy("n").rowsBetween(1, ahead)
+    near = dealt.withColumn("next", F.collect_list(F.struct("row_id", "timestamp", "qualified_name")).over(frame)).where("own = block")
     near = near.select(F.col("row_id").alias("from_row"), F.col("timestamp").alias("t"), F.col("qualified_name").alias("caller"), F.explode("next").alias("n")).where(F.abs(F.col("n.timestamp") - F.col("t")) <= reach)
     pairs = small(edges.where("kind = 'CALL'").select("caller", "callee").distinct())
     out = near.select("from_row", F.col("n.row_id").alias("to_row"), "caller", F.col("n.qualified_name").alias("callee")).join(pairs, ["caller", "callee"], "left_semi")
@@ -109,10 +121,19 @@ def arrows(events: DataFrame, edges: DataFrame, reach: float = 2.0, ahead: int =
 
 
 def method_labels(events: DataFrame) -> DataFrame:
-    """Each method's label (service label and number by first appearance), calls and first call."""
-    own = events.groupBy("service", "method", "qualified_name").agg(F.min("row_id").alias("first_row"), F.min_by("timestamp", "row_id").alias("first_timestamp"), F.count("*").alias("total_calls"))
+    """Each method's label (service label and number by first appearance), calls, and what its first call was. The window is
+    over methods. The times of all its calls are rows of their own: call_times()."""
+    first = F.min_by(F.struct("timestamp", "is_error", "message", "score"), "row_id").alias("x")
+    own = events.groupBy("service", "method", "qualified_name").agg(F.min("row_id").alias("first_row"), first, F.count("*").alias("total_calls"))
     number = F.row_number().over(W.partitionBy("service").orderBy("first_row"))
-    return own.withColumn("label", F.concat(X.service_label(F.col("service")), F.lit("-"), number.cast("string")))
+    own = own.withColumn("label", F.concat(X.service_label(F.col("service")), F.lit("-"), number.cast("string")))
+    shown = ["service", "method", "qualified_name", "first_row", "label", "total_calls"]
+    return own.select(*shown, F.col("x.timestamp").alias("first_timestamp"), X.clock_text(F.col("x.timestamp")).alias("first_time_str"), "x.is_error", "x.message", "x.score")
+
+
+def call_times(events: DataFrame) -> DataFrame:
+    """qualified_name, row_id and the time of day of each call."""
+    return events.select("qualified_name", "row_id", X.clock_text(F.col("timestamp")).alias("time_str"))
 
 
 def lanes(events: DataFrame, alphabetical: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions import normalize as N
 from ..functions import text as X
+from .graph import cut
+from .ordering import numbered
 
 
 def select_logs(logs: DataFrame, service: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -23,7 +25,8 @@ def select_logs(logs: DataFrame, service: str | None = None, start: float | None
 def detect(logs: DataFrame, error_type: str | None = None, min_severity: int = 1) -> DataFrame:
     """The error rows of logs with category, severity, stack trace, exception and place."""
     m = F.col("message")
-    found = logs.withColumn("error_type", E.category(m)).where("error_type is not null").withColumn("severity", E.severity(F.col("error_type")))
+    # an exploded array of one: a plain column would be worked out again wherever it is used or filtered by
+    found = logs.withColumn("error_type", F.explode(F.array(E.category(m)))).where("error_type is not null").withColumn("severity", E.severity(F.col("error_type")))
     found = found.where(F.col("severity") >= min_severity)
     if error_type:
         found = found.where(F.col("error_type") == error_type.upper())
@@ -79,11 +82,15 @@ def most_common(values: Column) -> Column:
     return F.array_max(ranked)["v"]
 
 
-def patterns(errors: DataFrame, keys: list[str], k: int, traces: bool = True) -> DataFrame:
+def patterns(errors: DataFrame, keys: list[str], k: int) -> DataFrame:
     """One row for each key: counts, services, time range, first message, samples and template.
 
-    errors: detect() through signed(). Partial sums are taken before the shuffle; only k rows a key are kept for samples.
+    errors: detect() through signed(), stored once as sums and samples both read it. Partial sums are taken before the
+    shuffle; only k rows a key are kept for samples. Lines of stack traces, of which a key may have very many, are rows
+    of their own: trace_lines().
     """
+    needed = {"row_id", "timestamp", "service", "message", "error_type", "normalized", "has_traceback", "exception_type", *keys}
+    errors = cut(errors.select(*sorted(needed)))
     out = errors.groupBy(*keys).agg(
         F.min_by("error_type", "row_id").alias("__type") if "error_type" not in keys else F.count("*").alias("__n"),
         F.count("*").alias("count"),
@@ -96,15 +103,17 @@ def patterns(errors: DataFrame, keys: list[str], k: int, traces: bool = True) ->
     )
     out = out.withColumnRenamed("__type", "error_type") if "error_type" not in keys else out.drop("__n")
     out = out.join(_samples(errors, keys, k), keys)
-    if traces:
-        lines = errors.where(F.size("traceback_lines") > 0).groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_id", F.slice("traceback_lines", 1, 3).alias("x")))), lambda r: r["x"])).alias("common_traceback_lines"))
-        out = out.join(lines, keys, "left").withColumn("common_traceback_lines", F.coalesce("common_traceback_lines", F.expr("cast(array() as array<string>)")))
     return out.withColumn("message_template", most_common(F.col("__norms"))).drop("__norms")
 
 
+def trace_lines(errors: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """keys, row_id, nth, line: the first k stack trace lines of each error, the list of a key in the order of row_id, nth."""
+    return errors.select(*keys, "row_id", F.posexplode(F.slice("traceback_lines", 1, k)).alias("nth", "line"))
+
+
 def step_patterns(logs: DataFrame, k: int = 3) -> DataFrame:
     rows = signed(logs, "steps")
-    base = rows.groupBy("signature").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("service")).alias("services"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set("trace_id")).alias("trace_ids"), F.min_by("error_type", "row_id").alias("error_type"), F.min_by("normalized", "row_id").alias("normalized_message"))
+    base = rows.groupBy("signature").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("service")).alias("services"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set("trace_id")).alias("trace_ids"), F.min_by("error_type", "row_id").alias("error_type"), F.min_by("normalized", "row_id").alias("normalized_message"), F.min("row_id").alias("first_row"))
     return base.join(_samples(rows, ["signature"], k).select("signature", F.col("sample_messages").alias("samples")), "signature")
 
 
@@ -121,34 +130,72 @@ def aggregation_stats(found: DataFrame) -> DataFrame:
     return sums.crossJoin(services).withColumn("deduplication_ratio", 1 - X.share(F.col("unique_patterns"), F.col("total_errors")))
 
 
-def similar_patterns(errors: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """Leader clustering within each service and type, in row order: a message joins the most similar leader (the first of
-    ties) at or above the threshold, or becomes one. Equal token sets join one leader, so each distinct set is one step:
-    one task holds the distinct token sets of a service and type, never its rows.
+def _leaders(first: float):
+    """Leader clustering of the distinct token sets of one service and type, in the order of their first rows.
+
+    A set can only reach the threshold with a leader that has one of its rarest tokens too (as many as it may lack, and
+    one): leaders are listed by those, so a set meets few of them.
     """
-    rows = signed(errors, "mine").select("row_id", "timestamp", "service", "error_type", "message", X.word_tokens(F.col("normalized")).alias("tokens"))
-    sets = rows.groupBy("service", "error_type", "tokens").agg(F.min("row_id").alias("first_row"))
 
     def lead(frame):
+        import math
+
         import pandas as pd
 
-        leaders, out = [], []
-        for row in frame.sort_values("first_row").itertuples():
-            own = frozenset(row.tokens)
+        sets = [(row.first_row, sorted(row.tokens)) for row in frame.sort_values("first_row").itertuples()]
+        often: dict[str, int] = {}
+        for _, own in sets:
+            for token in own:
+                often[token] = often.get(token, 0) + 1
+        leaders: list[frozenset[str]] = []
+        listed: dict[str, list[int]] = {}
+        out = []
+        for _, own in sets:
+            mine = frozenset(own)
+            rare = sorted(own, key=lambda x: (often[x], x))[: len(own) - math.ceil(first * len(own) - 1e-9) + 1]
             best, at = 0.0, None
-            for i, other in enumerate(leaders):
-                s = len(own & other) / len(own | other) if own and other else 0.0
-                if s >= threshold and s > best:
+            for i in sorted({i for token in rare for i in listed.get(token, ())}):
+                both = len(mine & leaders[i])
+                s = both / (len(mine) + len(leaders[i]) - both)
+                if s >= first and s > best:
                     best, at = s, i
             if at is None:
-                leaders.append(own)
-                at = len(leaders) - 1
-            out.append((row.service, row.error_type, sorted(own), at))
-        return pd.DataFrame(out, columns=["service", "error_type", "tokens", "leader"])
+                at = len(leaders)
+                leaders.append(mine)
+                for token in rare:
+                    listed.setdefault(token, []).append(at)
+            out.append((own, at))
+        return pd.DataFrame({"service": frame["service"].iloc[0], "error_type": frame["error_type"].iloc[0], "tokens": [t for t, _ in out], "leader": [i for _, i in out]})
+
+    return lead
+
 
-    led = sets.groupBy("service", "error_type").applyInPandas(lead, "service string, error_type string, tokens array<string>, leader long")
+def similar_patterns(errors: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
+    """Leader clustering within each service and type, in row order: a message joins the most similar leader (the first of
+    ties) at or above the threshold, or becomes one. The k first messages of a pattern are samples and give its template.
+
+    Equal token sets join one leader, so each distinct set is one step. The order is part of the definition: one task holds
+    the distinct token sets of a service and type, never its rows.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0, and 1 at most")
+    rows = signed(errors, "mine").withColumn("tokens", X.word_tokens(F.col("normalized")))
+    rows = cut(rows.select("row_id", "timestamp", "service", "error_type", "message", "normalized", "has_traceback", "exception_type", "tokens"))
+    sets = rows.groupBy("service", "error_type", "tokens").agg(F.min("row_id").alias("first_row"))
+    led = sets.groupBy("service", "error_type").applyInPandas(_leaders(threshold), "service string, error_type string, tokens array<string>, leader long")
     # a message without tokens is like none: each is a pattern of its own
-    member = rows.join(led, ["service", "error_type", "tokens"]).withColumn("own", F.when(F.size("tokens") == 0, F.col("row_id")).otherwise(-1))
-    found = member.groupBy("service", "error_type", "leader", "own").agg(F.min("row_id").alias("first_row"), F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min_by("message", "row_id").alias("representative_message"))
-    number = F.row_number().over(W.orderBy("first_row")) - 1  # over leaders, not rows
-    return found.withColumn("pattern_id", F.concat_ws(":", "service", "error_type", number.cast("string"))).drop("leader", "own")
+    member = cut(rows.join(led, ["service", "error_type", "tokens"]).withColumn("own", F.when(F.size("tokens") == 0, F.col("row_id")).otherwise(-1)).drop("tokens"))
+    keys = ["service", "error_type", "leader", "own"]
+    found = member.groupBy(*keys).agg(
+        F.min("row_id").alias("first_row"),
+        F.count("*").alias("count"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+        F.min_by("message", "row_id").alias("representative_message"),
+        F.bool_or("has_traceback").alias("has_traceback"),
+        F.array_sort(F.collect_set("exception_type")).alias("exception_types"),
+    )
+    found = numbered(found.join(_samples(member, keys, k), keys), "number", "first_row")
+    name = F.concat_ws(":", "service", "error_type", F.col("number").cast("string"))
+    found = found.withColumns({"pattern_id": name, "signature": name, "services_affected": F.array("service"), "message_template": most_common(F.col("__norms"))})
+    return found.drop("leader", "own", "number", "__norms")

@@ -20,6 +20,15 @@ _TRACEBACK = f"(regexp_matches(message, '(?i){E.TRACE_HEADER}') or " + " or ".jo
 _stamp = lambda c: f"strftime(make_timestamp({X.duckdb_micros(c)}), '%Y-%m-%d %H:%M:%S')"
 _tokens = lambda c: f"list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z ]+', ' ', 'g'), ' +'), lambda x: length(x) >= 3)))"
 
+
+
+def _iso(column: str) -> str:
+    us = X.duckdb_micros(column)
+    return f"case when {us} % 1000000 = 0 then strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') else strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.%f') end"
+
+
+_clock = lambda c: f"substr(strftime(make_timestamp({X.duckdb_micros(c)}), '%H:%M:%S.%f'), 1, 12)"
+
 L = f"l as ({V.logs_sql(False)})"
 L2 = f"l2 as ({V.logs_sql(False, True)})"
 M = f"m as ({V.methods_sql()})"
@@ -55,8 +64,37 @@ def _window(w: float) -> str:
     return f"b as (select greatest(min(timestamp) filter (where is_error) - {w}, min(timestamp)) as start_ts, min(timestamp) filter (where is_error) + {w} as end_ts from c), w as (select c.*, start_ts, end_ts from c, b where timestamp between start_ts and end_ts)"
 
 
-def _sessions(gap: float) -> str:
-    return f"ses as (select *, sum(new) over (order by timestamp, row_id) - 1 as session from (select *, case when timestamp - lag(timestamp) over (order by timestamp, row_id) <= {gap} then 0 else 1 end as new from c))"
+def _sessions(gap: float, table: str = "c") -> str:
+    return f"ses as (select *, sum(new) over (order by timestamp, row_id) - 1 as session from (select *, case when timestamp - lag(timestamp) over (order by timestamp, row_id) <= {gap} then 0 else 1 end as new from {table}))"
+
+
+def _flows(gap: float, table: str = "c") -> str:
+    """ses with `flow`: sessions in a row are one flow where the first call of a session is linked with a call before it."""
+    return f"""{_sessions(gap, table)},
+pr as (select caller, callee from e where kind = 'CALL' union select callee, caller from e where kind = 'CALL'),
+near as (select caller as first, list(distinct callee) as linked from pr group by caller),
+sx as (
+  select session::bigint as session, members, linked
+  from (select session, arg_min(qualified_name, (timestamp, row_id)) as first, list(distinct qualified_name) as members from ses group by session) left join near using (first)),
+fold(session, flow, members) as (
+  select session, 0::bigint, members from sx where session = 0
+  union all
+  select s.session, case when linked is null or not list_has_any(f.members, linked) then flow + 1 else flow end,
+    case when linked is null or not list_has_any(f.members, linked) then s.members else list_distinct(list_concat(f.members, s.members)) end
+  from fold f join sx s on s.session = f.session + 1),
+fc as (select ses.* exclude (session), flow from ses join fold on fold.session = ses.session),
+inner_ as (
+  select distinct a.flow, a.qualified_name as caller, b.qualified_name as callee
+  from fc a join fc b using (flow) where (a.qualified_name, b.qualified_name) in (select (caller, callee) from e where kind = 'CALL')),
+ft as (
+  select flow, count(*) as n_calls, list_sort(list_distinct(list(service))) as services_involved, min(timestamp) as start_time, max(timestamp) as end_time,
+    max(timestamp) - min(timestamp) as duration, bool_or(is_error) as has_error, count_if(is_error) as error_count,
+    coalesce(list(qualified_name order by timestamp, row_id) filter (where not is_callee), []) as root_methods,
+    coalesce(list(qualified_name order by timestamp, row_id) filter (where not is_caller), []) as leaf_methods,
+    'flow_' || case when flow < 10000 then lpad(flow::varchar, 4, '0') else flow::varchar end as flow_id
+  from (
+    select fc.*, (flow, qualified_name) in (select (flow, callee) from inner_) as is_callee, (flow, qualified_name) in (select (flow, caller) from inner_) as is_caller
+    from fc) group by flow)"""
 
 
 def _samples(keys: str, k: int, table: str) -> str:
@@ -88,6 +126,69 @@ def _evidence(w: float) -> str:
 
 
 _E = ", ".join((NAMES, INTRA, INTER, ALL))
+#: Lines of stack traces: `open` where a header is behind, with no line since that ends a trace.
+_LINES = rf"""tl as (
+  select row_id, i, line, regexp_matches(line, '(?i){E.TRACE_HEADER}') as header,
+    regexp_matches(line, '^(?:File\s+"[^"]+",\s+line\s+\d+|at\s+\w+)') as within,
+    contains(line, ':') and (contains(line, 'Exception') or contains(line, 'Error')) as ends
+  from (
+    select row_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') as line
+    from (select row_id, unnest(string_split(message, chr(10))) as x, generate_subscripts(string_split(message, chr(10)), 1) as i from l where {_TRACEBACK}))
+  where line <> ''),
+to_ as (
+  select *, max(case when header then i end) over before as h, max(case when ends and not within and not header then i end) over before as x
+  from tl window before as (partition by row_id order by i rows between unbounded preceding and 1 preceding)),
+tk as (
+  select row_id, line, row_number() over (partition by row_id order by i) - 1 as nth
+  from to_ where header or (h is not null and coalesce(x, -1) < h and (within or ends))),
+lines as (select row_id, list(line order by nth) as traceback_lines from tk where nth < {E.MOST_TRACE_LINES} group by row_id)"""
+#: Errors of the step profile with a method, their roots and call paths.
+_MAPPED = f"""em as (
+  select row_id, timestamp, service, method, service || '::' || method as qualified_name, {_STEP_CLASS} as error_type, message
+  from ma where {_STEP} and method <> '<unknown>' and round(score, 4) > 0.01),
+er as (select qualified_name as root, arg_min(error_type, row_id) as error_type, min(row_id) as first_row from em group by qualified_name),
+roots as (select root from er)"""
+_INSIDE = """cgi as (select root, split_part(callee, '::', 2) as call, count(*) as n_calls from cg where class = 'internal' group by all)"""
+_AST = """ci as (
+  select service || '::' || name as root, call, (length(call) % 3 + 1)::bigint as n_calls
+  from (select service, name, rec_idx, unnest(callee_names) as call from m) where rec_idx % 3 = 0),
+ins as (select * from ci union all select * from cgi where root not in (select root from ci))"""
+_EVIDENCE = """ev as (
+  select error_id, service, method, n_calls, n_logs, x[1][1] as first_ts, x[1][2] as first_row, x[2][1] as second_ts, x[2][2] as second_row
+  from (
+    select probe_id as error_id, p.service, call as method, n_calls, count(c.row_id) as n_logs,
+      list((c.timestamp, c.row_id) order by c.timestamp, c.row_id) filter (where c.row_id is not null) as x
+    from p join ins on root = p.service || '::' || p.method
+      left join c on c.service = p.service and c.method = call and c.timestamp < p.at and c.timestamp >= p.at - 60.0
+    group by all))"""
+
+
+def _context(where: str) -> str:
+    """Recommendations over the errors of the step profile that `where` keeps."""
+    return _matched(
+        S2,
+        _MAPPED.replace("from ma where", f"from ma where row_id in (select row_id from s2 where {where}) and"),
+        _E,
+        *_G3,
+        f"s9 as (select * from s2 where {where})",
+        """pt as (
+  select normalized_message, n, n::double / (select count(*) from s9) * 100 as percentage
+  from (select signature, count(*) as n, arg_min(normalized, row_id) as normalized_message, min(row_id) as first_row from s9 group by signature) order by n desc, first_row limit 1)""",
+        "rcs as (select root, first_row from er join cp using (root) where n_internal = 0 order by first_row limit 10)",
+        "names9 as (select coalesce(list(root order by first_row), []) as methods from rcs)",
+        "t as (select count(*) as total, count_if(error_type = 'timeout') as timeouts from s9)",
+    ) + """select (row_number() over (order by o) - 1)::int as nth, priority, finding, pattern, methods, action from (
+  select 1 as o, 'CRITICAL' as priority, 'One error pattern accounts for ' || round_even(percentage, 0)::bigint || '% of all errors' as finding,
+    normalized_message as pattern, null::varchar[] as methods, 'Focus investigation on this specific error pattern' as action
+  from pt, t where n > total * 0.5
+  union all
+  select 2, 'HIGH', 'Timeouts represent ' || round_even(timeouts::double / total * 100, 0)::bigint || '% of errors', null, null,
+    'Check service response times, connection pools, and network latency' from t where timeouts > total * 0.3
+  union all
+  select 3, 'HIGH', 'Only ' || len(methods) || ' root cause methods identified', null, methods,
+    'Investigate these methods - they have no incoming calls' from names9 where len(methods) <= 3)"""
+
+
 _G3 = (REACH.format(depth=3), GRAPH.format(depth=3), PATHS)
 _CONTEXT = "t as (select count(*) as total_errors, count(distinct service) as services_affected, count_if(error_type = 'timeout') as timeouts, count(distinct signature) as unique_patterns, (select max(n) from (select count(*) as n from s2 group by signature)) as most_frequent, (select count(*) from c where is_error) as mapped_to_methods, (select count(*) from roots) as call_paths_traced from s2)"
 
@@ -119,12 +220,30 @@ ORACLE = {
     "cpg_tokens": f"select page_id, {_tokens('html')} as tokens from pages",
     "string_literals": r"""select page_id, regexp_extract_all(html, '(?s)["`''](.*?)["`'']', 1) as literals from pages""",
     "word_tokens": r"select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as tokens from documents",
-    "jaccard_pairs": _with(M) + "select a.service, a.rec_idx as a, b.rec_idx as b, len(list_intersect(a.tokens, b.tokens))::double / len(list_distinct(list_concat(a.tokens, b.tokens))) as score from m a join m b on a.service = b.service and a.rec_idx < b.rec_idx",
+    "jaccard_pairs": _with(M) + """
+select a.service, a.rec_idx as a, b.rec_idx as b, len(list_intersect(a.tokens, b.tokens))::double / len(list_distinct(list_concat(a.tokens, b.tokens))) as score
+from m a join m b on a.service = b.service and a.rec_idx < b.rec_idx where list_has_any(a.tokens, b.tokens)""",
     "name_index": _with(M, NAMES) + "select * from names",
     "token_index": _with(M) + "select service, rec_idx, len(tokens) as n_tokens, unnest(tokens) as token from m",
     "method_index": _with(TREE) + f"select root as node_id, any_value(n_name) as name, list_sort(list_distinct(flatten(list(list_concat({_tokens('n_name')}, {_tokens(chr(39) + chr(39) + ' || coalesce(c_mktsegment, ' + chr(39) * 2 + ')')}, {_tokens('coalesce(o_orderpriority, ' + chr(39) * 2 + ')')}))))) as tokens, list_sort(list_distinct(flatten(list({_tokens('coalesce(o_orderpriority, ' + chr(39) * 2 + ')')})))) as call_tokens, coalesce(list_sort(list_distinct(list(o_orderpriority) filter (where o_orderpriority is not null))), []) as callee_names from sub join nation on root = 'n' || n_nationkey left join customer on node_id = 'c' || c_custkey left join orders on node_id = 'o' || o_orderkey group by root",
     "match_logs": _matched() + "select row_id, service, method, rec_idx, full_name, score from ma",
-    "match_logs_all_services": _with(L, M, f"lt as (select *, {_tokens('message')} as tokens from l)", "ix as (select service as svc, rec_idx, len(tokens) as n, unnest(tokens) as token from m)", "pr as (select row_id, svc, rec_idx, n, len(tokens) as nt, count(*) as c from (select row_id, tokens, unnest(tokens) as token from lt) join ix using (token) group by all)", "pb as (select row_id, svc, max_by((rec_idx, c::double / (nt + n - c)), (c::double / (nt + n - c), -rec_idx)) as b from pr group by all)", "pk as (select row_id, count(*) as n_candidates, arg_min((svc, b[1], b[2]), (-b[2], svc)) as x from pb group by row_id)") + "select row_id, x[1] as best_service, x[2] as rec_idx, x[3] as score, n_candidates from l left join pk using (row_id)",
+    "match_logs_all_services": _with(
+        L,
+        M,
+        f"lt as (select *, {_tokens('message')} as tokens from l)",
+        "ix as (select service as svc, rec_idx, len(tokens) as n, unnest(tokens) as token from m)",
+        "pr as (select row_id, svc, rec_idx, n, len(tokens) as nt, count(*) as c from (select row_id, tokens, unnest(tokens) as token from lt) join ix using (token) group by all)",
+        "pb as (select row_id, svc, max_by((rec_idx, c::double / (nt + n - c)), (c::double / (nt + n - c), -rec_idx)) as b from pr group by all)",
+        "pm as (select row_id, svc, m.rec_idx, name, full_name, line, round(b[2], 4) as score from pb join m on m.service = svc and m.rec_idx = b[1] where round(b[2], 4) >= 0.01)",
+        """pk as (
+  select row_id, count(*) as n_candidates, list(svc || '::' || name order by score desc, svc) as candidates, list(svc order by score desc, svc)[1] as best_service,
+    list(rec_idx order by score desc, svc)[1] as best_rec_idx, list(name order by score desc, svc)[1] as best_method, list(full_name order by score desc, svc)[1] as best_full_name,
+    list(line order by score desc, svc)[1] as best_line, max(score) as best_score from pm group by row_id)""",
+    )
+    + """
+select row_id, coalesce(n_candidates, 0) as n_candidates, coalesce(candidates, []) as candidates, best_service, best_rec_idx, coalesce(best_method, '<unknown>') as best_method,
+  coalesce(best_full_name, '') as best_full_name, coalesce(best_line, '') as best_line, coalesce(best_score, 0.0)::double as best_score
+from l left join pk using (row_id)""",
     "method_calls": _matched(CALLS) + "select * from c",
     "activity": _matched() + f"select service, method, {_stamp('timestamp')} as bucket, count(*) as count from ma group by all",
     "edges_intra": _with(M, NAMES, INTRA) + "select * from ei",
@@ -135,7 +254,25 @@ ORACLE = {
     "reachable_depth": _with(EDGES, ROOTS, REACH.format(depth=10)) + "select * from rc",
     "call_paths": _matched(CALLS, _E, EROOTS, *_G3) + "select * from cp",
     "root_causes": _matched(CALLS, _E, EROOTS, *_G3) + "select root from cp where n_internal = 0",
-    "complex_paths": _matched(CALLS, _E, EROOTS, *_G3) + "select root, total_reachable, call_depth from cp order by total_reachable desc, root limit 10",
+    "complex_paths": _matched(_MAPPED, _E, *_G3) + "select root as method, error_type, total_reachable, call_depth, services_involved, first_row from er join cp using (root) order by total_reachable desc, first_row limit 10",
+    "root_causes_first": _matched(_MAPPED, _E, *_G3)
+    + """select root as method, error_type, 'No incoming calls (potential root cause)' as reason, n_outbound as outbound_calls, services_involved, first_row
+from er join cp using (root) where n_internal = 0 order by first_row limit 10""",
+    "path_totals": _matched(_MAPPED, _E, *_G3) + "select count(*) as call_paths, coalesce(sum(n_internal), 0)::bigint as internal_calls, coalesce(sum(n_outbound), 0)::bigint as outbound_calls from cp",
+    "errors_mapped_by_service": _matched(_MAPPED) + _counts("service", "em"),
+    "errors_mapped_by_type": _matched(_MAPPED) + _counts("error_type", "em"),
+    "top_step_patterns": _with(L, S2, _samples("signature", 3, "s2"))
+    + f"""
+select signature, error_type, count, count::double / (select count(*) from s2) * 100 as percentage, services, normalized_message,
+  {_iso('first_seen')} as first_seen, {_iso('last_seen')} as last_seen, sample_messages, first_row
+from (
+  select signature, count(*) as count, list_sort(list_distinct(list(service))) as services, min(timestamp) as first_seen, max(timestamp) as last_seen,
+    arg_min(error_type, row_id) as error_type, arg_min(normalized, row_id) as normalized_message, min(row_id) as first_row from s2 group by signature) join sm using (signature)
+order by count desc, first_row limit 10""",
+    "calls_below": """
+select 'n' || n_nationkey as node_id, o_orderpriority as call, count(*) as n_calls from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by all
+union all
+select 'r' || n_regionkey, o_orderpriority, count(*) from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by all""",
     "potential_external": _with(EDGES, ROOTS, REACH.format(depth=3)) + "select distinct root, method, callee from rc join (select service || '::' || name as q, unnest(callee_names) as callee from m) on q = method where callee not in (select key from names)",
     "callers": _with(EDGES) + f"select callee as method, caller, {_home('caller')} <> {_home('callee')} as is_external from e where kind = 'CALL'",
     "error_window": _matched(CALLS, _window(10.0)) + "select row_id, qualified_name, start_ts, end_ts from w",
@@ -144,14 +281,72 @@ ORACLE = {
     "flow_stats": _matched(CALLS, _sessions(2.0)) + "select count(*) as n_calls, list_sort(list_distinct(list(service))) as services_involved, min(timestamp) as start_time, max(timestamp) as end_time, max(timestamp) - min(timestamp) as duration, bool_or(is_error) as has_error, count_if(is_error) as error_count, 'flow_' || case when session < 10000 then lpad(session::bigint::varchar, 4, '0') else session::bigint::varchar end as flow_id from ses group by session",
     "flow_connections": _matched(CALLS, _E, _sessions(6.0), "pr as (select caller, callee from e where kind = 'CALL' union select callee, caller from e where kind = 'CALL')") + f"select a.session as flow, a.row_id as from_row, b.row_id as to_row, {_home('a.qualified_name')} <> {_home('b.qualified_name')} as cross_service from ses a join ses b on a.session = b.session and (a.timestamp, a.row_id) < (b.timestamp, b.row_id) join pr on pr.caller = a.qualified_name and pr.callee = b.qualified_name",
     "timeline_arrows": _matched(CALLS, _E, _window(3600.0), "o as (select *, row_number() over (order by row_id) as nth from w)") + f"select a.row_id as from_row, b.row_id as to_row, {_home('a.qualified_name')} <> {_home('b.qualified_name')} as cross_service from o a join o b on b.nth > a.nth and b.nth <= a.nth + 19 and abs(b.timestamp - a.timestamp) <= 2.0 where (a.qualified_name, b.qualified_name) in (select (caller, callee) from e where kind = 'CALL')",
-    "method_labels": _matched(CALLS) + "select *, case service " + " ".join(f"when '{k}' then '{v}'" for k, v in X.SERVICE_LABELS.items()) + " else substr(service, 1, 4) end || '-' || row_number() over (partition by service order by first_row) as label from (select service, method, qualified_name, min(row_id) as first_row, arg_min(timestamp, row_id) as first_timestamp, count(*) as total_calls from c group by all)",
+    "method_labels": _matched(CALLS)
+    + "select *, case service "
+    + " ".join(f"when '{k}' then '{v}'" for k, v in X.SERVICE_LABELS.items())
+    + f""" else substr(service, 1, 4) end || '-' || row_number() over (partition by service order by first_row) as label, {_clock('first_timestamp')} as first_time_str
+from (
+  select service, method, qualified_name, min(row_id) as first_row, arg_min(timestamp, row_id) as first_timestamp, count(*) as total_calls, arg_min(is_error, row_id) as is_error,
+    arg_min(message, row_id) as message, arg_min(score, row_id) as score from c group by service, method, qualified_name)""",
     "lanes": _matched(CALLS) + "select service, lane, ((select count(distinct service) from c) - 1 - lane) * 2.5::double as y from (select service, row_number() over (order by min((timestamp, row_id))) - 1 as lane from c group by service)",
     "stacking": _matched(CALLS) + "select row_id, bucket, row_number() over (partition by service, bucket order by row_id) - 1 as nth, count(*) over (partition by service, bucket) as in_bucket from (select *, trunc((timestamp - (select min(timestamp) from c)) / 15.0::double)::int as bucket from c)",
     "short_labels": _with(M) + "select service, name, case service " + " ".join(f"when '{k}' then '{v}'" for k, v in X.SERVICE_LABELS.items()) + " else substr(service, 1, 4) end as service_label, upper(case when length(name) > 8 then substr(name, 1, 3) else substr(name, 1, 4) end) as method_label from m",
     "evidence_before_10": _evidence(10.0),
     "evidence_before_60": _evidence(60.0),
     "method_logs_before": _matched(CALLS, _PROBES) + "select probe_id, c.row_id from p join c on c.service = p.service and c.method = p.method and c.timestamp < p.at and c.timestamp >= p.at - 60.0",
-    "call_evidence": _matched(CALLS, _PROBES, _E, ROOTS, REACH.format(depth=2), GRAPH.format(depth=2), "ins as (select distinct root, split_part(callee, '::', 2) as call from cg where class = 'internal')") + "select probe_id as error_id, p.service, call as method, count(c.row_id) as n_logs, min((c.timestamp, c.row_id)) filter (where c.row_id is not null)[1] as first_ts, min((c.timestamp, c.row_id)) filter (where c.row_id is not null)[2] as first_row from p join ins on root = p.service || '::' || p.method left join c on c.service = p.service and c.method = call and c.timestamp < p.at and c.timestamp >= p.at - 60.0 group by all".replace("min((c.timestamp, c.row_id)) filter (where c.row_id is not null)[1]", "min(c.timestamp)").replace("min((c.timestamp, c.row_id)) filter (where c.row_id is not null)[2]", "arg_min(c.row_id, (c.timestamp, c.row_id))"),
+    "call_evidence": _matched(CALLS, _PROBES, _E, ROOTS, REACH.format(depth=2), GRAPH.format(depth=2), _INSIDE, "ins as (select * from cgi)", _EVIDENCE) + "select * from ev",
+    "call_evidence_inside": _matched(CALLS, _PROBES, _E, ROOTS, REACH.format(depth=2), GRAPH.format(depth=2), _INSIDE, _AST, _EVIDENCE) + "select * from ev",
+    "intra_analysis": _matched(CALLS, _PROBES, _E, ROOTS, REACH.format(depth=2), GRAPH.format(depth=2), _INSIDE, _AST, _EVIDENCE, "evx as (select ev.*, unnest(range(n_calls)) as copy from ev)")
+    + """
+select *, coalesce(matched_calls::double / nullif(total_calls, 0), 0.0)::double as confidence from (
+  select probe_id as error_id, p.service || '::' || p.method as error_method, p.service, coalesce(list(evx.method order by evx.method) filter (where evx.method is not null), []) as all_internal_calls,
+    coalesce(list(evx.method order by first_ts, evx.method) filter (where n_logs > 0), []) as executed_calls, coalesce(list(evx.method order by evx.method) filter (where n_logs = 0), []) as not_executed_calls,
+    count(evx.method) as total_calls, count(evx.method) filter (where n_logs > 0) as matched_calls
+  from p left join evx on evx.error_id = p.probe_id group by probe_id, p.service, p.method)""",
+    "backward_trace": _matched(
+        CALLS,
+        L2,
+        _PROBES,
+        NAMES,
+        """oc as (
+  select a.service || '::' || a.name as caller, b.service || '::' || b.name as callee, min(a.rec_idx::bigint * 2147483648 + pos) as ord
+  from (select service, name, rec_idx, unnest(callee_names) as key, generate_subscripts(callee_names, 1) - 1 as pos from m) a
+    join names using (service, key) join m b on b.service = a.service and b.rec_idx = names.rec_idx group by all)""",
+        """men as (
+  select q, timestamp from l2 join (select distinct caller as q, split_part(caller, '::', 1) as service, split_part(caller, '::', 2) as method from oc) o
+    on o.service = l2.service and contains(message, method))""",
+        """tr(error_id, head, t0, path, times, confidences, d) as (
+  select probe_id, service || '::' || method, p.at, [service || '::' || method], [p.at], []::double[], 0 from p
+  union all
+  select error_id, caller, ts, list_prepend(caller, path), list_prepend(ts, times), list_prepend(round(1 - (t0 - ts) / 60.0::double, 4), confidences), d + 1 from (
+    select t.*, oc.caller, men.timestamp as ts, row_number() over (partition by error_id order by men.timestamp desc, oc.ord) as nth
+    from tr t join oc on oc.callee = t.head and not list_contains(t.path, oc.caller) join men on men.q = oc.caller and men.timestamp < t.t0 and t.t0 - men.timestamp < 60.0
+    where t.d < 10) where nth = 1)""",
+        "ends as (select error_id, arg_max(path, d) as path, arg_max(times, d) as times, arg_max(confidences, d) as confidences from tr group by error_id)",
+    )
+    + """
+select error_id, path as execution_path, [path[1]] as root_methods, list_sort(list_distinct(list_transform(path, lambda x: split_part(x, '::', 1)))) as services_involved,
+  times[1] as start_time, times[-1] as end_time, times[-1] - times[1] as duration, confidences from ends""",
+    "error_ids": _matched(CALLS, _PROBES)
+    + "select probe_id as error_id, 'error_' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end as error_name from (select probe_id, row_number() over (order by probe_id) - 1 as n from p)",
+    "trace_summary": _matched(CALLS, _PROBES, S3) + "select count(*) as total_errors, count(*) as analyzed, count(distinct service) as services_analyzed, (select count(distinct signature) from s3) as unique_patterns from p",
+    "llm_window_summary": _matched(CALLS, _window(600.0))
+    + f"""select count(*) as total_method_calls, count_if(is_error) as error_count, list_sort(list_distinct(list(service))) as services, max(end_ts - start_ts) as time_range_seconds,
+  {_iso('(min(timestamp) filter (where is_error))')} as first_error_time from w""",
+    "llm_window_errors": _matched(CALLS, _window(600.0)) + f"select service, method, message, {_iso('timestamp')} as timestamp, row_id as nth from w where is_error",
+    "llm_method_sequence": _matched(CALLS, _window(600.0)) + f"select service, method, is_error, {_iso('timestamp')} as timestamp, row_id as nth from w",
+    "llm_call_relationships": _with(EDGES) + "select caller, callee from e where kind = 'CALL'",
+    "llm_flows": _matched(CALLS, _E, _window(600.0), _flows(2.0, "w"))
+    + f"""select flow_id, root_methods, leaf_methods, services_involved, round(duration, 3) as duration_seconds, has_error, error_count, method_sequence from ft
+join (select flow, list(qualified_name || '|' || {_iso('timestamp')} || '|' || is_error::varchar order by timestamp, row_id) as method_sequence from fc group by flow) using (flow)""",
+    "flows": _matched(CALLS, _E, _flows(2.0)) + "select * exclude (flow) from ft",
+    "traceback_lines": _with(L, _LINES) + "select row_id, traceback_lines from lines",
+    "patterns_traces": _with(L, D, S, _LINES) + "select signature, row_id, nth::int as nth, line from tk join s using (row_id) where nth < 3",
+    "call_times": _matched(CALLS) + f"select qualified_name, row_id, {_clock('timestamp')} as time_str from c",
+    "axis_ticks": _matched(CALLS)
+    + """select round(case when n > 1 then r * i / (n - 1) else 0.0 end, 6) as tick
+from (select r, n, unnest(range(n)) as i from (select max(timestamp) - min(timestamp) as r, least(30, floor(max(timestamp) - min(timestamp))::int + 1) as n from c))""",
+    "log_statistics": _with(L) + "select count(*) as rows, count(distinct service) as services, count_if(message = '') as empty_messages, min(timestamp) as first, max(timestamp) as last from l",
     "rca_nodes": _matched(CALLS) + "select qualified_name, service, method, count(*) as call_count, count_if(is_error) as error_count, arg_min(timestamp, row_id) as first_seen, max(timestamp) as last_seen from c group by all",
     "rca_edges": _matched(CALLS, _E) + f"select caller, callee, count(*) as count, {_home('caller')} <> {_home('callee')} as cross_service from e where kind = 'CALL' and caller in (select qualified_name from c) and callee in (select qualified_name from c) group by caller, callee",
     "service_stats": _matched(CALLS) + "select service, count(*) as calls, count_if(is_error) as errors, count_if(is_error)::double / count(*) as error_rate from c group by service",
@@ -160,7 +355,8 @@ ORACLE = {
     "top_methods": _matched(CALLS) + "select qualified_name, count(*) as count from c where is_error group by qualified_name order by count desc, min(row_id) limit 10",
     "mapping_coverage": _matched() + f"select service, count(*) as errors, count_if(method <> '<unknown>' and round(score, 4) > 0.01) as mapped, count_if(method <> '<unknown>' and round(score, 4) > 0.01)::double / count(*) as coverage from ma where {_STEP} group by service",
     "context_summary": _matched(CALLS, EROOTS, S2, _CONTEXT) + "select *, 1 - unique_patterns::double / total_errors as deduplication_ratio, mapped_to_methods::double / total_errors as mapping_rate from t",
-    "recommendations": _matched(CALLS, _E, EROOTS, *_G3, S2, _CONTEXT) + "select (row_number() over (order by o) - 1)::int as nth, priority, finding from (select 1 as o, 'CRITICAL' as priority, 'dominant pattern' as finding from t where most_frequent > total_errors * 0.5 union all select 2, 'HIGH', 'timeouts' from t where timeouts > total_errors * 0.3 union all select 3, 'HIGH', 'few root causes' where (select count(*) from cp where n_internal = 0) <= 3)",
+    "recommendations": _context("true"),
+    "recommendations_timeouts": _context("error_type = 'timeout' and service in ('redis', 'adservice')"),
     "session_window_batch": _with(L) + "select service, min(us) as start_us, count(*) as n from (select *, sum(new) over (partition by service order by us, row_id) as k from (select *, case when us - lag(us) over (partition by service order by us, row_id) <= 2000000 then 0 else 1 end as new from (select *, " + X.duckdb_micros("timestamp") + " as us from l))) group by service, k",
     "times_text": _with(L) + f"select row_id, substr(strftime(make_timestamp({X.duckdb_micros('timestamp')}), '%H:%M:%S.%f'), 1, 12) as clock from l",
     "times_iso": _with(L) + f"select row_id, case when us % 1000000 = 0 then strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') else strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') end as iso from (select row_id, {X.duckdb_micros('timestamp')} as us from l)",

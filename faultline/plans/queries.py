@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..operators import mining as P
 from ..operators import rca as R
 from ..operators import trace as T
 from ..session import configure
+from ..sources import exports as EX
+from ..sources import logs as LG
 from ..sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,9 +55,20 @@ class Inputs:
     def calls(self) -> DataFrame:
         return J.method_calls(self.matched)
 
-    @property
+    @cached_property
+    def held_calls(self) -> DataFrame:
+        """Calls, stored: for queries that read them several times."""
+        return G.cut(self.calls)
+
+    @cached_property
     def edges(self) -> DataFrame:
-        return J.all_edges(self.methods)
+        return G.cut(J.all_edges(self.methods))
+
+    @cached_property
+    def calls_inside(self) -> DataFrame:
+        """service, method, call, n_calls: what a syntax tree says of every third method."""
+        own = self.methods.where("rec_idx % 3 = 0").select("service", F.col("name").alias("method"), F.explode("callee_names").alias("call"))
+        return own.withColumn("n_calls", (F.length("call") % 3 + 1).cast("long"))
 
     @property
     def errors(self) -> DataFrame:
@@ -62,11 +76,24 @@ class Inputs:
 
     @property
     def error_roots(self) -> DataFrame:
-        return self.calls.where("is_error").select(F.col("qualified_name").alias("root")).distinct()
+        return self.held_calls.where("is_error").select(F.col("qualified_name").alias("root")).distinct()
 
     @property
     def probes(self) -> DataFrame:
-        return self.calls.where("is_error").select(F.col("row_id").alias("probe_id"), "service", "method", F.col("timestamp").alias("at"))
+        return self.held_calls.where("is_error").select(F.col("row_id").alias("probe_id"), "service", "method", F.col("timestamp").alias("at"))
+
+    @property
+    def traced(self) -> DataFrame:
+        return self.probes.withColumnRenamed("probe_id", "error_id")
+
+    @cached_property
+    def error_methods(self) -> DataFrame:
+        return G.cut(J.error_methods(self.matched))
+
+    @cached_property
+    def error_paths(self) -> DataFrame:
+        """Call paths of the methods that have errors of the step profile."""
+        return G.cut(G.call_paths(R.error_roots(self.error_methods).select("root"), self.edges, 3))
 
 
 def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -161,17 +188,17 @@ def signatures_trace(i):
 
 @query
 def patterns_signature(i):
-    return P.patterns(P.signed(i.errors, "mine"), ["signature"], 5).drop("common_traceback_lines")
+    return P.patterns(P.signed(i.errors, "mine"), ["signature"], 5)
 
 
 @query
 def patterns_service_type(i):
-    return P.patterns(P.signed(i.errors, "mine"), ["service", "error_type"], 10, traces=False)
+    return P.patterns(P.signed(i.errors, "mine"), ["service", "error_type"], 10)
 
 
 @query
 def patterns_traces(i):
-    return P.patterns(P.signed(i.errors, "mine"), ["signature"], 5).select("signature", "common_traceback_lines")
+    return P.trace_lines(P.signed(i.errors, "mine"), ["signature"])
 
 
 @query
@@ -181,7 +208,7 @@ def patterns_similarity(i):
 
 @query
 def patterns_steps(i):
-    return P.step_patterns(i.logs)
+    return P.step_patterns(i.logs).drop("first_row")
 
 
 @query
@@ -206,7 +233,7 @@ def errors_by_service(i):
 
 @query
 def aggregation_stats(i):
-    return P.aggregation_stats(P.patterns(P.signed(i.errors, "mine"), ["signature"], 5, traces=False))
+    return P.aggregation_stats(P.patterns(P.signed(i.errors, "mine"), ["signature"], 5))
 
 
 @query
@@ -236,9 +263,12 @@ def word_tokens(i):
 
 @query
 def jaccard_pairs(i):
-    a = i.methods.select("service", F.col("rec_idx").alias("a"), F.col("tokens").alias("ta"))
-    b = i.methods.select("service", F.col("rec_idx").alias("b"), F.col("tokens").alias("tb"))
-    return a.join(b, "service").where("a < b").select("service", "a", "b", X.jaccard(F.col("ta"), F.col("tb")).alias("score"))
+    """Pairs of methods of a service that share a token: they meet at shared tokens, never all with all."""
+    own = i.methods.select("service", "rec_idx", "tokens", F.explode("tokens").alias("token"))
+    a = own.select("service", "token", F.col("rec_idx").alias("a"), F.col("tokens").alias("ta"))
+    b = own.select("service", "token", F.col("rec_idx").alias("b"), F.col("tokens").alias("tb"))
+    both = a.join(b, ["service", "token"]).where("a < b").dropDuplicates(["service", "a", "b"])
+    return both.select("service", "a", "b", X.jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
 @query
@@ -266,7 +296,7 @@ def match_logs(i):
 
 @query
 def match_logs_all_services(i):
-    return J.match_all_services(i.logs, i.methods).select("row_id", "best_service", "rec_idx", "score", "n_candidates")
+    return J.match_all_services(i.logs, i.methods).select("row_id", "n_candidates", "candidates", *(f"best_{c}" for c in ("service", "rec_idx", "method", "full_name", "line", "score")))
 
 
 @query
@@ -322,7 +352,41 @@ def root_causes(i):
 
 @query
 def complex_paths(i):
-    return G.call_paths(i.error_roots, i.edges, 3).select("root", "total_reachable", "call_depth").orderBy(F.desc("total_reachable"), "root").limit(10)
+    return R.complex_paths(R.error_roots(i.error_methods), i.error_paths)
+
+
+@query
+def root_causes_first(i):
+    return R.root_causes(R.error_roots(i.error_methods), i.error_paths)
+
+
+@query
+def path_totals(i):
+    return R.path_totals(i.error_paths)
+
+
+@query
+def errors_mapped_by_service(i):
+    return P.counts(i.error_methods, "service")
+
+
+@query
+def errors_mapped_by_type(i):
+    return P.counts(i.error_methods, "error_type")
+
+
+@query
+def top_step_patterns(i):
+    found = G.cut(P.step_patterns(i.logs))
+    return R.top_patterns(found, found.agg(F.sum("count").alias("total_errors")))
+
+
+@query
+def calls_below(i):
+    nodes, edges = V.tree(i.spark, i.dir)
+    nodes = nodes.withColumn("service", F.lit("tree"))
+    closure = G.subtree(nodes.where("label in ('METHOD', 'TYPE_DECL')").select("service", F.col("node_id").alias("root")), edges.withColumn("service", F.lit("tree")), ["service"])
+    return J.calls_below(nodes, closure).drop("service")
 
 
 @query
@@ -337,12 +401,12 @@ def callers(i):
 
 @query
 def error_window(i):
-    return FL.error_window(i.calls).select("row_id", "qualified_name", "start_ts", "end_ts")
+    return FL.error_window(i.held_calls).select("row_id", "qualified_name", "start_ts", "end_ts")
 
 
 @query
 def window_summary(i):
-    return FL.window_summary(FL.error_window(i.calls, 600.0))
+    return FL.window_summary(FL.error_window(i.held_calls, 600.0))
 
 
 @query
@@ -357,17 +421,17 @@ def flow_stats(i):
 
 @query
 def flows(i):
-    return FL.flow_table(FL.flows(i.calls, i.edges), i.edges)
+    return FL.flow_table(FL.flows(i.held_calls, i.edges), i.edges)
 
 
 @query
 def flow_connections(i):
-    return FL.flow_connections(FL.time_sessions(i.calls, 6.0).withColumnRenamed("session", "flow"), i.edges)
+    return FL.flow_connections(FL.time_sessions(i.held_calls, 6.0).withColumnRenamed("session", "flow"), i.edges)
 
 
 @query
 def timeline_arrows(i):
-    return FL.arrows(FL.error_window(i.calls, 3600.0), i.edges).select("from_row", "to_row", "cross_service")
+    return FL.arrows(FL.error_window(i.held_calls, 3600.0), i.edges).select("from_row", "to_row", "cross_service")
 
 
 @query
@@ -375,14 +439,24 @@ def method_labels(i):
     return FL.method_labels(i.calls)
 
 
+@query
+def call_times(i):
+    return FL.call_times(i.calls)
+
+
+@query
+def axis_ticks(i):
+    return FL.ticks(i.held_calls).select(F.round("tick", 6).alias("tick"))
+
+
 @query
 def lanes(i):
-    return FL.lanes(i.calls)
+    return FL.lanes(i.held_calls)
 
 
 @query
 def stacking(i):
-    return FL.stacking(i.calls, 15.0).select("row_id", "bucket", "nth", "in_bucket")
+    return FL.stacking(i.held_calls, 15.0).select("row_id", "bucket", "nth", "in_bucket")
 
 
 @query
@@ -417,17 +491,61 @@ def method_logs_before(i):
 
 @query
 def call_evidence(i):
-    return T.call_evidence(i.probes.withColumnRenamed("probe_id", "error_id"), i.edges, i.calls, 60.0)
+    return T.call_evidence(i.traced, i.edges, i.held_calls, 60.0)
+
+
+@query
+def call_evidence_inside(i):
+    return T.call_evidence(i.traced, i.edges, i.held_calls, 60.0, inside=i.calls_inside)
 
 
 @query
 def intra_analysis(i):
-    return T.intra_analysis(i.probes.withColumnRenamed("probe_id", "error_id"), i.edges, i.calls, 60.0)
+    return T.intra_analysis(i.traced, i.edges, i.held_calls, 60.0, i.calls_inside)
 
 
 @query
 def backward_trace(i):
-    return T.backward_trace(i.probes.withColumnRenamed("probe_id", "error_id"), J.intra_edges(i.methods), i.named_logs, 60.0)
+    found = T.backward_trace(i.traced, J.ordered_calls(i.methods), i.named_logs, 60.0)
+    parts = F.transform("path", lambda x: F.round(x["confidence"], 4))
+    return found.withColumn("confidences", F.filter(parts, lambda x: x.isNotNull())).drop("path")
+
+
+@query
+def error_ids(i):
+    return T.error_ids(i.traced).select("error_id", "error_name")
+
+
+@query
+def trace_summary(i):
+    traced = i.traced.select("error_id", X.qualified(F.col("service"), F.col("method")).alias("error_method"))
+    return T.trace_summary(i.traced, traced, P.trace_patterns(i.logs))
+
+
+@query
+def llm_window_summary(i):
+    return EX.window_document(G.cut(FL.error_window(i.held_calls, 600.0)), i.edges)["summary"]
+
+
+@query
+def llm_window_errors(i):
+    return EX.window_document(FL.error_window(i.held_calls, 600.0), i.edges)["errors"].withColumnRenamed("__nth", "nth")
+
+
+@query
+def llm_method_sequence(i):
+    return EX.window_document(FL.error_window(i.held_calls, 600.0), i.edges)["method_sequence"].withColumnRenamed("__nth", "nth")
+
+
+@query
+def llm_call_relationships(i):
+    return EX.window_document(FL.error_window(i.held_calls, 600.0), i.edges)["call_relationships"]
+
+
+@query
+def llm_flows(i):
+    rows = EX.flow_document(G.cut(FL.error_window(i.held_calls, 600.0)), i.edges)["execution_flows"]
+    return rows.withColumn("method_sequence", F.transform("method_sequence", lambda x: F.concat_ws("|", x["qualified_name"], x["timestamp"], x["is_error"].cast("string")))).drop("__nth")
 
 
 @query
@@ -437,7 +555,7 @@ def rca_nodes(i):
 
 @query
 def rca_edges(i):
-    return R.edges(i.calls, i.edges)
+    return R.edges(i.held_calls, i.edges)
 
 
 @query
@@ -462,22 +580,34 @@ def top_methods(i):
 
 @query
 def mapping_coverage(i):
-    rows = i.matched.where(E.is_step_error(F.col("message")))
-    hit = (F.col("method") != "<unknown>") & (F.round("score", 4) > J.GATE)
-    return rows.groupBy("service").agg(F.count("*").alias("errors"), F.count_if(hit).alias("mapped")).withColumn("coverage", X.share(F.col("mapped"), F.col("errors")))
+    return J.mapping_coverage(i.matched)
+
+
+def _context(i, errors):
+    """Recommendations over some errors of the step profile."""
+    errors = G.cut(errors)
+    found = G.cut(P.step_patterns(errors.select("row_id", "timestamp", "service", "message")))
+    mapped = i.error_methods.join(errors.select("row_id"), "row_id", "left_semi")
+    roots = R.error_roots(mapped)
+    summary = G.cut(R.context_summary(errors, found, mapped, roots))
+    causes = R.root_causes(roots, i.error_paths.join(roots.select("root"), "root", "left_semi"))
+    return R.recommendations(summary, R.top_patterns(found, summary), causes)
 
 
 @query
 def recommendations(i):
-    errors = P.signed(i.logs, "steps")
-    summary = R.context_summary(errors, errors.groupBy("signature").agg(F.count("*").alias("count")), i.calls.where("is_error"), i.error_roots)
-    return R.recommendations(summary, G.leaf_candidates(i.error_roots, i.edges, 3).count())
+    return _context(i, P.signed(i.logs, "steps"))
+
+
+@query
+def recommendations_timeouts(i):
+    return _context(i, P.signed(i.logs, "steps").where("error_type = 'timeout' and service in ('redis', 'adservice')"))
 
 
 @query
 def context_summary(i):
     errors = P.signed(i.logs, "steps")
-    return R.context_summary(errors, errors.groupBy("signature").agg(F.count("*").alias("count")), i.calls.where("is_error"), i.error_roots)
+    return R.context_summary(errors, errors.groupBy("signature").agg(F.count("*").alias("count")), i.held_calls.where("is_error"), i.error_roots)
 
 
 @query
@@ -486,6 +616,11 @@ def session_window_batch(i):
     return own.select("service", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
+@query
+def log_statistics(i):
+    return LG.scan_metrics(i.logs)
+
+
 @query
 def activity_by_second(i):
     return i.logs.groupBy("service", X.timestamp_text(F.col("timestamp")).alias("second")).agg(F.count("*").alias("count"))

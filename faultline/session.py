@@ -16,6 +16,8 @@ SETTINGS = {
 }
 #: A side of a join is broadcast up to so many rows; beyond, the join shuffles and skew is split at run time.
 SMALL = 500_000
+#: Nor is it counted where the optimizer's own estimate from file and row sizes is so many bytes at most.
+PLAINLY = 1 << 18
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,5 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def small(frame: DataFrame, most: int = SMALL) -> DataFrame:
-    """frame with a broadcast hint if it has `most` rows at most, which a limited count checks."""
+    """frame with a broadcast hint if it has `most` rows at most, which the estimate of its size or a limited count checks."""
+    if int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= PLAINLY:
+        return F.broadcast(frame)
     return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
+
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|->|--|[\[\]{};,=:]|[^\s\[\]{};,="<>:-][^\s\[\]{};,="<>:]*(?:-(?!>|-)[^\s\[\]{};,="<>:]+)*|<', re.S)
 _SKIPPED = re.compile(r"/\*.*?\*/|^\s*#[^\n]*|//[^\n]*(?=\n)", re.S | re.M)
 
-NODES = "service string, node_id string, node_ord long, label string, name string, full_name string, line string, code string, attrs map<string,string>"
-EDGES = "service string, src string, dst string, label string, edge_ord long"
+BOTH = "service string, node_id string, ord long, label string, name string, full_name string, line string, code string, attrs map<string,string>, src string, dst string"
 
 
 def clean(value: str | None) -> str:
@@ -96,28 +97,24 @@ def _label(attrs: dict[str, str]) -> str:
     return inner[1] if inner else label
 
 
-def read_dot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all files that the path names; a file's folder is its service."""
+def read_dot(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all files that the paths name; a file's folder is its service."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("service"), F.decode("content", "UTF-8").alias("text"))
 
-    def node_rows(batches: Iterator) -> Iterator:
+    def rows(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for frame in batches:
             for service, text in zip(frame["service"], frame["text"], strict=True):
-                nodes, _ = parse(text)
-                rows = [(service, n, i, _label(a), clean(a.get("NAME")) or _named(a), clean(a.get("FULL_NAME")), clean(a.get("LINE_NUMBER")), clean(a.get("CODE")), {k: clean(v) for k, v in a.items()}) for i, (n, a) in enumerate(nodes.items())]
-                yield pd.DataFrame(rows, columns=["service", "node_id", "node_ord", "label", "name", "full_name", "line", "code", "attrs"])
-
-    def edge_rows(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in batches:
-            for service, text in zip(frame["service"], frame["text"], strict=True):
-                rows = [(service, a, b, clean(x.get("label")), i) for i, (a, b, x) in enumerate(parse(text)[1])]
-                yield pd.DataFrame(rows, columns=["service", "src", "dst", "label", "edge_ord"])
-
-    return files.mapInPandas(node_rows, NODES), files.mapInPandas(edge_rows, EDGES)
+                nodes, edges = parse(text)
+                found = [(service, n, i, _label(a), clean(a.get("NAME")) or _named(a), clean(a.get("FULL_NAME")), clean(a.get("LINE_NUMBER")), clean(a.get("CODE")), {k: clean(v) for k, v in a.items()}, None, None) for i, (n, a) in enumerate(nodes.items())]
+                found += [(service, None, i, clean(x.get("label")), None, None, None, None, None, a, b) for i, (a, b, x) in enumerate(edges)]
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in BOTH.split(", ")])
+
+    # each file is parsed once; nodes and edges are read from what that gives
+    both = cut(files.mapInPandas(rows, BOTH))
+    nodes = both.where("src is null").select("service", "node_id", F.col("ord").alias("node_ord"), "label", "name", "full_name", "line", "code", "attrs")
+    return nodes, both.where("src is not null").select("service", "src", "dst", "label", F.col("ord").alias("edge_ord"))
 
 
 def _named(attrs: dict[str, str]) -> str:

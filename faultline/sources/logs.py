@@ -29,12 +29,24 @@ def clean(raw: DataFrame, strip_service: bool = True) -> DataFrame:
     return rows.where("timestamp is not null")
 
 
-def read_csv(spark: SparkSession, path: str, strip_service: bool = True) -> DataFrame:
-    """Logs of a CSV file with quoted line breaks and doubled quotes. Splitting is Spark's: partitions replace chunks."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, strip_service: bool = True, plain: bool = False) -> DataFrame:
+    """Logs of a CSV file with quoted line breaks and doubled quotes: each file is one task, as such a break may be anywhere.
+    plain: no value has a line break, so large files are split. Convert large logs once, with to_parquet()."""
+    raw = spark.read.option("header", True).option("multiLine", not plain).option("escape", '"').option("inferSchema", False).csv(path)
     return clean(raw, strip_service)
 
 
+def to_parquet(spark: SparkSession, path: str, out: str, plain: bool = False) -> DataFrame:
+    """The logs of a CSV file, written to `out` as Parquet once, and read from there."""
+    read_csv(spark, path, plain=plain).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def scan_metrics(logs: DataFrame) -> DataFrame:
+    """One row on logs as read: rows, services, rows without a message, and the time range."""
+    return logs.agg(F.count("*").alias("rows"), F.count_distinct("service").alias("services"), F.count_if(F.col("message") == "").alias("empty_messages"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
 def read_errors_json(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a document's `errors` list."""
     whole = spark.read.schema(T.StructType([T.StructField("errors", T.ArrayType(ERROR))])).option("multiLine", True).json(path)

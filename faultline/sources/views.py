@@ -70,7 +70,7 @@ def _tokens(text: str) -> list[str]:
 
 
 def method_rows() -> list[tuple]:
-    """service, rec_idx, name, full_name, tokens, callee_names of the views' methods: constants."""
+    """service, rec_idx, name, full_name, tokens, callee_names and line of the views' methods: constants."""
     import re
 
     rows = []
@@ -78,22 +78,22 @@ def method_rows() -> list[tuple]:
         own = [k for k in range(20) if k < 4 or (k + s) % 2 == 0]
         for idx, k in enumerate(own):
             callees = {METHODS[(3 * k + 1) % 20], METHODS[(7 * k + s) % 20]} | ({f"extCall{'abcdefghijklmnopqrst'[k]}"} if k % 5 == 0 else set()) | ({"info"} if k % 4 == 0 else set())
-            rows.append((service, idx, METHODS[k], f"shop.{service}.{METHODS[k]}", _tokens(METHODS[k] + " " + re.sub(r"\{.\}", " ", TEMPLATES[k])), sorted(callees)))
+            rows.append((service, idx, METHODS[k], f"shop.{service}.{METHODS[k]}", _tokens(METHODS[k] + " " + re.sub(r"\{.\}", " ", TEMPLATES[k])), sorted(callees), str(10 * idx + s)))
     return rows
 
 
 def methods(spark: SparkSession) -> DataFrame:
     from ..functions.text import is_log_method
 
-    frame = spark.createDataFrame(method_rows(), "service string, rec_idx int, name string, full_name string, tokens array<string>, callee_names array<string>")
+    frame = spark.createDataFrame(method_rows(), "service string, rec_idx int, name string, full_name string, tokens array<string>, callee_names array<string>, line string")
     return frame.withColumn("callee_names", F.filter("callee_names", lambda x: ~is_log_method(x)))
 
 
 def methods_sql() -> str:
     """The methods as a relation for DuckDB, without callees that only log."""
     array = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::varchar[]"
-    rows = ", ".join(f"('{s}', {i}, '{n}', '{f}', {array(t)}, {array([c for c in cs if c != 'info'])})" for s, i, n, f, t, cs in method_rows())
-    return f"select * from (values {rows}) as m(service, rec_idx, name, full_name, tokens, callee_names)"
+    rows = ", ".join(f"('{s}', {i}, '{n}', '{f}', {array(t)}, {array([c for c in cs if c != 'info'])}, '{line}')" for s, i, n, f, t, cs, line in method_rows())
+    return f"select * from (values {rows}) as m(service, rec_idx, name, full_name, tokens, callee_names, line)"
 
 
 def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

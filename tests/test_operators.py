@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from faultline.functions import errors as E
@@ -10,6 +12,7 @@ from faultline.operators import flows as FL
 from faultline.operators import graph as G
 from faultline.operators import matching as J
 from faultline.operators import mining as P
+from faultline.operators import rca as R
 from faultline.operators import trace as T
 from faultline.sources import dot, logs, sinks
 
@@ -166,3 +169,76 @@ def test_stream(spark, tmp_path):
     job = live.activity(live.read_logs(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("seconds").outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination(60)
     assert sorted(r["count"] for r in spark.table("seconds").collect()) == [2, 2, 2]
+
+
+def test_subtree_of_a_long_chain(spark):
+    links = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(120)], "src string, dst string")
+    found = G.subtree(spark.createDataFrame([("n0",), ("n118",)], "root string"), links)
+    assert {r.root: r["count"] for r in found.groupBy("root").count().collect()} == {"n0": 121, "n118": 3}
+
+
+def test_flows_like_a_plain_fold(spark):
+    rng = random.Random(8)
+    names = [f"s::m{k}" for k in range(9)]
+    links = [(a, b) for a in names[:6] for b in names[:6] if a != b and rng.random() < 0.3]
+    data, t = [], 0.0
+    for k in range(300):
+        t += rng.choice([0.5, 1.0, 3.0])
+        data.append((k, t, "s", "m", rng.choice(names), False))
+    near = set(links) | {(b, a) for a, b in links}
+    flow, members, last, expected = -1, set(), None, []
+    for _, at, _, _, name, _ in data:
+        if last is None or (at - last > 2.0 and not any((name, x) in near for x in members)):
+            flow, members = flow + 1, set()
+        members.add(name)
+        last = at
+        expected.append(flow)
+    calls = spark.createDataFrame(data, "row_id long, timestamp double, service string, method string, qualified_name string, is_error boolean")
+    pairs = spark.createDataFrame([(a, b, "CALL") for a, b in links], "caller string, callee string, kind string")
+    assert [r.flow for r in FL.flows(calls, pairs).orderBy("row_id").collect()] == expected
+
+
+def test_arrows_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(FL, "BLOCK", 5)
+    names = ["f::a", "f::b", "u::c", "u::d"]
+    rng = random.Random(2)
+    data = [(k, k * 0.4, rng.choice(names)) for k in range(60)]
+    got = {(r.from_row, r.to_row) for r in FL.arrows(spark.createDataFrame(data, "row_id long, timestamp double, qualified_name string"), edges(spark), ahead=4).collect()}
+    assert got == {(i, j) for i, a, x in data for j, b, y in data if i < j <= i + 4 and b - a <= 2.0 and (x, y) in EDGES}
+
+
+def test_backward_trace_takes_the_first_edge_of_ties(spark):
+    links = spark.createDataFrame([("s::a", "s::m0", "CALL", 2), ("s::b", "s::m0", "CALL", 1)], "caller string, callee string, kind string, ord long")
+    said = spark.createDataFrame([(0, 95.0, "s", "a and b")], "row_id long, timestamp double, service string, message string")
+    errors = spark.createDataFrame([(7, "s", "m0", 100.0)], "error_id long, service string, method string, at double")
+    row = T.backward_trace(errors, links, said, 10.0).first()
+    assert row.execution_path == ["s::b", "s::m0"] and [x.confidence for x in row.path] == [0.5, None]
+
+
+def test_numbers_in_order(spark):
+    from faultline.operators.ordering import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    assert numbered(rows, "n", "x").where("n <> x").count() == 0
+
+
+def test_checkpoints_are_shared(spark):
+    from faultline.session import checkpoint_dir
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(dict)
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Cluster)
+
+
+def test_answer_of_a_model():
+    found = R.parse_ranking("RANKING:\n1. [cart] - [HIGH] - first to fail\n2. pay-ment - LOW - later\n\nROOT_CAUSE: [cart]\nEXPLANATION: it failed first.")
+    assert found["root_cause"] == "cart" and found["explanation"] == "it failed first."
+    assert [(r["service"], r["confidence"]) for r in found["ranking"]] == [("cart", "HIGH"), ("pay-ment", "LOW")]
+    assert R.parse_ranking("no idea") == {"ranking": [], "root_cause": "", "explanation": ""}
