@@ -24,19 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+class Tables:
+    """The tables that materialize() writes within a `with` block. When it ends, those that aren't kept are deleted: what the
+    block returns may only read kept ones. Inner blocks have tables of their own."""
+
+    open: list[Tables] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        Tables.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """materialize(), into the block around this one."""
+        return materialize(df, label, Tables.open[-2] if len(Tables.open) > 1 else None)
+
+    def __exit__(self, *_) -> None:
+        Tables.open.pop()
+        delete(self.spark, *self.paths)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, within: Tables | bool | None = True) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps survive a lost executor and never recompute it."""
     path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    block = (Tables.open[-1] if Tables.open else None) if within is True else within
+    if block:
+        block.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that materialize() wrote and that nothing lazy reads any more."""
     for df in frames:
-        for path in df.inputFiles()[:1]:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, *(path.rpartition("/")[0] for path in df.inputFiles()[:1]))
 
 
 def ship(spark: SparkSession) -> None:

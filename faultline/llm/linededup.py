@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_tables, materialize
+from .common import WORD, Tables, drop_tables, materialize
 
 LEAST = 2
 _PLACE = ["doc_id", "print", "nth"]
@@ -143,8 +143,9 @@ def _maximal(longest: DataFrame, least: int) -> DataFrame:
 def repeated_runs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, line (its first, among all lines) and n_lines (that aren't blank) of every maximal repeated run of `least`
     lines or more: it occurs elsewhere too, in the same text or another, and no longer one contains it there."""
-    suffixes = Suffixes(materialize(line_ids(documents).distinct(), "lines"))
-    return _maximal(suffixes.longest(), least).select("doc_id", "line", "n_lines")
+    with Tables(documents.sparkSession) as made:
+        suffixes = Suffixes(materialize(line_ids(documents).distinct(), "lines"))
+        return made.keep(_maximal(suffixes.longest(), least).select("doc_id", "line", "n_lines"), "repeated-runs")
 
 
 def findings(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -172,7 +173,8 @@ def findings(documents: DataFrame, least: int = LEAST) -> DataFrame:
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without the later copies of repeated runs of `least` lines or more, with n_lines (before), n_deleted,
     and the number and greatest length of the maximal repeated runs that they had (first copies included)."""
-    found = materialize(findings(documents, least), "runs")
+    with Tables(documents.sparkSession) as made:
+        found = made.keep(findings(documents, least), "runs")
     found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_runs").alias("__runs"), F.col("longest_run").alias("__longest"))
     # always a shuffle: the plan is the same at every size, and skew is split at run time
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__print"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, components, drop_tables, list_array, materialize, mix, ship, text_slices
+from .common import Tables, Words, components, drop_tables, list_array, materialize, mix, ship, text_slices
 
 #: Values kept of each set for estimates, and the smallest of them that have inverted lists. Two sets of similarity s
 #: share each of the RETRIEVE smallest values of their union with probability s; at 0.8 fewer than SHARED of 16 are
@@ -27,8 +27,11 @@ KEPT, RETRIEVE, SHARED = 64, 16, 5
 ERRORS = 6
 #: Lists up to LIST are paired in full; longer ones with PIVOTS of their members first. What is still apart then is dealt into
 #: shorter lists by the smallest values under so many further hashes of the sketch at once, as often as a link must be to
-#: come together at least once but with probability LOST; lists that are still long are dealt again by more hashes.
-LIST, PIVOTS, JOINT, LOST = 24, 3, (4, 8, 16), 1e-7
+#: come together at least once but with probability LOST; lists of up to PAIRED are paired in full across what is apart, and
+#: longer ones are dealt again by more hashes.
+LIST, PIVOTS, JOINT, PAIRED, LOST = 24, 3, (6, 14), 64, 1e-7
+#: Up to so many ids are sent to all executors (some 20 MB) where only their rows are wanted; beyond, the join shuffles.
+FEW = 200_000
 #: Long lists that no joint values split are compared in blocks of so many members, by their DEEP smallest values.
 BLOCK, DEEP = 1024, 512
 
@@ -101,9 +104,15 @@ def _floor(t: float, seen: np.ndarray) -> np.ndarray:
     return t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)) - 1e-9
 
 
-def _close(pairs: DataFrame, own: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they are FEW at most."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def _close(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out: sizes and the union-sketch estimate allow similarity t."""
-    known = classes.join(own.select(F.col("doc_id").alias("cid"), "fp1", "fp2", "sketch"), ["cid", "fp1", "fp2"]).dropDuplicates(["cid"])
+    needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
+    known = classes.join(_few(needed), "cid", "left_semi")
     left, right = (known.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     joined = pairs.join(left, "a").join(right, "b").where((F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))).select("a", "b", "sa", "sb")
 
@@ -119,9 +128,10 @@ def _close(pairs: DataFrame, own: DataFrame, classes: DataFrame, t: float) -> Da
 
 def _sets_of(needed: DataFrame, documents: DataFrame, classes: DataFrame, n: int, most: int | None = None) -> DataFrame:
     """The sets of the classes `needed` (cid): all values, or the `most` smallest. Only their texts are read again."""
-    needed = needed.join(classes.select("cid", F.col("fp1").alias("p1"), F.col("fp2").alias("p2")), "cid")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = full_sets(texts, n, most).join(needed, (F.col("id") == F.col("cid")) & (F.col("fp1") == F.col("p1")) & (F.col("fp2") == F.col("p2")), "left_semi")
+    needed = materialize(classes.select("cid", F.col("fp1").alias("p1"), F.col("fp2").alias("p2")).join(needed, "cid", "left_semi"), "needed")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(_few(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
+    sets = full_sets(texts, n, most).join(_few(needed), (F.col("id") == F.col("cid")) & (F.col("fp1") == F.col("p1")) & (F.col("fp2") == F.col("p2")), "left_semi")
     return sets.dropDuplicates(["id"])
 
 
@@ -167,7 +177,7 @@ def _star(long: DataFrame) -> DataFrame:
     """Pairs (a, b) of each list's members (value, cid) with PIVOTS of them."""
     # the order of members is the same in all lists, so that lists of one group agree on pivots
     pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    out = long.join(pivots, "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p")
+    out = long.join(materialize(pivots, "pivots"), "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p")
     return out.select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
 
 
@@ -178,33 +188,32 @@ def _still_apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return member.select("value", "cid", "label").join(materialize(split, "split"), "value")
 
 
-def _refined(long: DataFrame, links: DataFrame, own: DataFrame, documents: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
-    """All links, with those across what is still apart in long lists (value, cid)."""
+def _refined(long: DataFrame, links: DataFrame, documents: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
+    """Components of the links and of those across what is still apart in long lists (value, cid)."""
     labels = materialize(components(links), "labels")
     apart = materialize(_still_apart(long, labels), "apart")
-    sketch = own.select(F.col("doc_id").alias("cid"), "fp1", "fp2", "sketch").join(classes.select("cid", "fp1", "fp2"), ["cid", "fp1", "fp2"]).dropDuplicates(["cid"])
     for joint in JOINT:
         if apart.isEmpty():
-            return links
-        members = apart.select("cid", "label").distinct().join(classes.select("cid", "n_shingles"), "cid")
-        known = sketch.join(members.select("cid"), "cid", "left_semi").select("cid", "sketch")
-        lists = _dealt(known.repartition("cid"), joint, _often(t, joint)).join(members, "cid")
-        lists = materialize(lists.where("n_shingles > 0"), "lists")
+            return labels
+        label = materialize(apart.select("cid", "label").distinct(), "members")
+        members = materialize(classes.select("cid", "n_shingles", "sketch").join(_few(label), "cid"), "members")
+        lists = _dealt(members.select("cid", "sketch").repartition("cid"), joint, _often(t, joint))
+        lists = materialize(lists.join(_few(members.select("cid", "label", "n_shingles")), "cid"), "lists")
         sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value", "m"), "sizes")
         lists = lists.join(sizes, "value")
-        short = lists.where(F.col("m") <= LIST)
+        short = lists.where(F.col("m") <= PAIRED)
         left, right = (short.select("value", F.col("cid").alias(k), F.col("label").alias(f"l{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
         pairs = left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na")))
-        more = lists.where(F.col("m") > LIST).select("value", "cid")
+        more = lists.where(F.col("m") > PAIRED).select("value", "cid")
         pairs = materialize(pairs.select("a", "b").unionByName(_star(more)).distinct(), "pairs")
-        found = _linked(materialize(_close(pairs, own, classes, t), "close"), documents, classes, n, t)
+        found = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
         links = links.unionByName(found)
         labels = materialize(components(links), "labels")
         apart = materialize(_still_apart(more, labels), "apart")
-    if not apart.isEmpty():
-        rest = materialize(_apart(apart, documents, classes, n, t), "rest")
-        links = links.unionByName(_linked(rest, documents, classes, n, t))
-    return links
+    rest = None if apart.isEmpty() else materialize(_apart(apart, documents, classes, n, t), "rest")
+    if rest is None or rest.isEmpty():
+        return labels
+    return components(links.unionByName(_linked(rest, documents, classes, n, t)))
 
 
 def _apart(member: DataFrame, documents: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
@@ -282,34 +291,35 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
     can be reached over links; kept marks the document with that id.
     """
     ship(documents.sparkSession)
-    own = materialize(sketches(documents, n), "sketches")
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first(F.slice("sketch", 1, RETRIEVE)).alias("low"))
-    classes = materialize(classes, "classes")
-    spark = documents.sparkSession
-
-    values = classes.select("cid", F.size("low").alias("have"), F.explode("low").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
-    listed = values.join(often, "value").groupBy("cid").agg(F.first("have").alias("have"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("all"))
-    # values that no other set has come first in the order, so that many of the listed places are taken already
-    need = F.when(F.col("have") < RETRIEVE, F.ceil(t * F.col("have")).cast("int")).otherwise(SHARED)
-    room = F.greatest(F.lit(0), F.size("all") - F.greatest(F.lit(0), need - 1))
-    listed = listed.select("cid", F.explode(F.slice("all", F.lit(1), room)).alias("x")).select("cid", F.col("x.value").alias("value"))
-    many = listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
-    lists = materialize(listed.join(many, "value"), "lists")
-
-    short = lists.where(F.col("m") <= LIST)
-    pairs = short.select("value", F.col("cid").alias("a")).join(short.select("value", F.col("cid").alias("b")), "value").where("a > b").select("a", "b")
-    long = lists.where(F.col("m") > LIST)
-    pairs = materialize(pairs.unionByName(_star(long)).distinct(), "pairs")
-    links = _linked(materialize(_close(pairs, own, classes, t), "close"), documents, classes, n, t)
-    same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(classes.select("fp1", "fp2", "cid"), ["fp1", "fp2"])
-    # one doc_id with several sets joins their classes
-    twice = same.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).where("a <> b").select("a", "b")
-    links = links.unionByName(twice)
-    if not long.isEmpty():
-        links = _refined(long, links, own, documents, classes, n, t)
-    labels = components(links)
-    labels = classes.select("fp1", "fp2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component"))
-    out = own.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["fp1", "fp2"], "left")
+    with Tables(documents.sparkSession) as made:
+        own = materialize(sketches(documents, n), "sketches")
+        classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        classes = materialize(classes, "classes")
+        spark = documents.sparkSession
+
+        low = F.slice("sketch", 1, RETRIEVE)
+        values = classes.select("cid", F.size(low).alias("have"), F.explode(low).alias("value"))
+        # counts are stored before they are joined, so that a value that very many sets have is split in the join
+        often = materialize(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "often")
+        listed = values.join(often, "value").groupBy("cid").agg(F.first("have").alias("have"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("all"))
+        # values that no other set has come first in the order, so that many of the listed places are taken already
+        need = F.when(F.col("have") < RETRIEVE, F.ceil(t * F.col("have")).cast("int")).otherwise(SHARED)
+        room = F.greatest(F.lit(0), F.size("all") - F.greatest(F.lit(0), need - 1))
+        listed = materialize(listed.select("cid", F.explode(F.slice("all", F.lit(1), room)).alias("x")).select("cid", F.col("x.value").alias("value")), "listed")
+        many = materialize(listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "many")
+        lists = materialize(listed.join(many, "value"), "lists")
+
+        short = lists.where(F.col("m") <= LIST)
+        pairs = short.select("value", F.col("cid").alias("a")).join(short.select("value", F.col("cid").alias("b")), "value").where("a > b").select("a", "b")
+        long = lists.where(F.col("m") > LIST)
+        pairs = materialize(pairs.unionByName(_star(long)).distinct(), "pairs")
+        links = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
+        same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(classes.select("fp1", "fp2", "cid"), ["fp1", "fp2"])
+        # one doc_id with several sets joins their classes
+        twice = same.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).where("a <> b").select("a", "b")
+        links = links.unionByName(twice)
+        labels = components(links) if long.isEmpty() else _refined(long, links, documents, classes, n, t)
+        labels = classes.select("fp1", "fp2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component"))
+        out = made.keep(own.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "component"), "groups")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

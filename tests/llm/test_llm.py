@@ -91,6 +91,7 @@ def test_near_duplicates_like_all_pairs(spark):
 def test_near_duplicates_in_long_lists(spark, monkeypatch):
     """Families that share a long boilerplate: all are in the same lists, few are links, and lists are split again and again."""
     monkeypatch.setattr(neardup, "LIST", 4)
+    monkeypatch.setattr(neardup, "PAIRED", 4)
     monkeypatch.setattr(neardup, "PIVOTS", 1)
     rng = random.Random(12)
     shell = [f"b{k}" for k in range(70)]
