@@ -96,6 +96,8 @@ class Templates:
                 self.groups.setdefault(n, {}).setdefault(width, []).append(i)
         self.bands = {n: {width: max(bands_for(len(self.sets[i]), width, t) for i in own) for width, own in by.items()} for n, by in self.groups.items()}
         self.factors = mix(np.arange(1, 1 + max((b for by in self.bands.values() for b in by.values()), default=1), dtype=np.uint64)) | np.uint64(1)
+        # the minimum of each template in each band
+        self.least = [np.array([(own * factor).min() for factor in self.factors], np.uint64) if len(own) else np.zeros(0, np.uint64) for own in self.sets]
 
     def candidates(self, shingles: np.ndarray, n: int) -> set[tuple[int, int, int]]:
         """(first shingle, end, template) of windows that have a template's minimum in some band."""
@@ -112,7 +114,7 @@ class Templates:
                 if band >= self.bands[n][want]:
                     continue
                 window = np.minimum(lows[:-1], lows[1:]) if len(lows) > 1 else lows
-                least = {i: (self.sets[i] * factor).min() for i in own}
+                least = {i: self.least[i][band] for i in own}
                 if len(own) > 8:
                     known = np.array(sorted(set(least.values())), np.uint64)
                     place = np.minimum(np.searchsorted(known, window), len(known) - 1)
@@ -150,6 +152,13 @@ class Templates:
         return rows
 
 
+def texts_of(templates: DataFrame) -> dict[str, str]:
+    """Templates of a table (name, text): a list of licenses, which every task gets. Rows without a name or a text are none;
+    of rows that share a name, the longest text counts."""
+    rows = templates.select("name", F.col("text").cast("string").alias("text")).where("name is not null and text is not null")
+    return {r["name"]: r["x"]["text"] for r in rows.groupBy("name").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("x")).collect()}
+
+
 def scan(documents: DataFrame, texts: dict[str, str] | None = None, t: float = CONTAINED) -> DataFrame:
     """doc_id, license, start, end (words, end exclusive) and share: each match of a template in each document."""
     ship(documents.sparkSession)
