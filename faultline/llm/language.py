@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ship, string_buffers, text_slices
 
-#: The training sample: at most so many labelled documents (those of least hashed id), and windows of each, spread over it.
+#: The training sample: at most so many labelled documents, and windows of each, spread over it. Languages take turns, each
+#: with the documents of least hashed id, so that a rare one has all of its own in it (with SAMPLE languages at most).
 SAMPLE, EACH = 4000, 4
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 16, 8
 EPOCHS, BATCH, RATE = 4, 128, 4e-3
@@ -135,7 +137,10 @@ def _sample(documents: DataFrame) -> list[tuple[str, bytes]]:
     least text stands for all.
     """
     usable = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # a rank that is bounded is taken before the shuffle too, so no task gets all rows of a language
+    turns = usable.select("doc_id", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= SAMPLE)
+    ids = turns.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id").distinct()
     one = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
