@@ -20,7 +20,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recrawled(pages: DataFrame) -> DataFrame:
-    """The list of the URL filter's query: URLs whose canonical URL more than one page has."""
+    """The list of the URL filter's query. The tables have no list of blocked URLs, so URLs whose canonical URL more than one
+    page has stand for one: every page of such a URL is blocked, the first included. urls.judge() takes any list."""
     name = urls.canonical(urls.host_of(F.col("url")), urls.path_of(F.col("url")))
     return pages.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n > 1 and name is not null").select("url")
 

@@ -2,7 +2,7 @@
 hits on to an exact hash join, which removes false positives. Every step works on distinct URLs.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and is allowed. Repeated
-rows get equal results. Other columns are ignored.
+rows get equal results. Other columns are ignored. An empty or null list blocks nothing; without pages there is no row.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A block is one 64-bit word; each key sets BITS of its bits. There are about PER bits a key, up to MOST blocks (8 MB),
 #: so the filter that all executors get never grows beyond that: with more keys it passes more to the join.
 BITS, PER, MOST = 4, 16, 1 << 20
@@ -45,7 +47,7 @@ def _mask(key: Column) -> Column:
 
 
 def bloom(keys: DataFrame) -> DataFrame:
-    """One row: `blocks` (their number) and `bits`, an array with each block's word."""
+    """One row: `bits`, an array with each block's word."""
     n = keys.count()
     blocks = 1 << max(4, min(MOST.bit_length() - 1, (n * PER // 64).bit_length()))
     own = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word"))
@@ -68,7 +70,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     names = spark.createDataFrame([(f"r {h} {p}", h + p, v, len(h) + len(p)) for v, h, p in rules], "key string, rule string, verdict string, long int")
     names = names.groupBy("key").agg(F.max_by(F.struct("rule", "verdict", "long"), "rule").alias("x")).select("key", "x.*")
     blocked = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("c")).where("c is not null").select(F.concat(F.lit("u "), "c").alias("key")).distinct()
-    keys = names.unionByName(blocked, allowMissingColumns=True)
+    keys = materialize(names.unionByName(blocked, allowMissingColumns=True), "url-keys")
     seen = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lengths = F.array(*(F.lit(n) for n in sorted({len(p) for _, _, p in rules}))) if rules else F.lit(None).cast("array<int>")
     labels = F.split("host", r"\.")
@@ -77,7 +79,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     fits = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(F.lit("r "), h, F.lit(" "), p))))
     tried = F.array_compact(F.array_append(F.coalesce(fits, F.expr("cast(array() as array<string>)")), F.concat(F.lit("u "), canonical(F.col("host"), F.col("path")))))
     bits = bloom(keys)
-    hits = seen.select("url", tried.alias("tried")).crossJoin(F.broadcast(bits)) if not hasattr(bits, "scalar") else seen.select("url", tried.alias("tried"), bits.scalar().alias("bits"))
+    hits = seen.select("url", tried.alias("tried"), bits.scalar().alias("bits"))
     hits = hits.select("url", F.explode(F.filter("tried", lambda k: may_have(F.col("bits"), k))).alias("key"))
     exact = hits.join(keys, "key").groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.when(F.col("rule").isNotNull(), F.struct("long", F.length("rule"), "key"))).alias("r"), F.max(F.col("rule").isNull()).alias("in_list"))
     out = pages.select("page_id", "url").join(exact, "url", "left")
