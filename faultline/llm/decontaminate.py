@@ -261,6 +261,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that leaks() finds, with the columns of documents."""
-    bad = leaks(documents, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["__leak"], "left_anti")
+    """The documents without those that leaks() finds, with the columns of documents. A row without doc_id is known by the
+    hash of its text."""
+    name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    bad = leaks(documents.select(name.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
+    return documents.join(bad, name == F.col("__leak"), "left_anti")
