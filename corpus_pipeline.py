@@ -5,40 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, linededup, mixing, neardup, quality
-from faultline.llm.common import materialize, table
+from faultline.llm.common import Tables, drop_tables, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null or blank text is rejected. Repeated rows are judged alike. A null doc_id is judged as others are. Columns other
+    than those of documents go. Without labels only the base rules reject.
+    """
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     # an exploded flag and not a filter: a filter would be pushed below and work out all counts a second time
     return judged.select(*COLUMNS, F.explode(F.filter(F.array("kept"), lambda x: x)).alias("__kept")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and so do documents that have no word but in such copies."""
+    """Later copies of repeated runs of lines go, and so do documents that have no word but in such copies.
+
+    A null or blank text has no run and stays as it is. Repeated rows (of doc_id and text) are cut alike. Rows with a null
+    doc_id come last, so theirs are the later copies.
+    """
     cut = linededup.dedup_lines(docs)
     return cut.where((cut["n_deleted"] == 0) | cut["text"].rlike(r"[^\x20\x09-\x0D]")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: word shingles of five, similarity 0.8."""
+    """One document of each group stays: word shingles of five, similarity 0.8.
+
+    A null or blank text is like no other and stays, as does every row with a null doc_id. Of rows that share a doc_id, one
+    stays: that whose text has the least hash (null first), of equal texts any.
+    """
     groups = neardup.near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(COLUMNS)
+    own = docs.join(groups, "doc_id", "left_anti").select(COLUMNS)
+    twice = materialize(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.when(F.col("text").isNotNull(), F.xxhash64("text")).asc_nulls_first()))
+    once = own.join(twice, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").select(COLUMNS)
+    return own.join(twice, "doc_id", "left_anti").select(COLUMNS).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a benchmark passage go."""
+    """Documents that have a benchmark passage go.
+
+    A null or blank text has none. Rows that share a doc_id go together, rows with a null doc_id each for itself. Items
+    without words are ignored; without items nothing goes.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken, by its source's target."""
+    """How often each document is taken, by its source's target: doc_id, source, size, source_size, target and taken.
+
+    A null text has size 0. A null source is a source, the last in order. Repeated rows are each a document.
+    """
     return mixing.mix(docs)
 
 
@@ -56,9 +80,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
+    """The stages in order over documents. A stage's table is deleted when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with Tables(spark) as made:
+            docs = made.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            drop_tables(spark, last)
+        last = docs
     return docs
