@@ -58,7 +58,10 @@ class Benchmark:
         for a, b in zip(w.first[:-1], w.first[1:], strict=True):
             ends = [k - a + 1 for k in range(a, b - 1) if int(w.data[w.end[k] - 1]) in _STOP]
             self.answer.append(next((e for e in reversed(ends) if b - a - e >= 3), max(0, (b - a) - max(3, (b - a) // 4))))
-        self.pieces = [(i, len(x) * k // n, len(x) * (k + 1) // n) for i, x in enumerate(self.words) for n in [max(1, -(-len(x) // PIECE))] for k in range(n)]
+        self.pieces = [
+            (i, len(x) * k // n, len(x) * (k + 1) // n) for i,
+            x in enumerate(self.words) for n in [max(1, -(-len(x) // PIECE))] for k in range(n)
+        ]
         self.vocabulary = np.unique(w.hash)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -157,7 +160,12 @@ class Index:
             own = np.flatnonzero((lengths > low) & (lengths <= high))
             if len(own):
                 latent = bench.matrix(idf, own) @ right
-                self.groups.append((width, own, np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T), np.array([REACH * np.linalg.norm(self.table[bench.find(bench.piece(i))].sum(axis=0)) for i in own], np.float32)))
+                self.groups.append((
+                    width,
+                    own,
+                    np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T),
+                    np.array([REACH * np.linalg.norm(self.table[bench.find(bench.piece(i))].sum(axis=0)) for i in own], np.float32),
+                ))
 
     def search(self, w: Words) -> Iterator[tuple[int, int, int, int, float, float]]:
         """(text, passage, first word, words, cosine, share of the passage found) for the texts' words."""
@@ -238,7 +246,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         if share > best.get((text, item), (0, 0, 0, 0))[3]:
                             best[text, item] = (first, n, cosine, share)
                     rows = [(part.column(1)[t].as_py(), bench.ids[i], *x) for (t, i), x in best.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "cosine", "share"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(list(c), k) for c,
+                            k in zip(
+                                zip(*rows, strict=True) if rows else [[]] * 6,
+                                (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()),
+                                strict=True,
+                            )
+                        ],
+                        names=["doc_id", "item_id", "first_word", "n_words", "cosine", "share"],
+                    )
 
         found.append(docs.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, cosine double, share double"))
 

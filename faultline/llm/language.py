@@ -45,7 +45,11 @@ class ByteNet:
     def __init__(self, labels: list[str], seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.labels = labels
-        self.w = {"embed": rng.normal(0, 0.3, (256, DEPTH)).astype(np.float32), "out": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32), "bias": np.zeros(len(labels), np.float32)}
+        self.w = {
+            "embed": rng.normal(0, 0.3, (256, DEPTH)).astype(np.float32),
+            "out": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32),
+            "bias": np.zeros(len(labels), np.float32),
+        }
         for k in WIDTHS:
             self.w[f"f{k}"] = rng.normal(0, (1 / (k * DEPTH)) ** 0.5, (k * DEPTH, FILTERS)).astype(np.float32)
 
@@ -136,7 +140,11 @@ def _sample(documents: DataFrame) -> list[tuple[str, bytes]]:
     Only ids are ranked; the texts of the chosen ones are cut into windows where they are. Of rows that share an id, the
     least text stands for all.
     """
-    usable = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    usable = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    ).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # a rank that is bounded is taken before the shuffle too, so no task gets all rows of a language
     turns = usable.select("doc_id", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= SAMPLE)
@@ -152,7 +160,10 @@ def _sample(documents: DataFrame) -> list[tuple[str, bytes]]:
                 chosen = (size >= WINDOW // 4) | (n[text] == 1)
                 chosen = np.flatnonzero(chosen & ((nth * EACH // n[text]) != ((nth - 1) * EACH // n[text])))
                 rows = pa.array(text[chosen])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array([x[k].tobytes() for k in chosen], pa.binary())], names=["doc_id", "lang", "window"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(2).take(rows), pa.array([x[k].tobytes() for k in chosen], pa.binary())],
+                    names=["doc_id", "lang", "window"],
+                )
 
     return [(r[1], bytes(r[2])) for r in sorted(one.mapInArrow(run, "doc_id long, lang string, window binary").collect())]
 
@@ -172,7 +183,11 @@ def train(documents: DataFrame) -> ByteNet | None:
 def identify(documents: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of documents."""
     ship(documents.sparkSession)
-    frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string")).alias("text"))
+    frame = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string")).alias("text"),
+    )
     if net is None:
         return frame.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
@@ -192,6 +207,9 @@ def identify(documents: DataFrame, net: ByteNet | None) -> DataFrame:
                 p = np.exp(total - total.max(axis=1, keepdims=True))
                 score = (p / p.sum(axis=1, keepdims=True)).max(axis=1)
                 best = np.where(known, total.argmax(axis=1), len(net.labels))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names.take(pa.array(best)), pa.array(np.where(known, score, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), names.take(pa.array(best)), pa.array(np.where(known, score, 0.0))],
+                    names=["doc_id", "held_out", "lang_pred", "score"],
+                )
 
     return frame.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -44,12 +44,47 @@ TEMPLATES = {
 }
 # Short forms: so few words (eight at most) that a match has all of them, as the version is often the last.
 SHORT = {
-    "MIT": ["Licensed under the MIT License", "Distributed under the MIT License", "Available under the MIT License", "Under the terms of the MIT License", "The MIT License (MIT)", "Licensed under MIT"],
-    "Apache-2.0": ["Licensed under the Apache License 2.0", "Licensed under the Apache 2.0 License", "Licensed under Apache 2.0", "Apache License, Version 2.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GNU GPL version 2", "Licensed under the GPL version 2", "Licensed under the GPLv2", "Licensed under GPLv2"],
-    "GPL-3.0": ["GNU General Public License v3", "GNU GPL version 3", "Licensed under the GPL version 3", "Licensed under the GPLv3", "Licensed under GPLv3"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL version 2.1", "Licensed under the LGPL version 2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "GNU LGPL version 3", "Licensed under the LGPL version 3"],
+    "MIT": [
+        "Licensed under the MIT License",
+        "Distributed under the MIT License",
+        "Available under the MIT License",
+        "Under the terms of the MIT License",
+        "The MIT License (MIT)",
+        "Licensed under MIT",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License 2.0",
+        "Licensed under the Apache 2.0 License",
+        "Licensed under Apache 2.0",
+        "Apache License, Version 2.0",
+    ],
+    "GPL-2.0": [
+        "GNU General Public License, version 2",
+        "GNU General Public License v2",
+        "GNU GPL version 2",
+        "Licensed under the GPL version 2",
+        "Licensed under the GPLv2",
+        "Licensed under GPLv2",
+    ],
+    "GPL-3.0": [
+        "GNU General Public License v3",
+        "GNU GPL version 3",
+        "Licensed under the GPL version 3",
+        "Licensed under the GPLv3",
+        "Licensed under GPLv3",
+    ],
+    "LGPL-2.1": [
+        "GNU Lesser General Public License, version 2.1",
+        "GNU Lesser General Public License v2.1",
+        "GNU LGPL version 2.1",
+        "Licensed under the LGPL version 2.1",
+    ],
+    "LGPL-3.0": [
+        "GNU Lesser General Public License, version 3",
+        "GNU Lesser General Public License v3",
+        "GNU LGPL version 3",
+        "Licensed under the LGPL version 3",
+    ],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "Licensed under the AGPL version 3"],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "BSD 2-Clause License", "2-Clause BSD License"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "BSD 3-Clause License", "3-Clause BSD License"],
@@ -66,7 +101,33 @@ SHORT = {
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"],
     "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"],
 }
-SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "EUPL-1.2", "Zlib", "WTFPL", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"]
+SPDX = [
+    "MIT",
+    "Apache-2.0",
+    "GPL-2.0",
+    "GPL-3.0",
+    "LGPL-2.1",
+    "LGPL-3.0",
+    "AGPL-3.0",
+    "BSD-2-Clause",
+    "BSD-3-Clause",
+    "0BSD",
+    "ISC",
+    "MPL-2.0",
+    "EPL-2.0",
+    "BSL-1.0",
+    "EUPL-1.2",
+    "Zlib",
+    "WTFPL",
+    "Unlicense",
+    "CC0-1.0",
+    "CC-BY-4.0",
+    "CC-BY-SA-4.0",
+    "CC-BY-ND-4.0",
+    "CC-BY-NC-4.0",
+    "CC-BY-NC-SA-4.0",
+    "CC-BY-NC-ND-4.0",
+]
 TEMPLATES |= {f"{name}-short-{k}": text for name, forms in SHORT.items() for k, text in enumerate(forms, 1)}
 TEMPLATES |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
 
@@ -94,10 +155,16 @@ class Templates:
             if n:
                 width = 1 << (len(self.sets[-1]) - 1).bit_length()
                 self.groups.setdefault(n, {}).setdefault(width, []).append(i)
-        self.bands = {n: {width: max(bands_for(len(self.sets[i]), width, t) for i in own) for width, own in by.items()} for n, by in self.groups.items()}
+        self.bands = {
+            n: {width: max(bands_for(len(self.sets[i]), width, t) for i in own) for width, own in by.items()} for n,
+            by in self.groups.items()
+        }
         self.factors = mix(np.arange(1, 1 + max((b for by in self.bands.values() for b in by.values()), default=1), dtype=np.uint64)) | np.uint64(1)
         # the minimum of each template in each band
-        self.least = [np.array([(own * factor).min() for factor in self.factors], np.uint64) if len(own) else np.zeros(0, np.uint64) for own in self.sets]
+        self.least = [np.array(
+            [(own * factor).min() for factor in self.factors],
+            np.uint64,
+        ) if len(own) else np.zeros(0, np.uint64) for own in self.sets]
 
     def candidates(self, shingles: np.ndarray, n: int) -> set[tuple[int, int, int]]:
         """(first shingle, end, template) of windows that have a template's minimum in some band."""
@@ -169,6 +236,18 @@ def scan(documents: DataFrame, texts: dict[str, str] | None = None, t: float = C
             for part in text_slices(batch):
                 rows = templates.matches(Words(part.column(1), _BREAK))
                 text, which, start, end, share = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text, pa.int64())), pa.array([templates.names[i] for i in which], pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "license", "start", "end", "share"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, start long, end long, share double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(text, pa.int64())),
+                        pa.array([templates.names[i] for i in which], pa.string()),
+                        pa.array(start, pa.int64()),
+                        pa.array(end, pa.int64()),
+                        pa.array(share, pa.float64()),
+                    ],
+                    names=["doc_id", "license", "start", "end", "share"],
+                )
+
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, license string, start long, end long, share double")

@@ -72,7 +72,11 @@ class Suffixes:
     def __init__(self, lines: DataFrame) -> None:
         spark = lines.sparkSession
         often = materialize(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "often")
-        firsts = _ranked(often.select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"), "n")).select(F.col("b").alias("id"), F.col("next").alias("rank"))
+        firsts = _ranked(often.select(
+            F.lit(0).cast("long").alias("a"),
+            F.col("id").alias("b"),
+            "n",
+        )).select(F.col("b").alias("id"), F.col("next").alias("rank"))
         own = lines.join(materialize(firsts, "first-ranks"), "id")
         # neighbouring lines make an island; its end is that of its suffixes
         island = F.col("nth") - F.row_number().over(W.partitionBy("doc_id", "print").orderBy("nth"))
@@ -84,10 +88,16 @@ class Suffixes:
             width = 1 << k
             every = reduce(DataFrame.unionByName, [*done, active])
             joined = active.join(_at(every, "_2"), _same_place("doc_id_2", "print_2", F.col("nth_2") - width), "left")
-            both = materialize(joined.select(*_PLACE, "line", "left", "k", F.col("rank").alias("a"), F.coalesce("rank_2", F.lit(-1)).alias("b")), "pairs")
+            both = materialize(
+                joined.select(*_PLACE, "line", "left", "k", F.col("rank").alias("a"), F.coalesce("rank_2", F.lit(-1)).alias("b")),
+                "pairs",
+            )
             counted = _ranked(both.groupBy("a", "b").agg(F.count("*").alias("n")))
             born = F.when(F.col("next") > F.col("a"), F.lit(k)).otherwise(F.col("k")).alias("k")
-            now = materialize(both.join(counted, ["a", "b"]).select(*_PLACE, "line", "left", F.col("next").alias("rank"), born, "n"), f"suffixes-{k + 1}")
+            now = materialize(
+                both.join(counted, ["a", "b"]).select(*_PLACE, "line", "left", F.col("next").alias("rank"), born, "n"),
+                f"suffixes-{k + 1}",
+            )
             ends = (F.col("n") == 1) | (F.col("left") < 2 * width)
             done.append(now.where(ends).drop("n"))
             drop_tables(spark, both)
@@ -114,7 +124,9 @@ class Suffixes:
             now = entered if now is None else now.unionByName(entered)
             for side in "xy":
                 level = _at(self.levels[k], "_" + side)
-                here = F.col(f"{side}.doc_id").eqNullSafe(F.col(f"doc_id_{side}")) & (F.col(f"{side}.print") == F.col(f"print_{side}")) & (F.col(f"{side}.nth") + F.col("lcp") == F.col(f"nth_{side}"))
+                here = F.col(f"{side}.doc_id").eqNullSafe(F.col(f"doc_id_{side}")) & (F.col(f"{side}.print") == F.col(f"print_{side}")) & (
+                    F.col(f"{side}.nth") + F.col("lcp") == F.col(f"nth_{side}")
+                )
                 now = now.join(level, here, "left").drop(*(f"{c}_{side}" for c in _PLACE))
             longer = F.when(F.col("rank_x") == F.col("rank_y"), F.lit(1 << k)).otherwise(0)
             now = now.withColumn("lcp", F.col("lcp") + longer).drop("rank_x", "rank_y")
@@ -136,7 +148,10 @@ class Suffixes:
 
 def _maximal(longest: DataFrame, least: int) -> DataFrame:
     order = W.partitionBy("doc_id", "print").orderBy("nth")
-    longest = longest.withColumn("inside", F.coalesce((F.lag("nth").over(order) == F.col("nth") - 1) & (F.lag("most").over(order) > F.col("most")), F.lit(False)))
+    longest = longest.withColumn(
+        "inside",
+        F.coalesce((F.lag("nth").over(order) == F.col("nth") - 1) & (F.lag("most").over(order) > F.col("most")), F.lit(False)),
+    )
     return longest.where((F.col("most") >= least) & ~F.col("inside")).select(*_PLACE, "line", F.col("most").alias("n_lines"))
 
 
@@ -164,10 +179,18 @@ def findings(documents: DataFrame, least: int = LEAST) -> DataFrame:
         # of level 0, all; stored, so that a rank that very many suffixes share is split in the join
         first = materialize(shared.groupBy("rank").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), *_PLACE)).alias("first")), "firsts")
         later = shared.join(first, "rank").where(F.struct(F.col("doc_id").isNull().alias("last"), *_PLACE) > F.col("first"))
-        covered = later.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.explode(F.sequence(F.col("nth"), F.col("nth") + least - 1)).alias("k")).distinct()
+        covered = later.select(
+            F.col("doc_id").alias("d"),
+            F.col("print").alias("p"),
+            F.explode(F.sequence(F.col("nth"), F.col("nth") + least - 1)).alias("k"),
+        ).distinct()
         gone = covered.join(lines, _same_place("d", "p", F.col("k"))).select("doc_id", "print", none.alias("run"), F.col("line").alias("gone"))
         found = found.unionByName(gone)
-    return found.groupBy("doc_id", "print").agg(F.collect_set("gone").alias("gone"), F.count("run").alias("n_runs"), F.max("run").alias("longest_run"))
+    return found.groupBy("doc_id", "print").agg(
+        F.collect_set("gone").alias("gone"),
+        F.count("run").alias("n_runs"),
+        F.max("run").alias("longest_run"),
+    )
 
 
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -175,7 +198,13 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     and the number and greatest length of the maximal repeated runs that they had (first copies included)."""
     with Tables(documents.sparkSession) as made:
         found = made.keep(findings(documents, least), "runs")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), F.col("n_runs").alias("__runs"), F.col("longest_run").alias("__longest"))
+    found = found.select(
+        F.col("doc_id").alias("__id"),
+        F.col("print").alias("__print"),
+        F.col("gone").alias("__gone"),
+        F.col("n_runs").alias("__runs"),
+        F.col("longest_run").alias("__longest"),
+    )
     # always a shuffle: the plan is the same at every size, and skew is split at run time
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__print"))
     out = documents.join(found.hint("merge"), same, "left")

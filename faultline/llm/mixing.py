@@ -41,11 +41,20 @@ def hash_of(doc_id: Column) -> Column:
 
 def ranked(frame: DataFrame, key: str) -> DataFrame:
     """frame, a table of distinct keys, with `rank` from 0 by code point, null last: counts of key ranges, then within them."""
-    ranges = materialize(frame.repartitionByRange(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key).asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = materialize(
+        frame.repartitionByRange(
+            int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+            F.col(key).asc_nulls_last(),
+        ).withColumn("range", F.spark_partition_id()),
+        "ranges",
+    )
     before = W.partitionBy().orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     counts = ranges.groupBy("range").agg(F.count("*").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
     within = F.row_number().over(W.partitionBy("range").orderBy(F.col(key).asc_nulls_last()))
-    return ranges.join(F.broadcast(counts.select("range", "before")), "range").withColumn("rank", F.col("before") + within - 1).drop("range", "before")
+    return ranges.join(
+        F.broadcast(counts.select("range", "before")),
+        "range",
+    ).withColumn("rank", F.col("before") + within - 1).drop("range", "before")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -57,7 +66,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     budget, level, full = total * share, None, -1
     while True:
         above = F.lit(False) if level is None else F.col("most") <= F.col("weight") * F.lit(level[0]) / F.lit(level[1])
-        rest, held, n = known.select(F.when(~above, F.col("weight")).alias("w"), F.when(above, F.col("most")).alias("m")).agg(F.sum("w"), F.sum("m"), F.count("m")).first()
+        rest, held, n = known.select(
+            F.when(~above, F.col("weight")).alias("w"),
+            F.when(above, F.col("most")).alias("m"),
+        ).agg(F.sum("w"), F.sum("m"), F.count("m")).first()
         if n == full or not rest:
             level = level if rest else (1.0, 0)
             break
@@ -65,7 +77,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     if not level[1]:
         return known.select("source", "source_size", F.col("most").alias("target"))
     open_share = F.col("weight") * F.lit(float(level[0])) / F.lit(level[1])
-    return known.select("source", "source_size", F.when(F.col("most") <= open_share, F.col("most")).otherwise(open_share).cast("double").alias("target"))
+    return known.select(
+        "source",
+        "source_size",
+        F.when(F.col("most") <= open_share, F.col("most")).otherwise(open_share).cast("double").alias("target"),
+    )
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -82,8 +98,16 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             rows = rows.where(F.shiftright("hash", BITS - level + STEP) == F.col("prefix"))
         sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("own"), F.first("left").alias("left"))
         run = F.sum("own").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-        edge = sums.withColumn("run", run).where("run > left").groupBy("source").agg(F.min_by(F.struct("bucket", "own", "run", "left"), "bucket").alias("x"))
-        found = edge.select("source", (F.col("x.left") - (F.col("x.run") - F.col("x.own"))).alias("left"), F.col("x.bucket").alias("prefix"), F.col("x.own").alias("own"))
+        edge = sums.withColumn("run", run).where("run > left").groupBy("source").agg(F.min_by(
+            F.struct("bucket", "own", "run", "left"),
+            "bucket",
+        ).alias("x"))
+        found = edge.select(
+            "source",
+            (F.col("x.left") - (F.col("x.run") - F.col("x.own"))).alias("left"),
+            F.col("x.bucket").alias("prefix"),
+            F.col("x.own").alias("own"),
+        )
         state = found if level == BITS else materialize(found.drop("own"), "edge")
     return state.select("source", F.col("prefix").alias("threshold"), (F.col("left") * 2 >= F.col("own")).alias("partial"))
 
@@ -97,13 +121,36 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     A source with a target of f whole passes and a rest is taken f times, and once more below its threshold.
     """
-    sizes = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")).withColumn("hash", hash_of(F.col("doc_id"))), "sizes")
+    sizes = materialize(
+        documents.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            size_of(F.col("text").cast("string")).alias("size"),
+        ).withColumn("hash", hash_of(F.col("doc_id"))),
+        "sizes",
+    )
     wanted = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    wanted = materialize(wanted.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
+    wanted = materialize(
+        wanted.withColumn(
+            "passes",
+            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
+        ).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")),
+        "targets",
+    )
     edges = materialize(thresholds(sizes, wanted.where("budget > 0").select("source", "budget")), "thresholds")
-    per = wanted.alias("w").join(edges.alias("e"), F.col("w.source").eqNullSafe(F.col("e.source")), "left").select("w.source", "source_size", "target", "passes", F.col("budget") > 0, "threshold", "partial").toDF("s", "source_size", "target", "passes", "more", "threshold", "partial")
+    per = wanted.alias("w").join(edges.alias("e"), F.col("w.source").eqNullSafe(F.col("e.source")), "left").select(
+        "w.source",
+        "source_size",
+        "target",
+        "passes",
+        F.col("budget") > 0,
+        "threshold",
+        "partial",
+    ).toDF("s", "source_size", "target", "passes", "more", "threshold", "partial")
     per = materialize(per, "passes")
-    below = F.col("more") & (F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("partial")))
+    below = F.col("more") & (
+        F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("partial"))
+    )
     out = sizes.join(_small(per, sizes), F.col("source").eqNullSafe(F.col("s")))
     drop_tables(documents.sparkSession, edges, wanted)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + below.cast("long"))).alias("taken"))

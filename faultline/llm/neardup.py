@@ -35,8 +35,20 @@ FEW = 200_000
 #: Long lists that no joint values split are compared in blocks of so many members, by their DEEP smallest values.
 BLOCK, DEEP = 1024, 512
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("n_shingles", T.LongType()),
+    T.StructField("fp1", T.LongType()),
+    T.StructField("fp2", T.LongType()),
+    T.StructField("sketch", T.ArrayType(T.LongType())),
+])
+SETS = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("fp1", T.LongType()),
+    T.StructField("fp2", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("items", T.ArrayType(T.LongType())),
+])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -47,7 +59,9 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, list[np.nda
 
 def _prints(one: np.ndarray) -> tuple[int, int]:
     """Two 64-bit prints of a set: sums of two hashes of its members."""
-    return int(mix(one ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), int(mix(one + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(np.int64))
+    return int(
+        mix(one ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
+    ), int(mix(one + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(np.int64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -62,8 +76,16 @@ def sketches(documents: DataFrame, n: int) -> DataFrame:
             for part, sets in _sets(batch, n):
                 prints = [_prints(x) for x in sets]
                 low = [x[:KEPT] for x in sets]
-                columns = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(x) for x in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
-                columns.append(list_array(_signed(np.concatenate(low)) if low else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(x) for x in low])))))
+                columns = [
+                    part.column(part.schema.get_field_index("doc_id")),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([p[0] for p in prints], pa.int64()),
+                    pa.array([p[1] for p in prints], pa.int64()),
+                ]
+                columns.append(list_array(
+                    _signed(np.concatenate(low)) if low else np.zeros(0, np.int64),
+                    np.concatenate(([0], np.cumsum([len(x) for x in low]))),
+                ))
                 yield pa.RecordBatch.from_arrays(columns, names=SKETCH.names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
@@ -77,7 +99,19 @@ def full_sets(documents: DataFrame, n: int, most: int | None = None) -> DataFram
             for part, sets in _sets(batch, n):
                 prints, lengths = [_prints(x) for x in sets], np.array([len(x) for x in sets], np.int64)
                 low = [x[:most] for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(lengths), list_array(_signed(np.concatenate(low)) if low else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(x) for x in low]))))], names=SETS.names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(part.schema.get_field_index("doc_id")),
+                        pa.array([p[0] for p in prints], pa.int64()),
+                        pa.array([p[1] for p in prints], pa.int64()),
+                        pa.array(lengths),
+                        list_array(
+                            _signed(np.concatenate(low)) if low else np.zeros(0, np.int64),
+                            np.concatenate(([0], np.cumsum([len(x) for x in low]))),
+                        ),
+                    ],
+                    names=SETS.names,
+                )
 
     return documents.mapInArrow(run, SETS)
 
@@ -114,7 +148,9 @@ def _close(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
     known = classes.join(_few(needed), "cid", "left_semi")
     left, right = (known.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    joined = pairs.join(left, "a").join(right, "b").where((F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))).select("a", "b", "sa", "sb")
+    joined = pairs.join(left, "a").join(right, "b").where(
+        (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
+    ).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +167,11 @@ def _sets_of(needed: DataFrame, documents: DataFrame, classes: DataFrame, n: int
     needed = materialize(classes.select("cid", F.col("fp1").alias("p1"), F.col("fp2").alias("p2")).join(needed, "cid", "left_semi"), "needed")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(_few(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
-    sets = full_sets(texts, n, most).join(_few(needed), (F.col("id") == F.col("cid")) & (F.col("fp1") == F.col("p1")) & (F.col("fp2") == F.col("p2")), "left_semi")
+    sets = full_sets(texts, n, most).join(
+        _few(needed),
+        (F.col("id") == F.col("cid")) & (F.col("fp1") == F.col("p1")) & (F.col("fp2") == F.col("p2")),
+        "left_semi",
+    )
     return sets.dropDuplicates(["id"])
 
 
@@ -139,10 +179,18 @@ def _linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int,
     """Those of the pairs whose full sets have similarity t at least. Only texts that are in a pair are read again."""
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = materialize(_sets_of(needed, documents, classes, n), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")
+    joined = pairs.join(
+        sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")),
+        "a",
+    ).join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     percent = F.lit(round(t * 100))
-    links = materialize(joined.select("a", "b", "na", "nb", shared.alias("both")).where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    links = materialize(
+        joined.select("a", "b", "na", "nb", shared.alias("both")).where(
+            F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+        ).select("a", "b"),
+        "links",
+    )
     drop_tables(pairs.sparkSession, sets)
     return links
 
@@ -177,13 +225,20 @@ def _star(long: DataFrame) -> DataFrame:
     """Pairs (a, b) of each list's members (value, cid) with PIVOTS of them."""
     # the order of members is the same in all lists, so that lists of one group agree on pivots
     pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    out = long.join(materialize(pivots, "pivots"), "value").select("cid", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("cid <> p")
+    out = long.join(materialize(pivots, "pivots"), "value").select(
+        "cid",
+        F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p"),
+    ).where("cid <> p")
     return out.select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
 
 
 def _still_apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """value, cid, label of the lists (value, cid) whose members aren't all of one component."""
-    member = lists.select("value", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+    member = lists.select("value", "cid").join(
+        labels.withColumnRenamed("node", "cid"),
+        "cid",
+        "left",
+    ).withColumn("label", F.coalesce("component", "cid"))
     split = member.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     return member.select("value", "cid", "label").join(materialize(split, "split"), "value")
 
@@ -199,11 +254,20 @@ def _refined(long: DataFrame, links: DataFrame, documents: DataFrame, classes: D
         members = materialize(classes.select("cid", "n_shingles", "sketch").join(_few(label), "cid"), "members")
         lists = _dealt(members.select("cid", "sketch").repartition("cid"), joint, _often(t, joint))
         lists = materialize(lists.join(_few(members.select("cid", "label", "n_shingles")), "cid"), "lists")
-        sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value", "m"), "sizes")
+        sizes = materialize(
+            lists.groupBy("value").agg(
+                F.count("*").alias("m"),
+                F.min("label").alias("lo"),
+                F.max("label").alias("hi"),
+            ).where("lo <> hi").select("value", "m"),
+            "sizes",
+        )
         lists = lists.join(sizes, "value")
         short = lists.where(F.col("m") <= PAIRED)
         left, right = (short.select("value", F.col("cid").alias(k), F.col("label").alias(f"l{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
-        pairs = left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na")))
+        pairs = left.join(right, "value").where(
+            (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
+        )
         more = lists.where(F.col("m") > PAIRED).select("value", "cid")
         pairs = materialize(pairs.select("a", "b").unionByName(_star(more)).distinct(), "pairs")
         found = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
@@ -223,10 +287,25 @@ def _apart(member: DataFrame, documents: DataFrame, classes: DataFrame, n: int,
     values are compared exactly, so pairs that a found link joins are left out; larger ones by their DEEP smallest.
     """
     split = member.groupBy("value").agg(F.count("*").alias("m"))
-    member = materialize(member.join(split, "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "members")
+    member = materialize(
+        member.join(split, "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn(
+            "block",
+            F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"),
+        ),
+        "members",
+    )
     low = materialize(_sets_of(member.select("cid").distinct(), documents, classes, n, DEEP), "deep")
     member = member.join(low.select(F.col("id").alias("cid"), "n", "items"), "cid")
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "n", "items")
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "value",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "cid",
+        "label",
+        "n",
+        "items",
+    )
 
     def compare(frame):
         import pandas as pd
@@ -293,7 +372,11 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
     ship(documents.sparkSession)
     with Tables(documents.sparkSession) as made:
         own = materialize(sketches(documents, n), "sketches")
-        classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(
+            F.min("doc_id").alias("cid"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("sketch").alias("sketch"),
+        )
         classes = materialize(classes, "classes")
         spark = documents.sparkSession
 
@@ -301,25 +384,47 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
         values = classes.select("cid", F.size(low).alias("have"), F.explode(low).alias("value"))
         # counts are stored before they are joined, so that a value that very many sets have is split in the join
         often = materialize(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "often")
-        listed = values.join(often, "value").groupBy("cid").agg(F.first("have").alias("have"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("all"))
+        listed = values.join(often, "value").groupBy("cid").agg(
+            F.first("have").alias("have"),
+            F.array_sort(F.collect_list(F.struct("often", "value"))).alias("all"),
+        )
         # values that no other set has come first in the order, so that many of the listed places are taken already
         need = F.when(F.col("have") < RETRIEVE, F.ceil(t * F.col("have")).cast("int")).otherwise(SHARED)
         room = F.greatest(F.lit(0), F.size("all") - F.greatest(F.lit(0), need - 1))
-        listed = materialize(listed.select("cid", F.explode(F.slice("all", F.lit(1), room)).alias("x")).select("cid", F.col("x.value").alias("value")), "listed")
+        listed = materialize(
+            listed.select("cid", F.explode(F.slice("all", F.lit(1), room)).alias("x")).select("cid", F.col("x.value").alias("value")),
+            "listed",
+        )
         many = materialize(listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "many")
         lists = materialize(listed.join(many, "value"), "lists")
 
         short = lists.where(F.col("m") <= LIST)
-        pairs = short.select("value", F.col("cid").alias("a")).join(short.select("value", F.col("cid").alias("b")), "value").where("a > b").select("a", "b")
+        pairs = short.select("value", F.col("cid").alias("a")).join(
+            short.select("value", F.col("cid").alias("b")),
+            "value",
+        ).where("a > b").select("a", "b")
         long = lists.where(F.col("m") > LIST)
         pairs = materialize(pairs.unionByName(_star(long)).distinct(), "pairs")
         links = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
-        same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(classes.select("fp1", "fp2", "cid"), ["fp1", "fp2"])
+        same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(
+            classes.select("fp1", "fp2", "cid"),
+            ["fp1", "fp2"],
+        )
         # one doc_id with several sets joins their classes
         twice = same.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).where("a <> b").select("a", "b")
         links = links.unionByName(twice)
         labels = components(links) if long.isEmpty() else _refined(long, links, documents, classes, n, t)
-        labels = classes.select("fp1", "fp2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component"))
-        out = made.keep(own.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "component"), "groups")
+        labels = classes.select("fp1", "fp2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "fp1",
+            "fp2",
+            F.coalesce("component", "cid").alias("component"),
+        )
+        out = made.keep(
+            own.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "component"),
+            "groups",
+        )
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn(
+        "component_id",
+        F.when(F.col("doc_id").isNotNull(), F.col("component_id")),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

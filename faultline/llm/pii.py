@@ -34,7 +34,10 @@ ONE_PASS = {
     "phone": BASE["phone"],
 }
 #: Candidates for added spans: runs that mix letters and digits, and numbers in groups.
-OTHER = {"secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{12,}", "number": r"(?<![0-9A-Za-z+.])\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"}
+OTHER = {
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{12,}",
+    "number": r"(?<![0-9A-Za-z+.])\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+}
 _CUES = r"(?i)(token|secret|passw|api.?key|key|auth|bearer|credential|ssn|passport|iban|account|phone|tel|mobile|fax|call)[^\n]{0,12}$"
 LABELERS = 5
 #: Characters before a candidate that labelers see. Arrays are built in pieces of so many members.
@@ -43,7 +46,12 @@ ROUNDS, ACCEPT = 50, 0.5
 
 
 def _luhn(digits: Column) -> Column:
-    total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + _doubled(F.substring(digits, -i, F.lit(1)).cast("int"), i))
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.length(digits)),
+        F.lit(0),
+        lambda acc,
+        i: acc + _doubled(F.substring(digits, -i, F.lit(1)).cast("int"), i),
+    )
     return total % 10 == 0
 
 
@@ -73,10 +81,16 @@ def _scanned(items: Column, carry: str, out: str, step) -> Column:
 
     def outside(acc: Column, piece: Column) -> Column:
         start = F.struct(acc["carry"].alias("carry"), F.expr(f"cast(array() as array<{out}>)").alias("out"))
-        return let(F.aggregate(piece, start, inside), lambda done: F.struct(done["carry"].alias("carry"), F.array_append(acc["out"], done["out"]).alias("out")))
+        return let(
+            F.aggregate(piece, start, inside),
+            lambda done: F.struct(done["carry"].alias("carry"), F.array_append(acc["out"], done["out"]).alias("out")),
+        )
 
     def whole(all_of: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / PIECE).cast("int")), lambda i: F.slice(all_of, i * PIECE + 1, F.lit(PIECE)))
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / PIECE).cast("int")),
+            lambda i: F.slice(all_of, i * PIECE + 1, F.lit(PIECE)),
+        )
         start = F.struct(F.lit(0).cast(carry).alias("carry"), F.expr(f"cast(array() as array<array<{out}>>)").alias("out"))
         found = F.aggregate(pieces, start, outside, lambda acc: F.flatten(acc["out"]))
         return F.when(F.size(all_of) > 0, found).otherwise(F.expr(f"cast(array() as array<{out}>)"))
@@ -96,9 +110,17 @@ def spans(kind: str, pattern: str, guard: str, text: Column) -> Column:
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         begin = at + F.length(x["gap"])
         end = begin + F.length(x["found"])
-        return end, F.when(_valid(kind, x["found"]), F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"), F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before")))
-
-    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("found"), gap.alias("gap")))
+        return end, F.when(
+            _valid(kind, x["found"]),
+            F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"), F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before")),
+        )
+
+    pieces = F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.split(text, pattern, -1),
+        lambda m,
+        gap: F.struct(m.alias("found"), gap.alias("gap")),
+    )
     all_of = _scanned(F.filter(pieces, lambda x: x["found"].isNotNull()), "int", _SPAN, step)
     return F.when(text.rlike(guard), all_of).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
@@ -108,7 +130,13 @@ def _outside(own: Column, others: Column, fields: str) -> Column:
     the start of the latter, a span is free if no other that starts before its end goes beyond its start."""
     empty = F.lit(None).cast(f"struct<{fields}>")
     mark = lambda key, last, to, x: F.struct(key.alias("key"), last.alias("last"), to.alias("to"), x.alias("x"))
-    both = F.concat(F.transform(others, lambda o: mark(o["start"], F.lit(1), o["end"], empty)), F.transform(own, lambda c: mark(c["end"], F.lit(0), F.lit(0), F.struct(*(c[f.split(":")[0]].alias(f.split(":")[0]) for f in fields.split(","))))))
+    both = F.concat(
+        F.transform(others, lambda o: mark(o["start"], F.lit(1), o["end"], empty)),
+        F.transform(
+            own,
+            lambda c: mark(c["end"], F.lit(0), F.lit(0), F.struct(*(c[f.split(":")[0]].alias(f.split(":")[0]) for f in fields.split(",")))),
+        ),
+    )
 
     def step(far: Column, x: Column) -> tuple[Column, Column]:
         return F.greatest(far, x["to"]), F.when((x["last"] == 0) & (far <= x["x"]["start"]), x["x"])
@@ -123,14 +151,23 @@ def _votes(x: Column) -> Column:
     digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
     share = digits / F.length(found)
     hexes = found.rlike(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$") & found.rlike("[A-Fa-f]")
-    regex = F.when(hexes | found.rlike(r"^(ghp|sk|pk|AKIA|xox)[A-Za-z0-9_-]{12,}$") | (x["kind"] == "number"), 1).when(found.rlike(r"[a-z]-[a-z]|/"), -1).otherwise(0)
+    regex = F.when(
+        hexes | found.rlike(r"^(ghp|sk|pk|AKIA|xox)[A-Za-z0-9_-]{12,}$") | (x["kind"] == "number"),
+        1,
+    ).when(found.rlike(r"[a-z]-[a-z]|/"), -1).otherwise(0)
     gazetteer = F.when(before.rlike(_CUES), 1).otherwise(0)
     context = F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).when(before.rlike(r"[A-Za-z]\s$"), 0).otherwise(-1)
     shape = F.when(share.between(0.2, 0.95) & (F.length(found) >= 16), 1).when(share < 0.1, -1).otherwise(0)
     length = F.when(F.length(found) >= 24, 1).when(F.length(found) < 14, F.when(x["kind"] == "number", 0).otherwise(-1)).otherwise(0)
     pattern = (regex + 1) + 3 * (gazetteer + 1) + 9 * (context + 1) + 27 * (shape + 1) + 81 * (length + 1)
     cell = F.when(x["kind"] == "number", 1).otherwise(0) + 2 * F.least(F.floor(F.length(found) / 8), F.lit(7)) + 16 * F.floor(share * 4).cast("int") + 80 * F.when(before.rlike(r"[=:]\s*[\"']?$"), 1).otherwise(0) + 160 * gazetteer + 320 * hexes.cast("int")
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), pattern.cast("int").alias("pattern"), cell.cast("int").alias("cell"))
+    return F.struct(
+        x["start"].alias("start"),
+        x["end"].alias("end"),
+        x["kind"].alias("kind"),
+        pattern.cast("int").alias("pattern"),
+        cell.cast("int").alias("cell"),
+    )
 
 
 def reliabilities(patterns: dict[int, int]) -> dict[int, float]:
@@ -167,7 +204,16 @@ def classifier(cells: dict[int, tuple[float, float]]) -> list[int]:
 
 
 def _named(kind: str, found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["found"].alias("found"), x["before"].alias("before")))
+    return F.transform(
+        found,
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            F.lit(kind).alias("kind"),
+            x["found"].alias("found"),
+            x["before"].alias("before"),
+        ),
+    )
 
 
 def _joined(kind: str, found: Column) -> Column:
@@ -199,4 +245,11 @@ def find(documents: DataFrame) -> DataFrame:
     number = _outside(F.filter("added", lambda x: x["kind"] == "number"), secret, "start:int,end:int,kind:string,pattern:int,cell:int")
     out = seen.withColumn("added", added)
     out = out.withColumn("more", F.concat(_joined("secret", secret), _joined("number", number)))
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.array_join(F.concat(*lists), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*lists, "more"), ",").alias("spans"), F.size("more").cast("long").alias("n_added"), (F.size(F.concat(*lists)) + F.size("more")).cast("long").alias("n_spans"))
+    return out.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(F.array_join(F.concat(*lists), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(*lists, "more"), ",").alias("spans"),
+        F.size("more").cast("long").alias("n_added"),
+        (F.size(F.concat(*lists)) + F.size("more")).cast("long").alias("n_spans"),
+    )

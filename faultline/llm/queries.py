@@ -61,7 +61,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_url_filter, op4_decontaminate, op5_license_scan, op6_quality_rules, op7_line_dedup, op8_pii, op9_language_id, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_mix_sources,
+    op2_near_dedup,
+    op3_url_filter,
+    op4_decontaminate,
+    op5_license_scan,
+    op6_quality_rules,
+    op7_line_dedup,
+    op8_pii,
+    op9_language_id,
+    op10_suffix_dedup,
+)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -51,7 +51,10 @@ def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("print", F.xxhash64("text"))
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).where("text is not null").withColumn("print", F.xxhash64("text"))
 
 
 def _anchors(documents: DataFrame) -> DataFrame:
@@ -62,7 +65,15 @@ def _anchors(documents: DataFrame) -> DataFrame:
                 at, keys = minimisers(w)
                 text = np.searchsorted(w.first, at, "right") - 1
                 rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array((at - w.first[text]).astype(np.int32)), pa.array(keys.view(np.int64))], names=["doc_id", "print", "pos", "key"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(rows),
+                        part.column(2).take(rows),
+                        pa.array((at - w.first[text]).astype(np.int32)),
+                        pa.array(keys.view(np.int64)),
+                    ],
+                    names=["doc_id", "print", "pos", "key"],
+                )
 
     return documents.mapInArrow(run, "doc_id long, print long, pos int, key long")
 
@@ -86,9 +97,16 @@ def _suffixes(joined: DataFrame) -> DataFrame:
                 left = code[at[:, None] + LEFT - 1 - np.arange(LEFT)[None, :]] * (np.arange(LEFT)[None, :] < back[:, None])
                 packed = np.concatenate((right.astype(">u4"), left.astype(">u4")), axis=1)
                 size = packed.shape[1] * 4
-                data = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer((np.arange(len(pos) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                data = pa.Array.from_buffers(
+                    pa.binary(),
+                    len(pos),
+                    [None, pa.py_buffer((np.arange(len(pos) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())],
+                )
                 rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(rows), part.column(2).take(rows), pa.array(pos.astype(np.int32)), data], names=["key", "doc_id", "print", "pos", "around"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), part.column(0).take(rows), part.column(2).take(rows), pa.array(pos.astype(np.int32)), data],
+                    names=["key", "doc_id", "print", "pos", "around"],
+                )
 
     return joined.mapInArrow(run, "key long, doc_id long, print long, pos int, around binary")
 
@@ -117,7 +135,17 @@ def _around(part: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].view(">u4").reshape(n, RIGHT + LEFT)
 
 
-_MATCH = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64()), ("key", pa.int64()), ("window", pa.int64()), ("around", pa.binary())])
+_MATCH = pa.schema([
+    ("kind", pa.int32()),
+    ("doc_id", pa.int64()),
+    ("print", pa.int64()),
+    ("start", pa.int32()),
+    ("end", pa.int32()),
+    ("other", pa.int64()),
+    ("key", pa.int64()),
+    ("window", pa.int64()),
+    ("around", pa.binary()),
+])
 _MATCH_DDL = "kind int, doc_id long, print long, start int, end int, other long, key long, window long, around binary"
 #: Kinds of rows: a match; a window that no neighbour has, but another suffix may have; the first and last suffix of a task.
 FOUND, OPEN, EDGE = 0, 1, 2
@@ -125,7 +153,12 @@ FOUND, OPEN, EDGE = 0, 1, 2
 
 def _rows(n: int, kind: int, **columns) -> pa.RecordBatch:
     given = {"kind": np.full(n, kind, np.int32)} | columns
-    return pa.RecordBatch.from_arrays([pa.array(given[f.name]).cast(f.type) if f.name in given and not isinstance(given[f.name], pa.Array) else given.get(f.name, pa.nulls(n, f.type)) for f in _MATCH], schema=_MATCH)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(given[f.name]).cast(f.type) if f.name in given and not isinstance(given[f.name], pa.Array) else given.get(f.name, pa.nulls(n, f.type)) for f in _MATCH
+        ],
+        schema=_MATCH,
+    )
 
 
 def _neighbours(part: pa.RecordBatch, low: int, high: int, loose: tuple[bool, bool] = (False, False)) -> Iterator[pa.RecordBatch]:
@@ -147,7 +180,15 @@ def _neighbours(part: pa.RecordBatch, low: int, high: int, loose: tuple[bool, bo
         me = i[hit]
         start[hit], end[hit] = np.minimum(start[hit], pos[me] - left[side][hit]), np.maximum(end[hit], pos[me] + right[side][hit])
         if len(me):
-            yield _rows(len(me), FOUND, doc_id=part.column(1).take(pa.array(me)), print=mark[me], start=pos[me] - left[side][hit], end=pos[me] + right[side][hit], other=part.column(1).take(pa.array(it[hit])))
+            yield _rows(
+                len(me),
+                FOUND,
+                doc_id=part.column(1).take(pa.array(me)),
+                print=mark[me],
+                start=pos[me] - left[side][hit],
+                end=pos[me] + right[side][hit],
+                other=part.column(1).take(pa.array(it[hit])),
+            )
     reach = np.maximum(right[i], right[i + 1])
     if loose[0] and low == 0:
         reach[0] = RIGHT
@@ -161,7 +202,16 @@ def _neighbours(part: pa.RecordBatch, low: int, high: int, loose: tuple[bool, bo
         r, c = np.nonzero(free[some] & whole)
         me = i[some][r]
         if len(me):
-            yield _rows(len(me), OPEN, doc_id=part.column(1).take(pa.array(me)), print=mark[me], start=first[some][r, c], end=first[some][r, c] + SHORTEST, key=key[me], window=hashes[r, c].view(np.int64))
+            yield _rows(
+                len(me),
+                OPEN,
+                doc_id=part.column(1).take(pa.array(me)),
+                print=mark[me],
+                start=first[some][r, c],
+                end=first[some][r, c] + SHORTEST,
+                key=key[me],
+                window=hashes[r, c].view(np.int64),
+            )
 
 
 def _edge(part: pa.RecordBatch, k: int) -> pa.RecordBatch:
@@ -225,9 +275,20 @@ def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_id, mark = part.column(1).fill_null(0).to_numpy(), part.column(2).to_numpy()
             order = np.lexsort((start, mark[r], doc_id[r], given[r], window))
             change = window[order][1:] != window[order][:-1]
-            ends = np.unique(np.concatenate((np.flatnonzero(np.concatenate(([True], change))), np.flatnonzero(np.concatenate((change, [True])))))) if len(order) else order
+            ends = np.unique(np.concatenate((
+                np.flatnonzero(np.concatenate(([True], change))),
+                np.flatnonzero(np.concatenate((change, [True]))),
+            ))) if len(order) else order
             keep = order[ends]
-            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(r[keep])), part.column(2).take(pa.array(r[keep])), pa.array(start[keep].astype(np.int32)), pa.array(window[keep].view(np.int64))], names=["doc_id", "print", "start", "window"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(1).take(pa.array(r[keep])),
+                    part.column(2).take(pa.array(r[keep])),
+                    pa.array(start[keep].astype(np.int32)),
+                    pa.array(window[keep].view(np.int64)),
+                ],
+                names=["doc_id", "print", "start", "window"],
+            )
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
@@ -244,7 +305,10 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     often = F.broadcast(hot.select("key"))
     kept = anchors.join(often, "key", "left_semi").unionByName(anchors.join(often, "key", "left_anti").join(again.select("key"), "key", "left_semi"))
     places = kept.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    joined = docs.join(places.withColumnsRenamed({"doc_id": "d", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "text", "print", "places")
+    joined = docs.join(
+        places.withColumnsRenamed({"doc_id": "d", "print": "p"}),
+        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")),
+    ).select("doc_id", "text", "print", "places")
     suffixes = materialize(_suffixes(joined), "suffixes")
     drop_tables(spark, anchors, again)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,11 +328,43 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     # stored, and always a shuffle: a key that very many suffixes have is split at run time
     wanted = materialize(free.select("key").distinct(), "open-keys")
     every = suffixes.join(wanted.hint("merge"), "key", "left_semi").select("key", "doc_id", "print", "pos", "around")
-    every = every.sortWithinPartitions("key").mapInArrow(_all_windows, "doc_id long, print long, start int, window long").join(free.select("window").distinct(), "window", "left_semi")
+    every = every.sortWithinPartitions("key").mapInArrow(
+        _all_windows,
+        "doc_id long, print long, start int, window long",
+    ).join(free.select("window").distinct(), "window", "left_semi")
     place = F.struct("doc_id", "print", "start")
-    twice = every.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window", F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
-    late = free.join(twice, "window").select("doc_id", "print", "start", "end", F.when(F.col("x") == F.col("doc_id"), F.col("y")).otherwise(F.col("x")).alias("other"))
+    twice = every.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(
+        "window",
+        F.col("a.doc_id").alias("x"),
+        F.col("b.doc_id").alias("y"),
+    )
+    late = free.join(twice, "window").select(
+        "doc_id",
+        "print",
+        "start",
+        "end",
+        F.when(F.col("x") == F.col("doc_id"), F.col("y")).otherwise(F.col("x")).alias("other"),
+    )
     found = matches.where(F.col("kind") == FOUND).unionByName(edges, allowMissingColumns=True).select("doc_id", "print", "start", "end", "other").unionByName(late)
-    spans = found.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"), F.min(F.when(F.col("other") != F.col("doc_id"), F.col("other"))).alias("other"))
-    merged = F.aggregate("all", F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    return spans.select("doc_id", F.coalesce("other", "doc_id").alias("other"), F.explode(merged).alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), (F.col("x.end") - F.col("x.start")).cast("long").alias("n_words"), "other")
+    spans = found.groupBy("doc_id", "print").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"),
+        F.min(F.when(F.col("other") != F.col("doc_id"), F.col("other"))).alias("other"),
+    )
+    merged = F.aggregate(
+        "all",
+        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
+        lambda acc,
+        x: F.when(
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+    return spans.select("doc_id", F.coalesce("other", "doc_id").alias("other"), F.explode(merged).alias("x")).select(
+        "doc_id",
+        F.col("x.start").cast("long").alias("start"),
+        (F.col("x.end") - F.col("x.start")).cast("long").alias("n_words"),
+        "other",
+    )
