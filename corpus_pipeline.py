@@ -43,7 +43,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = neardup.near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct()
     own = docs.join(groups, "doc_id", "left_anti").select(COLUMNS)
-    twice = materialize(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    twice = materialize(
+        own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"),
+        "repeated-ids",
+    )
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.when(F.col("text").isNotNull(), F.xxhash64("text")).asc_nulls_first()))
     once = own.join(twice, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").select(COLUMNS)
     return own.join(twice, "doc_id", "left_anti").select(COLUMNS).unionByName(once)
