@@ -38,7 +38,14 @@ def errors(spark: SparkSession, o: argparse.Namespace) -> None:
     found = graph.cut(found)
     shown = mining.with_traceback(found) if o.with_traceback else found
     if "json" in o.formats:
-        by = {f"errors_by_{name}": mining.counts(found, key).select(key, "count", F.row_number().over(flows.W.orderBy(F.desc("count"), "first_row")).alias("__nth")) for name, key in (("type", "error_type"), ("service", "service"))}
+        by = {
+            f"errors_by_{name}": mining.counts(found, key).select(
+                key,
+                "count",
+                F.row_number().over(flows.W.orderBy(F.desc("count"), "first_row")).alias("__nth"),
+            ) for name,
+            key in (("type", "error_type"), ("service", "service"))
+        }
         sinks.write_document({"summary": mining.summary(found), **by, "errors": shown.withColumn("__nth", F.col("row_id"))}, f"{o.out}/errors.json")
     if "csv" in o.formats:
         sinks.write_errors_csv(shown, f"{o.out}/errors.csv")
@@ -83,7 +90,11 @@ def window(spark: SparkSession, o: argparse.Namespace) -> None:
     if held is None:
         rows = logs.read_csv(spark, o.csv)
         methods = methods_of(*graphs_of(spark, o.services_dir, rows))
-        sinks.save_cache({"calls": matching.method_calls(matching.match(rows, methods)), "edges": matching.all_edges(methods), "logs": logs.scan_metrics(rows)}, f"{o.out}/cache", key)
+        sinks.save_cache(
+            {"calls": matching.method_calls(matching.match(rows, methods)), "edges": matching.all_edges(methods), "logs": logs.scan_metrics(rows)},
+            f"{o.out}/cache",
+            key,
+        )
         held = sinks.load_cache(spark, f"{o.out}/cache", key)
     inside = graph.cut(flows.error_window(held["calls"], o.window))
     nodes, links = rca.nodes(inside), rca.edges(inside, held["edges"])
@@ -126,7 +137,13 @@ def steps(spark: SparkSession, o: argparse.Namespace) -> None:
     similar = graph.cut(mining.step_patterns(rows))
     paths = graph.cut(graph.call_paths(rca.error_roots(mapped).select("root"), graph.cut(matching.all_edges(methods)), o.max_depth))
     context = exports.context_document(found, similar, mapped, paths)
-    for name, frame in {"1_errors": found, "2_patterns": similar, "3_error_methods": mapped, "4_call_paths": paths, "5_root_causes": context["root_causes"].drop("__nth")}.items():
+    for name, frame in {
+        "1_errors": found,
+        "2_patterns": similar,
+        "3_error_methods": mapped,
+        "4_call_paths": paths,
+        "5_root_causes": context["root_causes"].drop("__nth"),
+    }.items():
         sinks.write_json(frame, f"{o.out}/{name}.json")
     sinks.write_document(context, f"{o.out}/6_context.json")
     if not o.quiet:
@@ -150,7 +167,13 @@ def traces(spark: SparkSession, o: argparse.Namespace) -> None:
     back = trace.backward_trace(probes, edges, rows, o.window, o.max_depth)
     evidence = trace.call_evidence(probes, edges, calls, o.window, inside=inside)
     whole = trace.trace_summary(wrong, intra, found)
-    for name, frame in {"0_summary": whole, "1_error_patterns": found, "2_intra": names.join(intra, "error_id"), "2_call_evidence": evidence, "2_backward": names.join(back, "error_id")}.items():
+    for name, frame in {
+        "0_summary": whole,
+        "1_error_patterns": found,
+        "2_intra": names.join(intra, "error_id"),
+        "2_call_evidence": evidence,
+        "2_backward": names.join(back, "error_id"),
+    }.items():
         sinks.write_json(frame, f"{o.out}/{name}.json")
     if not o.quiet:
         print(sinks.table_report("Traces:", whole))

@@ -34,7 +34,11 @@ CLASSES: dict[str, list[str]] = {
     "oom": ["out of memory", "oom", "memory exhausted"],
 }
 # Trace ids, exception names, places and stack traces.
-TRACE_IDS = [r"trace[_-]?id[:\s=]+([a-zA-Z0-9-]+)", r"request[_-]?id[:\s=]+([a-zA-Z0-9-]+)", r"\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b"]
+TRACE_IDS = [
+    r"trace[_-]?id[:\s=]+([a-zA-Z0-9-]+)",
+    r"request[_-]?id[:\s=]+([a-zA-Z0-9-]+)",
+    r"\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b",
+]
 EXCEPTIONS = [r"(\w+Exception):", r"(\w+Error):", r"raise (\w+Exception)", r"throw new (\w+Exception)"]
 PLACES = [r"File\s+\"([^\"]+)\",\s+line\s+(\d+)", r"at\s+[\w.]+\((\w+\.java):(\d+)\)", r"in\s+(\w+)\s+at\s+line\s+(\d+)"]
 TRACE_HEADER = r"Traceback \(most recent call last\):"
@@ -97,7 +101,10 @@ def exception_type(message: Column) -> Column:
 
 def error_location(message: Column) -> Column:
     """file:line or function:line of the first kind of place that the message names."""
-    return F.coalesce(*(F.when(message.rlike(f"(?U){p}"), F.concat_ws(":", F.regexp_extract(message, f"(?U){p}", 1), F.regexp_extract(message, f"(?U){p}", 2))) for p in PLACES))
+    return F.coalesce(*(F.when(
+        message.rlike(f"(?U){p}"),
+        F.concat_ws(":", F.regexp_extract(message, f"(?U){p}", 1), F.regexp_extract(message, f"(?U){p}", 2)),
+    ) for p in PLACES))
 
 
 def trace_id(message: Column) -> Column:
@@ -117,7 +124,10 @@ def traceback_lines(message: Column) -> Column:
         header = line.rlike(f"(?iU){TRACE_HEADER}")
         inner = acc["open"] & line.rlike(r"(?U)^(?:File\s+\"[^\"]+\",\s+line\s+\d+|at\s+\w+)")
         last = acc["open"] & ~inner & line.contains(":") & (line.contains("Exception") | line.contains("Error"))
-        return F.struct((header | (acc["open"] & ~last)).alias("open"), F.when(header | inner | last, F.array_append(acc["kept"], line)).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(
+            (header | (acc["open"] & ~last)).alias("open"),
+            F.when(header | inner | last, F.array_append(acc["kept"], line)).otherwise(acc["kept"]).alias("kept"),
+        )
 
     found = F.aggregate(lines, nothing, step, lambda acc: F.slice(acc["kept"], 1, MOST_TRACE_LINES))
     return F.when(has_traceback(message), found).otherwise(F.expr("cast(array() as array<string>)"))
@@ -126,7 +136,10 @@ def traceback_lines(message: Column) -> Column:
 def duckdb_category(column: str) -> str:
     """The same test as SQL for DuckDB, whose expressions have no lookaround."""
     plain = lambda p: r"(^|[^\w:])404($|[^\w\"])" if "404" in p else p
-    cases = [f"when regexp_matches({column}, '(?i)" + "|".join(f"(?:{plain(p)})" for p in ps).replace("'", "''") + f"') then '{name}'" for name, (_, ps) in CATEGORIES.items()]
+    cases = [
+        f"when regexp_matches({column}, '(?i)" + "|".join(f"(?:{plain(p)})" for p in ps).replace("'", "''") + f"') then '{name}'" for name,
+        (_, ps) in CATEGORIES.items()
+    ]
     return "case " + " ".join(cases) + " end"
 
 

@@ -30,8 +30,24 @@ RULES: dict[str, list[tuple[str, str]]] = {
         (r'"[^"]{20,}"', '"<STRING>"'),
         (r"'[^']{20,}'", "'<STRING>'"),
     ],
-    "steps": [(_UUID, "<UUID>"), (_STAMP + r"(\.\d+)?", "<TIMESTAMP>"), (_IP + r"(:\d+)?\b", "<IP>"), (r"\b\d{4,}\b", "<NUM>"), (r":\s*\d+", ":<NUM>"), (r"=\s*\d+", "=<NUM>"), (r'"[^"]{20,}"', '"<STRING>"')],
-    "trace": [(_UUID, "<UUID>"), (_STAMP, "<TIMESTAMP>"), (_IP + r"\b", "<IP>"), (r"\b\d{6,}\b", "<NUMBER>"), (r":\s*\d+", ":<NUM>"), (r"=\s*\d+", "=<NUM>"), (r'"[^"]{20,}"', '"<STRING>"')],
+    "steps": [
+        (_UUID, "<UUID>"),
+        (_STAMP + r"(\.\d+)?", "<TIMESTAMP>"),
+        (_IP + r"(:\d+)?\b", "<IP>"),
+        (r"\b\d{4,}\b", "<NUM>"),
+        (r":\s*\d+", ":<NUM>"),
+        (r"=\s*\d+", "=<NUM>"),
+        (r'"[^"]{20,}"', '"<STRING>"'),
+    ],
+    "trace": [
+        (_UUID, "<UUID>"),
+        (_STAMP, "<TIMESTAMP>"),
+        (_IP + r"\b", "<IP>"),
+        (r"\b\d{6,}\b", "<NUMBER>"),
+        (r":\s*\d+", ":<NUM>"),
+        (r"=\s*\d+", "=<NUM>"),
+        (r'"[^"]{20,}"', '"<STRING>"'),
+    ],
 }
 #: Longer normalised messages are cut in the signatures of these profiles.
 CUT, CUTS = 200, {"mine", "trace"}

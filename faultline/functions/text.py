@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 LOG_METHODS = ["info", "warn", "warning", "debug", "error", "trace", "fatal", "log"]
 PLAIN_LOG_CALLS = ["info", "warn", "error", "debug", "log", "print"]
 ANONYMOUS = ["<lambda>", "<anonymous>", "<arrow>", "<init>", ""]
-SERVICE_LABELS = {"frontend": "fe", "adservice": "ad", "cartservice": "cart", "checkoutservice": "chk", "currencyservice": "cur", "emailservice": "email", "paymentservice": "pay", "recommendationservice": "rec", "shippingservice": "ship", "redis": "rds"}
+SERVICE_LABELS = {
+    "frontend": "fe",
+    "adservice": "ad",
+    "cartservice": "cart",
+    "checkoutservice": "chk",
+    "currencyservice": "cur",
+    "emailservice": "email",
+    "paymentservice": "pay",
+    "recommendationservice": "rec",
+    "shippingservice": "ship",
+    "redis": "rds",
+}
 
 
 def cpg_tokens(text: Column) -> Column:
@@ -92,7 +103,10 @@ def method_label(method: Column) -> Column:
     """Initials of the first two parts of a long name, or its first letters."""
     parts = F.filter(F.split(method, "_"), lambda x: x != "")
     initials = F.array_join(F.transform(F.slice(parts, 1, 2), lambda x: F.substring(x, 1, 1)), "")
-    return F.upper(F.when((F.length(method) > 8) & (F.size(parts) > 1), initials).when(F.length(method) > 8, F.substring(method, 1, 3)).otherwise(F.substring(method, 1, 4)))
+    return F.upper(F.when(
+        (F.length(method) > 8) & (F.size(parts) > 1),
+        initials,
+    ).when(F.length(method) > 8, F.substring(method, 1, 3)).otherwise(F.substring(method, 1, 4)))
 
 
 def share(part: Column, whole: Column) -> Column:

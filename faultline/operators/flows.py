@@ -27,7 +27,14 @@ def error_window(calls: DataFrame, window: float = 10.0, clamp: bool = True) ->
 
 
 def window_summary(calls: DataFrame) -> DataFrame:
-    return calls.agg(F.count("*").alias("total_calls"), F.count_if("is_error").alias("error_count"), F.array_sort(F.collect_set("service")).alias("services"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.min(F.when(F.col("is_error"), F.struct("timestamp", "row_id")))["row_id"].alias("first_error_row"))
+    return calls.agg(
+        F.count("*").alias("total_calls"),
+        F.count_if("is_error").alias("error_count"),
+        F.array_sort(F.collect_set("service")).alias("services"),
+        F.min("timestamp").alias("start"),
+        F.max("timestamp").alias("end"),
+        F.min(F.when(F.col("is_error"), F.struct("timestamp", "row_id")))["row_id"].alias("first_error_row"),
+    )
 
 
 def time_sessions(rows: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -52,9 +59,15 @@ def flows(calls: DataFrame, edges: DataFrame, gap: float = 2.0) -> DataFrame:
     are a piece. Pieces are folded in parallel, each streams through a task that holds one flow's members.
     """
     parts = cut(time_sessions(calls, gap))
-    sessions = parts.groupBy("session").agg(F.min_by("qualified_name", F.struct("timestamp", "row_id")).alias("first"), F.collect_set("qualified_name").alias("members"))
+    sessions = parts.groupBy("session").agg(
+        F.min_by("qualified_name", F.struct("timestamp", "row_id")).alias("first"),
+        F.collect_set("qualified_name").alias("members"),
+    )
     pairs = edges.where("kind = 'CALL'").select("caller", "callee")
-    near = pairs.unionByName(pairs.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))).distinct().groupBy(F.col("caller").alias("first")).agg(F.collect_set("callee").alias("linked"))
+    near = pairs.unionByName(pairs.select(
+        F.col("callee").alias("caller"),
+        F.col("caller").alias("callee"),
+    )).distinct().groupBy(F.col("caller").alias("first")).agg(F.collect_set("callee").alias("linked"))
     held = ranged(sessions.join(small(near), "first", "left").select("session", "members", "linked"), "session")
     pieces = running(held, F.when(F.col("linked").isNull(), 1).otherwise(0), "piece", "session")
     pieces = pieces.select("piece", "session", "members", "linked").repartition("piece").sortWithinPartitions("piece", "session")
@@ -80,14 +93,28 @@ def flows(calls: DataFrame, edges: DataFrame, gap: float = 2.0) -> DataFrame:
 
 def flow_table(calls: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """One row for each flow of calls (`flow`): services, time range, errors; with edges also its root and leaf calls."""
-    out = calls.groupBy("flow").agg(F.count("*").alias("n_calls"), F.array_sort(F.collect_set("service")).alias("services_involved"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.bool_or("is_error").alias("has_error"), F.count_if("is_error").alias("error_count"))
+    out = calls.groupBy("flow").agg(
+        F.count("*").alias("n_calls"),
+        F.array_sort(F.collect_set("service")).alias("services_involved"),
+        F.min("timestamp").alias("start_time"),
+        F.max("timestamp").alias("end_time"),
+        (F.max("timestamp") - F.min("timestamp")).alias("duration"),
+        F.bool_or("is_error").alias("has_error"),
+        F.count_if("is_error").alias("error_count"),
+    )
     if edges is not None:
         pairs = small(edges.where("kind = 'CALL'").select("caller", "callee").distinct())
         members = calls.select("flow", "qualified_name").distinct()
-        inner = members.withColumnRenamed("qualified_name", "caller").join(pairs, "caller").join(members.withColumnRenamed("qualified_name", "callee"), ["flow", "callee"])
+        inner = members.withColumnRenamed("qualified_name", "caller").join(pairs, "caller").join(
+            members.withColumnRenamed("qualified_name", "callee"),
+            ["flow", "callee"],
+        )
         for name, key in (("root_methods", "callee"), ("leaf_methods", "caller")):
             bare = calls.join(inner.select("flow", F.col(key).alias("qualified_name")).distinct(), ["flow", "qualified_name"], "left_anti")
-            ends = bare.groupBy("flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "row_id", "qualified_name"))), lambda x: x["qualified_name"]).alias(name))
+            ends = bare.groupBy("flow").agg(F.transform(
+                F.array_sort(F.collect_list(F.struct("timestamp", "row_id", "qualified_name"))),
+                lambda x: x["qualified_name"],
+            ).alias(name))
             out = out.join(ends, "flow", "left").withColumn(name, F.coalesce(name, F.expr("cast(array() as array<string>)")))
     return out.withColumn("flow_id", F.format_string("flow_%04d", "flow")).drop("flow")
 
@@ -99,7 +126,12 @@ def flow_connections(calls: DataFrame, edges: DataFrame) -> DataFrame:
     left = calls.select("flow", F.struct("timestamp", "row_id").alias("a"), F.col("qualified_name").alias("caller"))
     right = calls.select("flow", F.struct("timestamp", "row_id").alias("b"), F.col("qualified_name").alias("callee"))
     out = left.join(either, "caller").join(right, ["flow", "callee"]).where("a < b")
-    return out.select("flow", F.col("a.row_id").alias("from_row"), F.col("b.row_id").alias("to_row"), (X.service_of(F.col("caller")) != X.service_of(F.col("callee"))).alias("cross_service"))
+    return out.select(
+        "flow",
+        F.col("a.row_id").alias("from_row"),
+        F.col("b.row_id").alias("to_row"),
+        (X.service_of(F.col("caller")) != X.service_of(F.col("callee"))).alias("cross_service"),
+    )
 
 
 def arrows(events: DataFrame, edges: DataFrame, reach: float = 2.0, ahead: int = 19, order: list[str] | None = None) -> DataFrame:
@@ -109,14 +141,31 @@ def arrows(events: DataFrame, edges: DataFrame, reach: float = 2.0, ahead: int =
     """
     if ahead > BLOCK:
         raise ValueError(f"at most {BLOCK} events ahead")
-    slim = numbered(events.select("row_id", "timestamp", "qualified_name", *(c for c in order or [] if c not in ("row_id", "timestamp"))), "n", *(order or ["row_id"]))
+    slim = numbered(
+        events.select("row_id", "timestamp", "qualified_name", *(c for c in order or [] if c not in ("row_id", "timestamp"))),
+        "n",
+        *(order or ["row_id"]),
+    )
     block = F.floor(F.col("n") / BLOCK)
-    dealt = slim.withColumn("own", block).withColumn("block", F.explode(F.when((F.col("n") % BLOCK < ahead) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
+    dealt = slim.withColumn("own", block).withColumn(
+        "block",
+        F.explode(F.when((F.col("n") % BLOCK < ahead) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))),
+    )
     frame = W.partitionBy("block").orderBy("n").rowsBetween(1, ahead)
     near = dealt.withColumn("next", F.collect_list(F.struct("row_id", "timestamp", "qualified_name")).over(frame)).where("own = block")
-    near = near.select(F.col("row_id").alias("from_row"), F.col("timestamp").alias("t"), F.col("qualified_name").alias("caller"), F.explode("next").alias("n")).where(F.abs(F.col("n.timestamp") - F.col("t")) <= reach)
+    near = near.select(
+        F.col("row_id").alias("from_row"),
+        F.col("timestamp").alias("t"),
+        F.col("qualified_name").alias("caller"),
+        F.explode("next").alias("n"),
+    ).where(F.abs(F.col("n.timestamp") - F.col("t")) <= reach)
     pairs = small(edges.where("kind = 'CALL'").select("caller", "callee").distinct())
-    out = near.select("from_row", F.col("n.row_id").alias("to_row"), "caller", F.col("n.qualified_name").alias("callee")).join(pairs, ["caller", "callee"], "left_semi")
+    out = near.select(
+        "from_row",
+        F.col("n.row_id").alias("to_row"),
+        "caller",
+        F.col("n.qualified_name").alias("callee"),
+    ).join(pairs, ["caller", "callee"], "left_semi")
     return out.withColumn("cross_service", X.service_of(F.col("caller")) != X.service_of(F.col("callee")))
 
 
@@ -128,7 +177,14 @@ def method_labels(events: DataFrame) -> DataFrame:
     number = F.row_number().over(W.partitionBy("service").orderBy("first_row"))
     own = own.withColumn("label", F.concat(X.service_label(F.col("service")), F.lit("-"), number.cast("string")))
     shown = ["service", "method", "qualified_name", "first_row", "label", "total_calls"]
-    return own.select(*shown, F.col("x.timestamp").alias("first_timestamp"), X.clock_text(F.col("x.timestamp")).alias("first_time_str"), "x.is_error", "x.message", "x.score")
+    return own.select(
+        *shown,
+        F.col("x.timestamp").alias("first_timestamp"),
+        X.clock_text(F.col("x.timestamp")).alias("first_time_str"),
+        "x.is_error",
+        "x.message",
+        "x.score",
+    )
 
 
 def call_times(events: DataFrame) -> DataFrame:
@@ -155,4 +211,7 @@ def ticks(events: DataFrame, most: int = 30) -> DataFrame:
     """Evenly spaced axis ticks over the events' time range."""
     span = events.agg((F.max("timestamp") - F.min("timestamp")).alias("range"))
     n = F.least(F.lit(most), F.floor("range").cast("int") + 1)
-    return span.select(F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(n > 1, F.col("range") * i / (n - 1)).otherwise(0.0))).alias("tick"))
+    return span.select(F.explode(F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.when(n > 1, F.col("range") * i / (n - 1)).otherwise(0.0),
+    )).alias("tick"))

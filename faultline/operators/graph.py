@@ -74,7 +74,11 @@ def call_paths(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """For each root: its reachable methods, services and depth, and how many calls of each class it has."""
     seen = reach(roots, edges, depth)
     graph = call_graph(roots, edges, depth, seen)
-    size = seen.groupBy("root").agg(F.count("*").alias("total_reachable"), F.max("bfs_depth").alias("call_depth"), F.array_sort(F.collect_set(X.service_of(F.col("method")))).alias("services_involved"))
+    size = seen.groupBy("root").agg(
+        F.count("*").alias("total_reachable"),
+        F.max("bfs_depth").alias("call_depth"),
+        F.array_sort(F.collect_set(X.service_of(F.col("method")))).alias("services_involved"),
+    )
     calls = graph.groupBy("root").agg(*(F.count_if(F.col("class") == k).alias(f"n_{k}") for k in ("internal", "outbound", "external_chain")))
     return size.join(calls, "root", "left").na.fill(0, ["n_internal", "n_outbound", "n_external_chain"])
 
@@ -86,4 +90,8 @@ def leaf_candidates(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataF
 
 def callers(edges: DataFrame) -> DataFrame:
     calls = edges.where("kind = 'CALL'")
-    return calls.select(F.col("callee").alias("method"), "caller", (X.service_of(F.col("caller")) != X.service_of(F.col("callee"))).alias("is_external"))
+    return calls.select(
+        F.col("callee").alias("method"),
+        "caller",
+        (X.service_of(F.col("caller")) != X.service_of(F.col("callee"))).alias("is_external"),
+    )

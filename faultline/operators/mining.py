@@ -30,7 +30,13 @@ def detect(logs: DataFrame, error_type: str | None = None, min_severity: int = 1
     found = found.where(F.col("severity") >= min_severity)
     if error_type:
         found = found.where(F.col("error_type") == error_type.upper())
-    return found.withColumns({"timestamp_str": X.timestamp_text(F.col("timestamp")), "has_traceback": E.has_traceback(m), "traceback_lines": E.traceback_lines(m), "exception_type": E.exception_type(m), "error_location": E.error_location(m)})
+    return found.withColumns({
+        "timestamp_str": X.timestamp_text(F.col("timestamp")),
+        "has_traceback": E.has_traceback(m),
+        "traceback_lines": E.traceback_lines(m),
+        "exception_type": E.exception_type(m),
+        "error_location": E.error_location(m),
+    })
 
 
 def with_traceback(errors: DataFrame) -> DataFrame:
@@ -41,7 +47,14 @@ def with_traceback(errors: DataFrame) -> DataFrame:
 def summary(errors: DataFrame) -> DataFrame:
     """One row: totals, distinct exceptions and the time range (0, 0 without errors)."""
     start, end = F.coalesce(F.min("timestamp"), F.lit(0.0)), F.coalesce(F.max("timestamp"), F.lit(0.0))
-    return errors.agg(F.count("*").alias("total_errors"), F.count_if("has_traceback").alias("errors_with_traceback"), F.array_sort(F.collect_set("exception_type")).alias("unique_exceptions"), start.alias("start"), end.alias("end"), (end - start).alias("duration_seconds"))
+    return errors.agg(
+        F.count("*").alias("total_errors"),
+        F.count_if("has_traceback").alias("errors_with_traceback"),
+        F.array_sort(F.collect_set("exception_type")).alias("unique_exceptions"),
+        start.alias("start"),
+        end.alias("end"),
+        (end - start).alias("duration_seconds"),
+    )
 
 
 def counts(rows: DataFrame, key: str, name: str = "count") -> DataFrame:
@@ -68,17 +81,26 @@ def signed(rows: DataFrame, profile: str) -> DataFrame:
     elif profile == "trace":
         rows = rows.where(E.is_error(m)).withColumn("error_type", E.trace_class(m))
     rows = rows.withColumn("normalized", N.normalized(m, profile))
-    return rows.withColumn("signature", N.signature(F.col("normalized"), F.col("error_type"), F.col("service"), profile, F.col("exception_type") if profile == "mine" else None))
+    return rows.withColumn(
+        "signature",
+        N.signature(F.col("normalized"), F.col("error_type"), F.col("service"), profile, F.col("exception_type") if profile == "mine" else None),
+    )
 
 
 def _samples(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """keys, and the messages of the first k rows in order."""
-    return first_rows(rows, keys, k).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "message"))), lambda x: x["message"]).alias("sample_messages"), F.transform(F.array_sort(F.collect_list(F.struct("row_id", "normalized"))), lambda x: x["normalized"]).alias("__norms"))
+    return first_rows(rows, keys, k).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_id", "message"))), lambda x: x["message"]).alias("sample_messages"),
+        F.transform(F.array_sort(F.collect_list(F.struct("row_id", "normalized"))), lambda x: x["normalized"]).alias("__norms"),
+    )
 
 
 def most_common(values: Column) -> Column:
     """The most frequent member of an array; of ties, the first."""
-    ranked = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-F.array_position(values, v)).alias("p"), v.alias("v")))
+    ranked = F.transform(
+        F.array_distinct(values),
+        lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-F.array_position(values, v)).alias("p"), v.alias("v")),
+    )
     return F.array_max(ranked)["v"]
 
 
@@ -113,13 +135,29 @@ def trace_lines(errors: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
 
 def step_patterns(logs: DataFrame, k: int = 3) -> DataFrame:
     rows = signed(logs, "steps")
-    base = rows.groupBy("signature").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("service")).alias("services"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set("trace_id")).alias("trace_ids"), F.min_by("error_type", "row_id").alias("error_type"), F.min_by("normalized", "row_id").alias("normalized_message"), F.min("row_id").alias("first_row"))
+    base = rows.groupBy("signature").agg(
+        F.count("*").alias("count"),
+        F.array_sort(F.collect_set("service")).alias("services"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+        F.array_sort(F.collect_set("trace_id")).alias("trace_ids"),
+        F.min_by("error_type", "row_id").alias("error_type"),
+        F.min_by("normalized", "row_id").alias("normalized_message"),
+        F.min("row_id").alias("first_row"),
+    )
     return base.join(_samples(rows, ["signature"], k).select("signature", F.col("sample_messages").alias("samples")), "signature")
 
 
 def trace_patterns(logs: DataFrame, k: int = 3) -> DataFrame:
     rows = signed(logs, "trace")
-    base = rows.groupBy("signature").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("service")).alias("services"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min_by("error_type", "row_id").alias("error_type"), F.min_by("normalized", "row_id").alias("normalized_message"))
+    base = rows.groupBy("signature").agg(
+        F.count("*").alias("count"),
+        F.array_sort(F.collect_set("service")).alias("services"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+        F.min_by("error_type", "row_id").alias("error_type"),
+        F.min_by("normalized", "row_id").alias("normalized_message"),
+    )
     return base.join(_samples(rows, ["signature"], k).select("signature", F.col("sample_messages").alias("samples")), "signature")
 
 
@@ -165,7 +203,12 @@ def _leaders(first: float):
                 for token in rare:
                     listed.setdefault(token, []).append(at)
             out.append((own, at))
-        return pd.DataFrame({"service": frame["service"].iloc[0], "error_type": frame["error_type"].iloc[0], "tokens": [t for t, _ in out], "leader": [i for _, i in out]})
+        return pd.DataFrame({
+            "service": frame["service"].iloc[0],
+            "error_type": frame["error_type"].iloc[0],
+            "tokens": [t for t, _ in out],
+            "leader": [i for _, i in out],
+        })
 
     return lead
 
@@ -182,9 +225,15 @@ def similar_patterns(errors: DataFrame, threshold: float = 0.8, k: int = 5) -> D
     rows = signed(errors, "mine").withColumn("tokens", X.word_tokens(F.col("normalized")))
     rows = cut(rows.select("row_id", "timestamp", "service", "error_type", "message", "normalized", "has_traceback", "exception_type", "tokens"))
     sets = rows.groupBy("service", "error_type", "tokens").agg(F.min("row_id").alias("first_row"))
-    led = sets.groupBy("service", "error_type").applyInPandas(_leaders(threshold), "service string, error_type string, tokens array<string>, leader long")
+    led = sets.groupBy("service", "error_type").applyInPandas(
+        _leaders(threshold),
+        "service string, error_type string, tokens array<string>, leader long",
+    )
     # a message without tokens is like none: each is a pattern of its own
-    member = cut(rows.join(led, ["service", "error_type", "tokens"]).withColumn("own", F.when(F.size("tokens") == 0, F.col("row_id")).otherwise(-1)).drop("tokens"))
+    member = cut(rows.join(led, ["service", "error_type", "tokens"]).withColumn(
+        "own",
+        F.when(F.size("tokens") == 0, F.col("row_id")).otherwise(-1),
+    ).drop("tokens"))
     keys = ["service", "error_type", "leader", "own"]
     found = member.groupBy(*keys).agg(
         F.min("row_id").alias("first_row"),
@@ -197,5 +246,10 @@ def similar_patterns(errors: DataFrame, threshold: float = 0.8, k: int = 5) -> D
     )
     found = numbered(found.join(_samples(member, keys, k), keys), "number", "first_row")
     name = F.concat_ws(":", "service", "error_type", F.col("number").cast("string"))
-    found = found.withColumns({"pattern_id": name, "signature": name, "services_affected": F.array("service"), "message_template": most_common(F.col("__norms"))})
+    found = found.withColumns({
+        "pattern_id": name,
+        "signature": name,
+        "services_affected": F.array("service"),
+        "message_template": most_common(F.col("__norms")),
+    })
     return found.drop("leader", "own", "number", "__norms")

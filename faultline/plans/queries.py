@@ -284,8 +284,21 @@ def token_index(i):
 @query
 def method_index(i):
     nodes, edges = V.tree(i.spark, i.dir)
-    nodes = nodes.select(F.lit("tree").alias("service"), "node_id", F.xxhash64("node_id").alias("node_ord"), "label", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("name", F.lit("")).alias("full_name"), F.lit("").alias("line"), F.coalesce("code", F.lit("")).alias("code"))
-    closure = G.subtree(nodes.where("label = 'METHOD'").select("service", F.col("node_id").alias("root")), edges.withColumn("service", F.lit("tree")), ["service"])
+    nodes = nodes.select(
+        F.lit("tree").alias("service"),
+        "node_id",
+        F.xxhash64("node_id").alias("node_ord"),
+        "label",
+        F.coalesce("name", F.lit("")).alias("name"),
+        F.coalesce("name", F.lit("")).alias("full_name"),
+        F.lit("").alias("line"),
+        F.coalesce("code", F.lit("")).alias("code"),
+    )
+    closure = G.subtree(
+        nodes.where("label = 'METHOD'").select("service", F.col("node_id").alias("root")),
+        edges.withColumn("service", F.lit("tree")),
+        ["service"],
+    )
     return J.method_index(nodes, closure).select("node_id", "name", "tokens", "call_tokens", "callee_names")
 
 
@@ -296,7 +309,12 @@ def match_logs(i):
 
 @query
 def match_logs_all_services(i):
-    return J.match_all_services(i.logs, i.methods).select("row_id", "n_candidates", "candidates", *(f"best_{c}" for c in ("service", "rec_idx", "method", "full_name", "line", "score")))
+    return J.match_all_services(i.logs, i.methods).select(
+        "row_id",
+        "n_candidates",
+        "candidates",
+        *(f"best_{c}" for c in ("service", "rec_idx", "method", "full_name", "line", "score")),
+    )
 
 
 @query
@@ -385,13 +403,20 @@ def top_step_patterns(i):
 def calls_below(i):
     nodes, edges = V.tree(i.spark, i.dir)
     nodes = nodes.withColumn("service", F.lit("tree"))
-    closure = G.subtree(nodes.where("label in ('METHOD', 'TYPE_DECL')").select("service", F.col("node_id").alias("root")), edges.withColumn("service", F.lit("tree")), ["service"])
+    closure = G.subtree(
+        nodes.where("label in ('METHOD', 'TYPE_DECL')").select("service", F.col("node_id").alias("root")),
+        edges.withColumn("service", F.lit("tree")),
+        ["service"],
+    )
     return J.calls_below(nodes, closure).drop("service")
 
 
 @query
 def potential_external(i):
-    return J.potential_external(G.reach(i.methods.select(X.qualified(F.col("service"), F.col("name")).alias("root")), i.edges, 3).select("root", "method"), i.methods)
+    return J.potential_external(
+        G.reach(i.methods.select(X.qualified(F.col("service"), F.col("name")).alias("root")), i.edges, 3).select("root", "method"),
+        i.methods,
+    )
 
 
 @query
@@ -461,7 +486,12 @@ def stacking(i):
 
 @query
 def short_labels(i):
-    return i.methods.select("service", "name", X.service_label(F.col("service")).alias("service_label"), X.method_label(F.col("name")).alias("method_label"))
+    return i.methods.select(
+        "service",
+        "name",
+        X.service_label(F.col("service")).alias("service_label"),
+        X.method_label(F.col("name")).alias("method_label"),
+    )
 
 
 @query
@@ -545,7 +575,10 @@ def llm_call_relationships(i):
 @query
 def llm_flows(i):
     rows = EX.flow_document(G.cut(FL.error_window(i.held_calls, 600.0)), i.edges)["execution_flows"]
-    return rows.withColumn("method_sequence", F.transform("method_sequence", lambda x: F.concat_ws("|", x["qualified_name"], x["timestamp"], x["is_error"].cast("string")))).drop("__nth")
+    return rows.withColumn(
+        "method_sequence",
+        F.transform("method_sequence", lambda x: F.concat_ws("|", x["qualified_name"], x["timestamp"], x["is_error"].cast("string"))),
+    ).drop("__nth")
 
 
 @query

@@ -99,7 +99,10 @@ def _label(attrs: dict[str, str]) -> str:
 
 def read_dot(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all files that the paths name; a file's folder is its service."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("service"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("service"),
+        F.decode("content", "UTF-8").alias("text"),
+    )
 
     def rows(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -107,13 +110,38 @@ def read_dot(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
         for frame in batches:
             for service, text in zip(frame["service"], frame["text"], strict=True):
                 nodes, edges = parse(text)
-                found = [(service, n, i, _label(a), clean(a.get("NAME")) or _named(a), clean(a.get("FULL_NAME")), clean(a.get("LINE_NUMBER")), clean(a.get("CODE")), {k: clean(v) for k, v in a.items()}, None, None) for i, (n, a) in enumerate(nodes.items())]
+                found = [
+                    (
+                        service,
+                        n,
+                        i,
+                        _label(a),
+                        clean(a.get("NAME")) or _named(a),
+                        clean(a.get("FULL_NAME")),
+                        clean(a.get("LINE_NUMBER")),
+                        clean(a.get("CODE")),
+                        {k: clean(v) for k, v in a.items()},
+                        None,
+                        None,
+                    ) for i,
+                    (n, a) in enumerate(nodes.items())
+                ]
                 found += [(service, None, i, clean(x.get("label")), None, None, None, None, None, a, b) for i, (a, b, x) in enumerate(edges)]
                 yield pd.DataFrame(found, columns=[c.split()[0] for c in BOTH.split(", ")])
 
     # each file is parsed once; nodes and edges are read from what that gives
     both = cut(files.mapInPandas(rows, BOTH))
-    nodes = both.where("src is null").select("service", "node_id", F.col("ord").alias("node_ord"), "label", "name", "full_name", "line", "code", "attrs")
+    nodes = both.where("src is null").select(
+        "service",
+        "node_id",
+        F.col("ord").alias("node_ord"),
+        "label",
+        "name",
+        "full_name",
+        "line",
+        "code",
+        "attrs",
+    )
     return nodes, both.where("src is not null").select("service", "src", "dst", "label", F.col("ord").alias("edge_ord"))
 
 

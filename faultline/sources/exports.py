@@ -38,12 +38,34 @@ def flow_document(inside: DataFrame, edges: DataFrame, gap: float = 2.0) -> dict
     parts = window_document(inside, edges)
     folded = flows.cut(flows.flows(inside, edges, gap))
     table = flows.cut(flows.flow_table(folded, edges))
-    call = F.struct("timestamp", "row_id", F.struct("service", "method", "qualified_name", X.iso_text(F.col("timestamp")).alias("timestamp"), "is_error").alias("call"))
-    calls = folded.groupBy(F.format_string("flow_%04d", "flow").alias("flow_id")).agg(F.transform(F.array_sort(F.collect_list(call)), lambda x: x["call"]).alias("method_sequence"))
+    call = F.struct(
+        "timestamp",
+        "row_id",
+        F.struct("service", "method", "qualified_name", X.iso_text(F.col("timestamp")).alias("timestamp"), "is_error").alias("call"),
+    )
+    calls = folded.groupBy(F.format_string("flow_%04d", "flow").alias("flow_id")).agg(F.transform(
+        F.array_sort(F.collect_list(call)),
+        lambda x: x["call"],
+    ).alias("method_sequence"))
     counts = table.agg(F.count("*").alias("total_flows"), F.count_if("has_error").alias("error_flows"))
-    shown = ["flow_id", "root_methods", "leaf_methods", "services_involved", F.round("duration", 3).alias("duration_seconds"), "has_error", "error_count", "method_sequence"]
+    shown = [
+        "flow_id",
+        "root_methods",
+        "leaf_methods",
+        "services_involved",
+        F.round("duration", 3).alias("duration_seconds"),
+        "has_error",
+        "error_count",
+        "method_sequence",
+    ]
     rows = table.join(calls, "flow_id").select(*shown, F.regexp_extract("flow_id", "[0-9]+", 0).cast("long").alias("__nth"))
-    return {"summary": parts["summary"].crossJoin(counts), "errors": parts["errors"], "execution_flows": rows, "lifecycle_events": parts["lifecycle_events"], "call_relationships": parts["call_relationships"]}
+    return {
+        "summary": parts["summary"].crossJoin(counts),
+        "errors": parts["errors"],
+        "execution_flows": rows,
+        "lifecycle_events": parts["lifecycle_events"],
+        "call_relationships": parts["call_relationships"],
+    }
 
 
 def context_document(errors: DataFrame, patterns: DataFrame, mapped: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
@@ -54,7 +76,11 @@ def context_document(errors: DataFrame, patterns: DataFrame, mapped: DataFrame,
     first = rca.top_patterns(patterns, summary)
     causes = rca.root_causes(roots, paths)
     best = mining.top(mining.counts(mapped, "qualified_name"), 10)
-    ranked = lambda frame, key: frame.select(key, "count", F.row_number().over(flows.W.orderBy(F.desc("count"), "first_row")).alias("__nth"))
+    ranked = lambda frame, key: frame.select(
+        key,
+        "count",
+        F.row_number().over(flows.W.orderBy(F.desc("count"), "first_row")).alias("__nth"),
+    )
     by = {name: ranked(mining.counts(mapped, key), key) for name, key in (("by_service", "service"), ("by_error_type", "error_type"))}
     numbered = lambda frame, *order: frame.withColumn("__nth", F.row_number().over(flows.W.orderBy(*order)))
     return {

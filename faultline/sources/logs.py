@@ -7,10 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts that a CSV reader takes for nulls.
-NULLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NULLS = [
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+]
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-ERROR = T.StructType([T.StructField("timestamp", T.DoubleType()), T.StructField("timestamp_str", T.StringType()), T.StructField("service", T.StringType()), T.StructField("message", T.StringType()), T.StructField("error_type", T.StringType()), T.StructField("severity", T.IntegerType()), T.StructField("has_traceback", T.BooleanType()), T.StructField("traceback_lines", T.ArrayType(T.StringType())), T.StructField("exception_type", T.StringType()), T.StructField("error_location", T.StringType())])
+ERROR = T.StructType([
+    T.StructField("timestamp", T.DoubleType()),
+    T.StructField("timestamp_str", T.StringType()),
+    T.StructField("service", T.StringType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("error_type", T.StringType()),
+    T.StructField("severity", T.IntegerType()),
+    T.StructField("has_traceback", T.BooleanType()),
+    T.StructField("traceback_lines", T.ArrayType(T.StringType())),
+    T.StructField("exception_type", T.StringType()),
+    T.StructField("error_location", T.StringType()),
+])
 
 
 def _known(column: Column) -> Column:
@@ -25,7 +56,12 @@ def clean(raw: DataFrame, strip_service: bool = True) -> DataFrame:
     service = F.coalesce(_known(F.col("container_name")), F.lit("unknown"))
     service = F.regexp_replace(service, r"(?U)^\s+|\s+$", "") if strip_service else service
     number = F.when(F.col("timestamp").rlike(_NUMBER), F.expr("try_cast(trim(timestamp) as double)"))
-    rows = named.select(F.monotonically_increasing_id().alias("row_id"), number.alias("timestamp"), service.alias("service"), F.coalesce(_known(F.col("message")), F.lit("")).alias("message"))
+    rows = named.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        number.alias("timestamp"),
+        service.alias("service"),
+        F.coalesce(_known(F.col("message")), F.lit("")).alias("message"),
+    )
     return rows.where("timestamp is not null")
 
 
@@ -44,13 +80,22 @@ def to_parquet(spark: SparkSession, path: str, out: str, plain: bool = False) ->
 
 def scan_metrics(logs: DataFrame) -> DataFrame:
     """One row on logs as read: rows, services, rows without a message, and the time range."""
-    return logs.agg(F.count("*").alias("rows"), F.count_distinct("service").alias("services"), F.count_if(F.col("message") == "").alias("empty_messages"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return logs.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("service").alias("services"),
+        F.count_if(F.col("message") == "").alias("empty_messages"),
+        F.min("timestamp").alias("first"),
+        F.max("timestamp").alias("last"),
+    )
 
 
 def read_errors_json(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a document's `errors` list."""
     whole = spark.read.schema(T.StructType([T.StructField("errors", T.ArrayType(ERROR))])).option("multiLine", True).json(path)
-    return whole.select(F.posexplode(F.coalesce("errors", F.array().cast(T.ArrayType(ERROR)))).alias("row_id", "x")).select(F.col("row_id").cast("long").alias("row_id"), "x.*")
+    return whole.select(F.posexplode(F.coalesce("errors", F.array().cast(T.ArrayType(ERROR)))).alias("row_id", "x")).select(
+        F.col("row_id").cast("long").alias("row_id"),
+        "x.*",
+    )
 
 
 def read_errors_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -26,8 +26,15 @@ def write_document(parts: dict[str, DataFrame], path: str) -> None:
     for k, (name, frame) in enumerate(parts.items()):
         nth = F.col("__nth").cast("long") if "__nth" in frame.columns else F.monotonically_increasing_id()
         shown = [c for c in frame.columns if c != "__nth"]
-        rows = frame.select(F.lit(2 * k + 1).alias("part"), nth.alias("nth"), F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("value"))
-        head = frame.sparkSession.createDataFrame([(2 * k, -1, ("{" if k == 0 else "],") + json.dumps(name) + ":["), (2 * k + 2, -2, "]}" if k == len(parts) - 1 else None)], "part int, nth long, value string")
+        rows = frame.select(
+            F.lit(2 * k + 1).alias("part"),
+            nth.alias("nth"),
+            F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("value"),
+        )
+        head = frame.sparkSession.createDataFrame(
+            [(2 * k, -1, ("{" if k == 0 else "],") + json.dumps(name) + ":["), (2 * k + 2, -2, "]}" if k == len(parts) - 1 else None)],
+            "part int, nth long, value string",
+        )
         rows = rows.unionByName(head.where("value is not null"))
         lines = rows if lines is None else lines.unionByName(rows)
     # a comma before each row but the first of its part; one file is one task, which sorts and reads rows in order
@@ -37,21 +44,48 @@ def write_document(parts: dict[str, DataFrame], path: str) -> None:
 
 
 def write_errors_csv(errors: DataFrame, path: str, cut: int = 200) -> None:
-    out = errors.select("timestamp", "timestamp_str", "service", "error_type", "severity", F.substring("message", 1, cut).alias("message"), "has_traceback", F.coalesce("exception_type", F.lit("")).alias("exception_type"), F.coalesce("error_location", F.lit("")).alias("error_location"))
+    out = errors.select(
+        "timestamp",
+        "timestamp_str",
+        "service",
+        "error_type",
+        "severity",
+        F.substring("message", 1, cut).alias("message"),
+        "has_traceback",
+        F.coalesce("exception_type", F.lit("")).alias("exception_type"),
+        F.coalesce("error_location", F.lit("")).alias("error_location"),
+    )
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_patterns_csv(patterns: DataFrame, path: str, cut: int = 200) -> None:
-    out = patterns.select("signature", "error_type", "count", F.array_join("services_affected", ",").alias("services_affected"), "first_seen", "last_seen", F.substring("message_template", 1, cut).alias("message_template"), F.array_join("exception_types", ",").alias("exception_types"))
+    out = patterns.select(
+        "signature",
+        "error_type",
+        "count",
+        F.array_join("services_affected", ",").alias("services_affected"),
+        "first_seen",
+        "last_seen",
+        F.substring("message_template", 1, cut).alias("message_template"),
+        F.array_join("exception_types", ",").alias("exception_types"),
+    )
     out.orderBy(F.desc("count"), "signature").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def report(errors: DataFrame, most: int = 10) -> str:
     """A text report: summary and ranked tables."""
     s = mining.summary(errors).first()
-    lines = [f"Errors: {s.total_errors}, with stack trace: {s.errors_with_traceback}", f"From {s.start} to {s.end} ({s.duration_seconds:.1f} s)", f"Exceptions: {', '.join(s.unique_exceptions) or 'none'}"]
+    lines = [
+        f"Errors: {s.total_errors}, with stack trace: {s.errors_with_traceback}",
+        f"From {s.start} to {s.end} ({s.duration_seconds:.1f} s)",
+        f"Exceptions: {', '.join(s.unique_exceptions) or 'none'}",
+    ]
     for key in ("error_type", "service"):
-        lines += ["", f"By {key}:", *(f"  {r[key]:<24} {r['count']:>10} {r['percent']:6.1f} %" for r in mining.counts(errors, key).limit(most).collect())]
+        lines += [
+            "",
+            f"By {key}:",
+            *(f"  {r[key]:<24} {r['count']:>10} {r['percent']:6.1f} %" for r in mining.counts(errors, key).limit(most).collect()),
+        ]
     return "\n".join(lines)
 
 
@@ -67,7 +101,10 @@ def write_report(errors: DataFrame, path: str) -> None:
         line("Exception", F.col("exception_type")),
         line("Location", F.col("error_location")),
         line("Message", F.col("message")),
-        F.when(F.size("traceback_lines") > 0, F.concat(F.lit("Traceback ("), F.size("traceback_lines").cast("string"), F.lit(" lines):\n  "), F.array_join("traceback_lines", "\n  "))),
+        F.when(
+            F.size("traceback_lines") > 0,
+            F.concat(F.lit("Traceback ("), F.size("traceback_lines").cast("string"), F.lit(" lines):\n  "), F.array_join("traceback_lines", "\n  ")),
+        ),
         F.lit("=" * 80),
     )
     details = numbered(errors, "n", "row_id").select("n", shown.alias("value"))
@@ -98,7 +135,10 @@ def save_cache(tables: dict[str, DataFrame], path: str, key: str) -> None:
     for name, frame in tables.items():
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps({"key": key, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    spark.createDataFrame(
+        [(json.dumps({"key": key, "tables": sorted(tables)}),)],
+        "value string",
+    ).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
 def load_cache(spark: SparkSession, path: str, key: str) -> dict[str, DataFrame] | None:

@@ -34,7 +34,12 @@ TEMPLATES = [
 
 def _template(text: str, spark: bool) -> str:
     kind, char = ("string", "char") if spark else ("varchar", "chr")
-    values = {"V": f"cast(event_id as {kind})", "U": f"cast(user_id as {kind})", "W": f"cast(event_id % 200 as {kind})", "H": "lower(lpad(hex(event_id), 8, '0'))"}
+    values = {
+        "V": f"cast(event_id as {kind})",
+        "U": f"cast(user_id as {kind})",
+        "W": f"cast(event_id % 200 as {kind})",
+        "H": "lower(lpad(hex(event_id), 8, '0'))",
+    }
     parts, rest = [], text
     while rest:
         cut = min((i for i in (rest.find(x) for x in ("{", "\n", "\t")) if i >= 0), default=len(rest))
@@ -77,22 +82,44 @@ def method_rows() -> list[tuple]:
     for s, service in enumerate(SERVICES):
         own = [k for k in range(20) if k < 4 or (k + s) % 2 == 0]
         for idx, k in enumerate(own):
-            callees = {METHODS[(3 * k + 1) % 20], METHODS[(7 * k + s) % 20]} | ({f"extCall{'abcdefghijklmnopqrst'[k]}"} if k % 5 == 0 else set()) | ({"info"} if k % 4 == 0 else set())
-            rows.append((service, idx, METHODS[k], f"shop.{service}.{METHODS[k]}", _tokens(METHODS[k] + " " + re.sub(r"\{.\}", " ", TEMPLATES[k])), sorted(callees), str(10 * idx + s)))
+            callees = {
+                METHODS[(3 * k + 1) % 20],
+                METHODS[(7 * k + s) % 20],
+            } | ({f"extCall{'abcdefghijklmnopqrst'[k]}"} if k % 5 == 0 else set()) | ({"info"} if k % 4 == 0 else set())
+            rows.append((
+                service,
+                idx,
+                METHODS[k],
+                f"shop.{service}.{METHODS[k]}",
+                _tokens(METHODS[k] + " " + re.sub(r"\{.\}", " ", TEMPLATES[k])),
+                sorted(callees),
+                str(10 * idx + s),
+            ))
     return rows
 
 
 def methods(spark: SparkSession) -> DataFrame:
     from ..functions.text import is_log_method
 
-    frame = spark.createDataFrame(method_rows(), "service string, rec_idx int, name string, full_name string, tokens array<string>, callee_names array<string>, line string")
+    frame = spark.createDataFrame(
+        method_rows(),
+        "service string, rec_idx int, name string, full_name string, tokens array<string>, callee_names array<string>, line string",
+    )
     return frame.withColumn("callee_names", F.filter("callee_names", lambda x: ~is_log_method(x)))
 
 
 def methods_sql() -> str:
     """The methods as a relation for DuckDB, without callees that only log."""
     array = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::varchar[]"
-    rows = ", ".join(f"('{s}', {i}, '{n}', '{f}', {array(t)}, {array([c for c in cs if c != 'info'])}, '{line}')" for s, i, n, f, t, cs, line in method_rows())
+    rows = ", ".join(
+        f"('{s}', {i}, '{n}', '{f}', {array(t)}, {array([c for c in cs if c != 'info'])}, '{line}')" for s,
+        i,
+        n,
+        f,
+        t,
+        cs,
+        line in method_rows()
+    )
     return f"select * from (values {rows}) as m(service, rec_idx, name, full_name, tokens, callee_names, line)"
 
 
@@ -102,9 +129,32 @@ def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     region, nation, customer, orders = (read(t) for t in ("region", "nation", "customer", "orders"))
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    nodes = region.select(key("r", "r_regionkey").alias("node_id"), F.lit("TYPE_DECL").alias("label"), F.col("r_name").alias("name"), none.alias("code"))
-    nodes = nodes.unionByName(nation.select(key("n", "n_nationkey").alias("node_id"), F.lit("METHOD").alias("label"), F.col("n_name").alias("name"), none.alias("code")))
-    nodes = nodes.unionByName(customer.select(key("c", "c_custkey").alias("node_id"), F.lit("IDENTIFIER").alias("label"), none.alias("name"), F.col("c_mktsegment").alias("code")))
-    nodes = nodes.unionByName(orders.select(key("o", "o_orderkey").alias("node_id"), F.lit("CALL").alias("label"), F.col("o_orderpriority").alias("name"), none.alias("code")))
-    edges = nation.select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst")).unionAll(customer.select(key("n", "c_nationkey"), key("c", "c_custkey"))).unionAll(orders.select(key("c", "o_custkey"), key("o", "o_orderkey")))
+    nodes = region.select(
+        key("r", "r_regionkey").alias("node_id"),
+        F.lit("TYPE_DECL").alias("label"),
+        F.col("r_name").alias("name"),
+        none.alias("code"),
+    )
+    nodes = nodes.unionByName(nation.select(
+        key("n", "n_nationkey").alias("node_id"),
+        F.lit("METHOD").alias("label"),
+        F.col("n_name").alias("name"),
+        none.alias("code"),
+    ))
+    nodes = nodes.unionByName(customer.select(
+        key("c", "c_custkey").alias("node_id"),
+        F.lit("IDENTIFIER").alias("label"),
+        none.alias("name"),
+        F.col("c_mktsegment").alias("code"),
+    ))
+    nodes = nodes.unionByName(orders.select(
+        key("o", "o_orderkey").alias("node_id"),
+        F.lit("CALL").alias("label"),
+        F.col("o_orderpriority").alias("name"),
+        none.alias("code"),
+    ))
+    edges = nation.select(
+        key("r", "n_regionkey").alias("src"),
+        key("n", "n_nationkey").alias("dst"),
+    ).unionAll(customer.select(key("n", "c_nationkey"), key("c", "c_custkey"))).unionAll(orders.select(key("c", "o_custkey"), key("o", "o_orderkey")))
     return nodes, edges

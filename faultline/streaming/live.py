@@ -19,19 +19,36 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def classified(logs: DataFrame, late: str = "30 seconds") -> DataFrame:
     m = F.col("message")
     rows = logs.withWatermark("ts", late).withColumn("error_type", E.category(m)).where("error_type is not null")
-    return rows.withColumns({"severity": E.severity(F.col("error_type")), "signature": N.signature(N.normalized(m, "mine"), F.col("error_type"), F.col("service"), "mine", E.exception_type(m))})
+    return rows.withColumns({
+        "severity": E.severity(F.col("error_type")),
+        "signature": N.signature(N.normalized(m, "mine"), F.col("error_type"), F.col("service"), "mine", E.exception_type(m)),
+    })
 
 
 def activity(logs: DataFrame, late: str = "30 seconds") -> DataFrame:
     """Logs by service and second."""
-    return logs.withWatermark("ts", late).groupBy(F.window("ts", "1 second"), "service").agg(F.count("*").alias("count")).select(F.col("window.start").alias("second"), "service", "count")
+    return logs.withWatermark("ts", late).groupBy(F.window("ts", "1 second"), "service").agg(F.count("*").alias("count")).select(
+        F.col("window.start").alias("second"),
+        "service",
+        "count",
+    )
 
 
 def pattern_counts(logs: DataFrame) -> DataFrame:
     """Errors by signature and minute."""
-    return classified(logs).groupBy(F.window("ts", "1 minute"), "signature", "error_type").agg(F.count("*").alias("count")).select(F.col("window.start").alias("minute"), "signature", "error_type", "count")
+    return classified(logs).groupBy(F.window("ts", "1 minute"), "signature", "error_type").agg(F.count("*").alias("count")).select(
+        F.col("window.start").alias("minute"),
+        "signature",
+        "error_type",
+        "count",
+    )
 
 
 def sessions(logs: DataFrame, gap: str = "2 seconds", late: str = "30 seconds") -> DataFrame:
     """Flows by time alone, for each service."""
-    return logs.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "service").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "service", "n")
+    return logs.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "service").agg(F.count("*").alias("n")).select(
+        F.col("session_window.start").alias("start"),
+        F.col("session_window.end").alias("end"),
+        "service",
+        "n",
+    )
