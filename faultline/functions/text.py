@@ -109,6 +109,15 @@ def method_label(method: Column) -> Column:
     ).when(F.length(method) > 8, F.substring(method, 1, 3)).otherwise(F.substring(method, 1, 4)))
 
 
+def shortened(text: Column, n: int = 200) -> Column:
+    return F.substring(text, 1, n)
+
+
+def relative(ts: Column, start: Column, places: int = 3) -> Column:
+    """Seconds since a start, rounded (of two, to the even last digit)."""
+    return F.bround(ts - start, places)
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, null where whole is 0."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

@@ -556,5 +556,15 @@ from (select r, n, unnest(range(n)) as i from (select max(timestamp) - min(times
         f"select row_id, case when us % 1000000 = 0 then strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') else strftime(make_timestamp(us), "
         f"'%Y-%m-%dT%H:%M:%S.%f') end as iso from (select row_id, {X.duckdb_micros('timestamp')} as us from l)"
     ),
+    "errors_with_traceback": _with(L, D) + "select row_id, service, error_type from d where has_traceback",
+    "errors_first": _with(L, D) + "select row_id as first_row, service, error_type from d order by row_id limit 50",
+    "logs_first_of_services": _with(L) + "select row_id, service from (select *, row_number() over (partition by service order by row_id) as nth from l) where nth <= 20",
+    "messages_shortened": _with(L) + "select row_id, substr(message, 1, 30) as message, round_even(timestamp - (select min(timestamp) from l), 3) as seconds from l",
+    "call_names": "select event_id, case when event_id % 3 > 0 then event_type end as call from events",
+    "short_labels_of_parts": """
+select event_id, name, upper(case when length(name) > 8 and len(parts) > 1 then substr(parts[1], 1, 1) || substr(parts[2], 1, 1) when length(name) > 8 then substr(name, 1, 3) else substr(name, 1, 4) end) as label
+from (
+  select event_id, name, list_filter(string_split(name, '_'), lambda x: x <> '') as parts
+  from (select event_id, event_type || case when event_id % 2 = 0 then '_of_user' else '' end || '__' || (user_id % 5) as name from events))""",
     "activity_by_second": _with(L) + f"select service, {_stamp('timestamp')} as second, count(*) as count from l group by all",
 }

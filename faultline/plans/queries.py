@@ -131,6 +131,33 @@ def errors_of_type(i):
     return P.detect(i.logs, "timeout").select("row_id", "error_type", "message")
 
 
+@query
+def errors_with_traceback(i):
+    return P.with_traceback(i.errors).select("row_id", "service", "error_type")
+
+
+@query
+def errors_first(i):
+    return P.top(i.errors.withColumn("count", F.lit(0)).withColumnRenamed("row_id", "first_row"), 50).select("first_row", "service", "error_type")
+
+
+@query
+def logs_first_of_services(i):
+    return P.first_rows(i.logs, ["service"], 20).select("row_id", "service")
+
+
+@query
+def messages_shortened(i):
+    rows = i.logs.crossJoin(F.broadcast(i.logs.agg(F.min("timestamp").alias("start"))))
+    return rows.select("row_id", X.shortened(F.col("message"), 30).alias("message"), X.relative(F.col("timestamp"), F.col("start")).alias("seconds"))
+
+
+@query
+def call_names(i):
+    label = F.concat(F.lit('<CALL> name: "'), "event_type", F.lit('" code'))
+    return i.table("events").select("event_id", X.call_name(F.when(F.col("event_id") % 3 > 0, label).otherwise(F.col("event_type"))).alias("call"))
+
+
 @query
 def exception_types(i):
     return i.logs.select("row_id", E.exception_type(F.col("message")).alias("exception_type"))
@@ -494,6 +521,12 @@ def short_labels(i):
     )
 
 
+@query
+def short_labels_of_parts(i):
+    name = F.concat_ws("_", "event_type", F.when(F.col("event_id") % 2 == 0, F.lit("of_user")), F.lit(""), F.col("user_id") % 5)
+    return i.table("events").select("event_id", name.alias("name"), X.method_label(name).alias("label"))
+
+
 @query
 def times_text(i):
     return i.logs.select("row_id", X.clock_text(F.col("timestamp")).alias("clock"))

@@ -52,3 +52,42 @@ def sessions(logs: DataFrame, gap: str = "2 seconds", late: str = "30 seconds")
         "service",
         "n",
     )
+
+
+def structural_flows(calls: DataFrame, links: list[tuple[str, str]], gap: float = 2.0, key: str = "service") -> DataFrame:
+    """row_id, key, flow of a stream of calls (row_id, timestamp, qualified_name and the key): within a key, a call begins a
+    flow if more than `gap` seconds are behind it and no link, either way, joins it with a call of the flow before.
+
+    links: pairs of qualified names, a call graph's. A key's state is its last time and the members of one flow; calls that
+    come in a later batch than calls after them are taken as they come.
+    """
+    near: dict[str, set[str]] = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def fold(keys, frames, state):
+        import pandas as pd
+
+        flow, last, members = state.get if state.exists else (-1, None, [])
+        held = set(members)
+        for frame in frames:
+            out = []
+            for row in frame.sort_values(["timestamp", "row_id"]).itertuples():
+                apart = last is None or row.timestamp - last > gap
+                if apart and held.isdisjoint(near.get(row.qualified_name, ())):
+                    flow, held = flow + 1, set()
+                held.add(row.qualified_name)
+                last = row.timestamp
+                out.append((row.row_id, keys[0], flow))
+            yield pd.DataFrame(out, columns=["row_id", key, "flow"])
+        state.update((flow, last, sorted(held)))
+
+    shown = calls.select(key, "row_id", "timestamp", "qualified_name")
+    return shown.groupBy(key).applyInPandasWithState(
+        fold,
+        f"row_id long, {key} string, flow long",
+        "flow long, last double, members array<string>",
+        "append",
+        "NoTimeout",
+    )

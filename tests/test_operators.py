@@ -171,6 +171,19 @@ def test_stream(spark, tmp_path):
     assert sorted(r["count"] for r in spark.table("seconds").collect()) == [2, 2, 2]
 
 
+def test_structural_flows_of_a_stream(spark, tmp_path):
+    from faultline.streaming import live
+
+    schema = "row_id long, timestamp double, service string, qualified_name string"
+    batches = [[(0, 0.0, "s", "a"), (1, 1.0, "s", "x"), (5, 0.0, "t", "a")], [(2, 9.0, "s", "b"), (3, 99.0, "s", "z"), (6, 50.0, "t", "c")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        calls = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        job = live.structural_flows(calls, [("a", "b")]).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        job.awaitTermination(120)
+    assert {r.row_id: r.flow for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 5: 0, 6: 1}
+
+
 def test_subtree_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(120)], "src string, dst string")
     found = G.subtree(spark.createDataFrame([("n0",), ("n118",)], "root string"), links)
