@@ -138,7 +138,7 @@ def _floor(t: float, seen: np.ndarray) -> np.ndarray:
     return t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)) - 1e-9
 
 
-def _few(ids: DataFrame) -> DataFrame:
+def few(ids: DataFrame) -> DataFrame:
     """ids with a broadcast hint if they are FEW at most."""
     return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
 
@@ -146,7 +146,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def _close(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out: sizes and the union-sketch estimate allow similarity t."""
     needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
-    known = classes.join(_few(needed), "cid", "left_semi")
+    known = classes.join(few(needed), "cid", "left_semi")
     left, right = (known.select(F.col("cid").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     joined = pairs.join(left, "a").join(right, "b").where(
         (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
@@ -166,9 +166,9 @@ def _sets_of(needed: DataFrame, documents: DataFrame, classes: DataFrame, n: int
     """The sets of the classes `needed` (cid): all values, or the `most` smallest. Only their texts are read again."""
     needed = materialize(classes.select("cid", F.col("fp1").alias("p1"), F.col("fp2").alias("p2")).join(needed, "cid", "left_semi"), "needed")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(_few(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
+    texts = texts.join(few(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
     sets = full_sets(texts, n, most).join(
-        _few(needed),
+        few(needed),
         (F.col("id") == F.col("cid")) & (F.col("fp1") == F.col("p1")) & (F.col("fp2") == F.col("p2")),
         "left_semi",
     )
@@ -251,9 +251,9 @@ def _refined(long: DataFrame, links: DataFrame, documents: DataFrame, classes: D
         if apart.isEmpty():
             return labels
         label = materialize(apart.select("cid", "label").distinct(), "members")
-        members = materialize(classes.select("cid", "n_shingles", "sketch").join(_few(label), "cid"), "members")
+        members = materialize(classes.select("cid", "n_shingles", "sketch").join(few(label), "cid"), "members")
         lists = _dealt(members.select("cid", "sketch").repartition("cid"), joint, _often(t, joint))
-        lists = materialize(lists.join(_few(members.select("cid", "label", "n_shingles")), "cid"), "lists")
+        lists = materialize(lists.join(few(members.select("cid", "label", "n_shingles")), "cid"), "lists")
         sizes = materialize(
             lists.groupBy("value").agg(
                 F.count("*").alias("m"),
