@@ -41,15 +41,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or blank text is like no other and stays, as does every row with a null doc_id. Of rows that share a doc_id, one
     stays: that whose text has the least hash (null first), of equal texts any.
     """
-    groups = neardup.near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct()
-    own = docs.join(groups, "doc_id", "left_anti").select(COLUMNS)
-    twice = materialize(
-        own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"),
-        "repeated-ids",
-    )
+    judged = neardup.near_duplicates(docs, n=5).where("doc_id is not null")
+    odd = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).where("n > 1 or not kept")
+    odd = materialize(odd, "copies-and-repeated-ids")
+    # texts are shuffled only if very many ids are copies or repeated, and then once
+    single = docs.join(neardup.few(odd.select("doc_id")), "doc_id", "left_anti").select(COLUMNS)
+    twice = docs.join(neardup.few(odd.where("kept").select("doc_id")), "doc_id", "left_semi").select(COLUMNS)
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.when(F.col("text").isNotNull(), F.xxhash64("text")).asc_nulls_first()))
-    once = own.join(twice, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").select(COLUMNS)
-    return own.join(twice, "doc_id", "left_anti").select(COLUMNS).unionByName(once)
+    return single.unionByName(twice.withColumn("__nth", first).where("__nth = 1").select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
