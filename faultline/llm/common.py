@@ -52,14 +52,19 @@ def delete(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, label: str, within: Tables | bool | None = True) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps survive a lost executor and never recompute it."""
+def store(df: DataFrame, label: str, within: Tables | bool | None = True) -> str:
+    """Write df to a new folder of the shared one, and give its path."""
     path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     block = (Tables.open[-1] if Tables.open else None) if within is True else within
     if block:
         block.paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str, within: Tables | bool | None = True) -> DataFrame:
+    """Write df once to the shared folder and read it back: later steps survive a lost executor and never recompute it."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label, within))
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:

@@ -12,13 +12,11 @@ are cut alike. A null text stays null. Columns of documents other than text stay
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Tables, drop_tables, materialize
+from .common import WORD, Tables, drop_tables, materialize, store
 
 LEAST = 2
 _PLACE = ["doc_id", "print", "nth"]
@@ -37,9 +35,9 @@ def _same_place(doc_id: str, mark: str, nth: Column) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("print") == F.col(mark)) & (F.col("nth") == nth)
 
 
-def _at(ranks: DataFrame, tag: str) -> DataFrame:
+def _at(ranks: DataFrame, tag: str, *more: str) -> DataFrame:
     """Ranks by place, with names of their own for a join."""
-    return ranks.select(*(F.col(c).alias(c + tag) for c in (*_PLACE, "rank")))
+    return ranks.select(*(F.col(c).alias(c + tag) for c in (*_PLACE, "rank", *more)))
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -81,32 +79,41 @@ class Suffixes:
         # neighbouring lines make an island; its end is that of its suffixes
         island = F.col("nth") - F.row_number().over(W.partitionBy("doc_id", "print").orderBy("nth"))
         own = own.withColumn("island", island).withColumn("left", F.max("nth").over(W.partitionBy("doc_id", "print", "island")) - F.col("nth") + 1)
-        active = materialize(own.select(*_PLACE, "line", "left", "rank", F.lit(None).cast("int").alias("k")), "suffixes-0")
-        self.levels, done = [active.select(*_PLACE, "line", "rank")], []
-        k = 0
+        first = own.select(
+            *(*_PLACE, "line", "left", "rank"),
+            F.lit(None).cast("int").alias("k"),
+            F.lit(2).cast("long").alias("n"),
+            F.lit(1).alias("depth"),
+            F.lit(0).alias("level"),
+        )
+        read = lambda paths: spark.read.schema(first.schema).parquet(*paths)
+        # depth and level are data, and earlier tables one scan, so that all rounds have the same plan and compiled code
+        ends = (F.col("n") == 1) | (F.col("left") < F.col("depth"))
+        paths, self.levels = [store(first, "suffixes")], []
         while True:
-            width = 1 << k
-            every = reduce(DataFrame.unionByName, [*done, active])
-            joined = active.join(_at(every, "_2"), _same_place("doc_id_2", "print_2", F.col("nth_2") - width), "left")
+            last = read(paths[-1:])
+            active = last.where(~ends)
+            if active.isEmpty():
+                break
+            self.levels.append(active.select(*_PLACE, "line", "rank", "depth"))
+            every = last.unionByName(read(paths[:-1] or paths).where(ends))
+            joined = active.join(_at(every, "_2"), _same_place("doc_id_2", "print_2", F.col("nth_2") - F.col("depth")), "left")
             both = materialize(
-                joined.select(*_PLACE, "line", "left", "k", F.col("rank").alias("a"), F.coalesce("rank_2", F.lit(-1)).alias("b")),
+                joined.select(*_PLACE, "line", "left", "k", "depth", "level", F.col("rank").alias("a"), F.coalesce("rank_2", F.lit(-1)).alias("b")),
                 "pairs",
             )
             counted = _ranked(both.groupBy("a", "b").agg(F.count("*").alias("n")))
-            born = F.when(F.col("next") > F.col("a"), F.lit(k)).otherwise(F.col("k")).alias("k")
-            now = materialize(
-                both.join(counted, ["a", "b"]).select(*_PLACE, "line", "left", F.col("next").alias("rank"), born, "n"),
-                f"suffixes-{k + 1}",
+            now = both.join(counted, ["a", "b"]).select(
+                *(*_PLACE, "line", "left"),
+                F.col("next").alias("rank"),
+                F.when(F.col("next") > F.col("a"), F.col("level")).otherwise(F.col("k")).alias("k"),
+                "n",
+                (F.col("depth") * 2).alias("depth"),
+                (F.col("level") + 1).alias("level"),
             )
-            ends = (F.col("n") == 1) | (F.col("left") < 2 * width)
-            done.append(now.where(ends).drop("n"))
+            paths.append(store(now, "suffixes"))
             drop_tables(spark, both)
-            active = now.where(~ends).drop("n")
-            if active.isEmpty():
-                break
-            self.levels.append(active.select(*_PLACE, "line", "rank"))
-            k += 1
-        self.final = reduce(DataFrame.unionByName, done)
+        self.final = read(paths).where(ends).select(*_PLACE, "line", "left", "rank", "k")
 
     def common(self) -> DataFrame:
         """rank, n, and lcp, the lines that a suffix of this rank has in common with one of the rank before."""
@@ -123,13 +130,13 @@ class Suffixes:
             entered = pairs.where(F.col("k") == k + 1)
             now = entered if now is None else now.unionByName(entered)
             for side in "xy":
-                level = _at(self.levels[k], "_" + side)
+                level = _at(self.levels[k], "_" + side, "depth")
                 here = F.col(f"{side}.doc_id").eqNullSafe(F.col(f"doc_id_{side}")) & (F.col(f"{side}.print") == F.col(f"print_{side}")) & (
                     F.col(f"{side}.nth") + F.col("lcp") == F.col(f"nth_{side}")
                 )
                 now = now.join(level, here, "left").drop(*(f"{c}_{side}" for c in _PLACE))
-            longer = F.when(F.col("rank_x") == F.col("rank_y"), F.lit(1 << k)).otherwise(0)
-            now = now.withColumn("lcp", F.col("lcp") + longer).drop("rank_x", "rank_y")
+            longer = F.when(F.col("rank_x") == F.col("rank_y"), F.col("depth_x")).otherwise(0)
+            now = now.withColumn("lcp", F.col("lcp") + longer).drop("rank_x", "rank_y", "depth_x", "depth_y")
             now = now if k % 3 else materialize(now, "neighbours")  # stored now and then, as plans grow
         rest = pairs.where("k is null or k = 0")
         return (rest if now is None else rest.unionByName(now)).select("rank", "n", "lcp")
