@@ -255,3 +255,20 @@ def test_answer_of_a_model():
     assert found["root_cause"] == "cart" and found["explanation"] == "it failed first."
     assert [(r["service"], r["confidence"]) for r in found["ranking"]] == [("cart", "HIGH"), ("pay-ment", "LOW")]
     assert R.parse_ranking("no idea") == {"ranking": [], "root_cause": "", "explanation": ""}
+
+
+def test_flow_connections_like_all_pairs(spark, monkeypatch):
+    """Equal times, equal rows and rows without a method, by short stretches; few rows in, so before all pairs came from one task."""
+    monkeypatch.setattr(FL, "STRETCH", 4)
+    monkeypatch.setattr(FL, "SHARES", 3)
+    rng = random.Random(8)
+    names = ["a::f", "a::g", "b::f", "b::h"]
+    calls = [(rng.randrange(3), k, float(rng.randrange(20)), rng.choice(names)) for k in range(80)]
+    calls += calls[:5] + [(1, 90, 3.0, None), (None, 91, 3.0, "a::f"), (0, 92, None, "a::f"), (0, 93, float("nan"), "a::g")]
+    edges = [("a::f", "a::g", "CALL"), ("a::f", "b::f", "CALL"), ("b::f", "a::f", "CALL"), ("a::g", "a::g", "CALL"), ("b::h", "a::f", "RETURN")]
+    linked = {p for c, d, kind in edges if kind == "CALL" for p in ((c, d), (d, c))}
+    key = lambda r: (r[2] is not None, r[2] != r[2], r[2] if r[2] is not None and r[2] == r[2] else 0.0, r[1])
+    wanted = sorted((a[0], a[1], b[1], a[3][0] != b[3][0]) for a in calls for b in calls if a[0] is not None and a[0] == b[0] and (a[3], b[3]) in linked and key(a) < key(b))
+    got = FL.flow_connections(spark.createDataFrame(calls, "flow long, row_id long, timestamp double, qualified_name string"), spark.createDataFrame(edges, "caller string, callee string, kind string"))
+    assert sorted(tuple(r) for r in got.collect()) == wanted and wanted
+    assert got.rdd.getNumPartitions() >= FL.TASKS * spark.sparkContext.defaultParallelism
