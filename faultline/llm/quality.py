@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, let, materialize, words
+from .neardup import few
 
-#: Hash buckets of the multinomials; at most so many trusted documents (those of least hashed id) define the target.
-BUCKETS, TRUSTED = 1 << 16, 200_000
+#: Hash buckets of the multinomials.
+BUCKETS = 1 << 16
 #: The target is smoothed by so many words for each of its own that are distributed like the raw corpus: at every size, ratios are log(PRIOR / (1 + PRIOR)) at least.
 PRIOR = 0.1
 #: A document is kept if its mean log-ratio is not below that which this share of trusted documents stays below when left out
@@ -77,20 +78,17 @@ def repeated(h: Column) -> Column:
     return F.when(F.size(h) > GRAM, let(grams, inside)).otherwise(0).cast("long")
 
 
-def trusted(labels: DataFrame, most: int) -> DataFrame:
-    """t: ids of trusted documents, those of least hashed id."""
-    return labels.where(
-        "quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null"
-    ).select(F.col("doc_id").cast("long").alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(most)
+def trusted(labels: DataFrame) -> DataFrame:
+    """t: ids of all trusted documents."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("t")).distinct()
 
 
 def counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, raw and target, how often all documents and the trusted ones have it, and the sums all_raw and all_target. Each task adds up its own."""
-    good = trusted(labels, TRUSTED)
     flagged = documents.select(
         F.col("doc_id").cast("long").alias("d"),
         F.col("text").cast("string").alias("text"),
-    ).join(F.broadcast(good), F.col("d") == F.col("t"), "left")
+    ).join(few(trusted(labels)), F.col("d") == F.col("t"), "left")
     each = flagged.select(F.col("t").isNotNull().alias("trusted"), F.explode(let(hashed(F.col("text")), buckets)).alias("bucket"))
     counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
     every = documents.sparkSession.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").na.fill(0)
@@ -119,7 +117,7 @@ def threshold(documents: DataFrame, labels: DataFrame, every: DataFrame) -> Data
     # stored, as the filter would be pushed below the join and work out all documents' words
     own = materialize(
         documents.select(F.col("doc_id").cast("long").alias("d"), text.alias("text")).join(
-            F.broadcast(trusted(labels, HELD)),
+            F.broadcast(trusted(labels).orderBy(F.xxhash64("t"), "t").limit(HELD)),
             F.col("d") == F.col("t"),
         ),
         "held",

@@ -181,3 +181,9 @@ def test_stages_of_odd_rows(spark, folder, items):
 def test_items_without_documents(spark):
     found = decontaminate.decontaminated(documents(spark, [(None, GOOD, "a"), (None, "quite another text of ten words or so is this", "a")]), spark.createDataFrame([(1, GOOD)], "item_id long, text string"))
     assert [r.text[:5] for r in found.collect()] == ["quite"]
+
+
+def test_all_trusted_documents_define_the_target(spark):
+    docs = spark.range(200_300).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = quality.counts(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).select("all_raw", "all_target").first()
+    assert (got.all_raw, got.all_target) == (5 * 200_300, 5 * 200_300)
