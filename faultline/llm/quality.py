@@ -23,8 +23,8 @@ BUCKETS = 1 << 16
 #: The target is smoothed by so many words for each of its own that are distributed like the raw corpus: at every size, ratios are log(PRIOR / (1 + PRIOR)) at least.
 PRIOR = 0.1
 #: A document is kept if its mean log-ratio is not below that which this share of trusted documents stays below when left out
-#: of the target; so many trusted documents (those of least hashed id) are left out in turn.
-LOST, HELD = 0.01, 4096
+#: of the target. Each trusted document is left out in turn.
+LOST = 0.01
 FEWEST, MOST_REPEATED, GRAM = 10, 20, 5
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -112,27 +112,41 @@ def ratios(every: DataFrame) -> DataFrame:
 
 def threshold(documents: DataFrame, labels: DataFrame, every: DataFrame) -> DataFrame:
     """One row: `least`, the mean log-ratio that a share LOST of trusted documents stays below when the target is without
-    their own words; null for fewer than two. Rows that share a doc_id and a text are one document here."""
+    their own words; null for fewer than two. Rows that share a doc_id and a text are one document here, whose words are left
+    out as often as it has rows. Each document is scored from its own row: no text or word is shuffled."""
     text = F.col("text").cast("string")
-    # stored, as the filter would be pushed below the join and work out all documents' words
-    own = materialize(
-        documents.select(F.col("doc_id").cast("long").alias("d"), text.alias("text")).join(
-            F.broadcast(trusted(labels).orderBy(F.xxhash64("t"), "t").limit(HELD)),
-            F.col("d") == F.col("t"),
-        ),
-        "held",
+    own = documents.select(F.col("doc_id").cast("long").alias("d"), text.alias("text"), F.xxhash64(text).alias("print")).join(
+        few(trusted(labels)),
+        F.col("d") == F.col("t"),
+        "left_semi",
     )
-    found = let(hashed(F.col("text")), lambda h: F.struct(failed(F.size(h), repeated(h)).alias("failed"), buckets(h).alias("buckets")))
-    each = own.select(
-        "d",
-        F.xxhash64("text").alias("print"),
-        found.alias("x"),
-    ).where("not x.failed").select("d", "print", F.explode("x.buckets").alias("bucket"))
-    each = each.groupBy("d", "print", "bucket").agg(F.count("*").alias("n")).join(F.broadcast(every), "bucket")
-    share, prior = F.col("raw") / F.col("all_raw"), PRIOR * F.col("all_target")
-    one = F.sum(F.col("n") * F.log((F.col("target") - F.col("n") + prior * share) / share)) / F.sum("n")
-    scores = each.groupBy("d", "print").agg((one - F.log(F.first("all_target") - F.sum("n") + F.first(prior))).alias("score"))
-    return scores.agg(F.when(F.count("*") > 1, F.percentile("score", F.lit(LOST))).alias("least"))
+    again = materialize(own.groupBy("d", "print").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
+    # of each bucket how often trusted documents have it, and one over its share of all
+    spread = F.when(F.col("raw") > 0, F.col("all_raw") / F.col("raw")).otherwise(0.0)
+    whole = every.select("all_target", F.struct("bucket", F.col("target").cast("double").alias("target"), spread.alias("spread")).alias("x"))
+    whole = whole.agg(F.first("all_target").alias("all_target"), F.array_sort(F.collect_list("x")).alias("x"))
+    whole = materialize(whole.select("all_target", F.col("x.target").alias("target"), F.col("x.spread").alias("spread")), "left-out")
+    own = own.join(few(again), ["d", "print"], "left").select("d", "print", "text", F.coalesce("rows", F.lit(1)).alias("rows"))
+    own = own.withColumns({f"__{c}": whole.select(c).scalar() for c in whole.columns})
+    prior = PRIOR * F.col("__all_target")
+
+    def of_run(bucket: Column, n: Column) -> Column:
+        left = F.element_at(F.col("__target"), bucket + 1) - n * F.col("rows")
+        return n * F.log(left * F.element_at(F.col("__spread"), bucket + 1) + prior)
+
+    def mean(b: Column) -> Column:
+        # b is sorted: of each run of a bucket, how far it goes
+        ends = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.coalesce(F.get(b, i) != F.get(b, i - 1), F.lit(True)))
+        runs = let(ends, lambda e: F.transform(e, lambda x, i: of_run(F.get(b, x - 1), x - F.coalesce(F.get(e, i - 1), F.lit(0)))))
+        total = F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + x)
+        return total / F.size(b) - F.log(F.col("__all_target") - F.size(b) * F.col("rows") + prior)
+
+    # not a filter: it would be pushed below the join and work out all documents' words
+    score = let(hashed(F.col("text")), lambda h: F.when(~failed(F.size(h), repeated(h)), let(F.sort_array(buckets(h)), mean)))
+    scores = own.select("d", "print", "rows", score.alias("score"))
+    # one of equal rows counts; those that have none like them need no comparison
+    scores = scores.where("rows = 1").select("score").unionByName(scores.where("rows > 1").dropDuplicates(["d", "print"]).select("score"))
+    return scores.agg(F.when(F.count("score") > 1, F.percentile("score", F.lit(LOST))).alias("least"))
 
 
 def failed(n_words: Column, n_repeat_words: Column) -> Column:

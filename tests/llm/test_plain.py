@@ -187,3 +187,25 @@ def test_all_trusted_documents_define_the_target(spark):
     docs = spark.range(200_300).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
     got = quality.counts(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).select("all_raw", "all_target").first()
     assert (got.all_raw, got.all_target) == (5 * 200_300, 5 * 200_300)
+
+
+def test_threshold_of_all_trusted_documents(spark):
+    """More trusted documents than were once left out in turn, some of them several rows."""
+    rng = random.Random(19)
+    texts = [(d, " ".join(f"v{int(rng.paretovariate(0.7)) % 997}" for _ in range(rng.randrange(8, 40)))) for d in range(5200)]
+    texts += texts[:9] + texts[:4] + [(3, "another text of the same number with ten words or more in it"), (5, None)]
+    good = {d for d, _ in texts if d % 40}
+    own = [(d, t, buckets(t)[0]) for d, t in texts]
+    raw, target = Counter(x for _, _, b in own for x in b), Counter(x for d, _, b in own if d in good for x in b)
+    all_raw, all_target, times = raw.total(), target.total(), Counter((d, t) for d, t, _ in own)
+    prior, held = quality.PRIOR * all_target, {}
+    for d, t, b in own:
+        n = len((t or "").split())
+        if d in good and n >= 10 and 100 * repeated_words(t) <= 20 * n:
+            less = {x: k * times[d, t] for x, k in Counter(b).items()}
+            held[d, t] = sum(math.log((target[x] - less[x] + prior * raw[x] / all_raw) / (raw[x] / all_raw)) for x in b) / len(b) - math.log(all_target - times[d, t] * len(b) + prior)
+    assert len(held) > 4096
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
+    got = quality.threshold(docs, labels, quality.counts(docs, labels)).first().least
+    assert got == pytest.approx(np.percentile(list(held.values()), 100 * quality.LOST), abs=1e-9)
