@@ -32,8 +32,10 @@ ERRORS = 6
 LIST, PIVOTS, JOINT, PAIRED, LOST = 24, 3, (6, 14), 64, 1e-7
 #: Up to so many ids are sent to all executors (some 20 MB) where only their rows are wanted; beyond, the join shuffles.
 FEW = 200_000
-#: Long lists that no joint values split are compared in blocks of so many members, by their DEEP smallest values.
-BLOCK, DEEP = 1024, 512
+#: What is apart is compared in blocks of so many members, by their DEEP smallest values: all with all once, as soon as it is
+#: WHOLE members at most, and before that list by list what no joint values split. Values that more than COMMON members
+#: of two blocks have are counted by matrix products, others by their members, CELLS at a time.
+BLOCK, DEEP, WHOLE, COMMON, CELLS = 1024, 512, 16_384, 64, 1 << 22
 
 SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -222,13 +224,14 @@ def _dealt(members: DataFrame, joint: int, times: int) -> DataFrame:
 
 
 def _star(long: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list's members (value, cid) with PIVOTS of them."""
+    """Pairs (a, b) of each list's members (value, cid, label) with PIVOTS of them, but none within a component (label)."""
     # the order of members is the same in all lists, so that lists of one group agree on pivots
-    pivots = long.groupBy("value").agg(*(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    out = long.join(materialize(pivots, "pivots"), "value").select(
-        "cid",
-        F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p"),
-    ).where("cid <> p")
+    pivots = long.groupBy("value").agg(*(F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    met = long.join(materialize(pivots, "pivots"), "value")
+    others = F.filter(F.array(*(f"p{k}" for k in range(PIVOTS))), lambda p: p["label"] != F.col("label"))
+    # lists of one group give a member the same pivots again and again: once is enough, and before they are made rows
+    met = met.select("cid", F.array_sort(F.array_distinct(F.transform(others, lambda p: p["cid"]))).alias("others")).where("size(others) > 0").distinct()
+    out = met.select("cid", F.explode("others").alias("p"))
     return out.select(F.greatest("cid", "p").alias("a"), F.least("cid", "p").alias("b"))
 
 
@@ -251,6 +254,9 @@ def _refined(long: DataFrame, links: DataFrame, documents: DataFrame, classes: D
         if apart.isEmpty():
             return labels
         label = materialize(apart.select("cid", "label").distinct(), "members")
+        if label.count() <= WHOLE:
+            apart = label.select(F.lit(0).cast("long").alias("value"), "cid", "label")
+            break
         members = materialize(classes.select("cid", "n_shingles", "sketch").join(few(label), "cid"), "members")
         lists = _dealt(members.select("cid", "sketch").repartition("cid"), joint, _often(t, joint))
         lists = materialize(lists.join(few(members.select("cid", "label", "n_shingles")), "cid"), "lists")
@@ -268,7 +274,7 @@ def _refined(long: DataFrame, links: DataFrame, documents: DataFrame, classes: D
         pairs = left.join(right, "value").where(
             (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
         )
-        more = lists.where(F.col("m") > PAIRED).select("value", "cid")
+        more = lists.where(F.col("m") > PAIRED).select("value", "cid", "label")
         pairs = materialize(pairs.select("a", "b").unionByName(_star(more)).distinct(), "pairs")
         found = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
         links = links.unionByName(found)
@@ -313,51 +319,76 @@ def _apart(member: DataFrame, documents: DataFrame, classes: DataFrame, n: int,
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         own = [np.asarray(x, np.int64).view(np.uint64) for x in frame["items"]]
         width, flat = np.array([len(x) for x in own]), np.concatenate(own)
-        vocabulary, count = np.unique(flat, return_counts=True)
-        vocabulary = vocabulary[count > 1]  # what one set alone has is in no intersection
-        place = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
-        known = vocabulary[place] == flat if len(vocabulary) else np.zeros(len(flat), bool)
+        # what one set alone has is in no intersection
+        vocabulary, place, count = np.unique(flat, return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(own)), width)
-        at = np.searchsorted(owner[known], np.arange(len(own) + 1))
-        place = place[known]
+        column = np.cumsum(count > COMMON) - 1
+        often, seldom = count[place] > COMMON, (count[place] > 1) & (count[place] <= COMMON)
+        n_often = int((count > COMMON).sum())
         block, label, ids, size = (frame[c].to_numpy().copy() for c in ("block", "label", "cid", "n"))
 
+        def spans(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return place[kept], np.searchsorted(owner[kept], np.arange(len(own) + 1))
+
+        (place_often, at_often), (place_seldom, at_seldom) = spans(often), spans(seldom)
+
         def grid(rows: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(rows), len(vocabulary)), np.float32)
+            out = np.zeros((len(rows), n_often), np.float32)
             for k, r in enumerate(rows):
-                out[k, place[at[r] : at[r + 1]]] = 1
+                out[k, column[place_often[at_often[r] : at_often[r + 1]]]] = 1
             return out
 
-        def pieces(b: int) -> list[np.ndarray]:
-            rows = np.flatnonzero(block == b)
-            return [rows[k : k + 128] for k in range(0, len(rows), 128)]
+        y = np.flatnonzero(block == j)
+        in_y = np.full(len(own), -1)
+        in_y[y] = np.arange(len(y))
+        # of each seldom value its members in y
+        mine = np.flatnonzero(seldom & (in_y[owner] >= 0))
+        mine = mine[np.argsort(place[mine], kind="stable")]
+        members, begin = in_y[owner[mine]], np.searchsorted(place[mine], np.arange(len(vocabulary) + 1))
+
+        def add_seldom(rows: np.ndarray, common: np.ndarray) -> None:
+            for k, r in enumerate(rows):
+                values = place_seldom[at_seldom[r] : at_seldom[r + 1]]
+                for at in range(0, len(values), CELLS // COMMON):
+                    part = values[at : at + CELLS // COMMON]
+                    n = begin[part + 1] - begin[part]
+                    where = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    common[k] += np.bincount(members[where], minlength=len(y))
 
         out = []
-        for x in pieces(i):
+
+        def keep(a: int, b: int) -> None:
+            out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+
+        tall = np.flatnonzero(block == i)
+        right = [(k, grid(y[k : k + 128])) for k in range(0, len(y), 128)]
+        for x in (tall[k : k + 128] for k in range(0, len(tall), 128)):
+            na, nb, wa, wb = size[x][:, None], size[y][None, :], width[x][:, None], width[y][None, :]
+            apart = (label[x][:, None] != label[y][None, :]) & (np.minimum(na, nb) >= t * np.maximum(na, nb))
+            if not apart.any():
+                continue
             left = grid(x)
-            for y in pieces(j):
-                if i == j and y[0] < x[0]:
-                    continue
-                na, nb, wa, wb = size[x][:, None], size[y][None, :], width[x][:, None], width[y][None, :]
-                apart = (label[x][:, None] != label[y][None, :]) & (np.minimum(na, nb) >= t * np.maximum(na, nb))
-                if not apart.any():
+            common = np.concatenate([left @ g.T for _, g in right], axis=1)
+            add_seldom(x, common)
+            whole = (na == wa) & (nb == wb)
+            seen = np.maximum(wa, wb)
+            links = apart & whole & (common * 100 >= round(t * 100) * (na + nb - common))
+            # one link joins two components; the next ones between them say nothing new
+            for p in np.flatnonzero(links.any(axis=1)):
+                a = x[p]
+                for q in np.flatnonzero(links[p] & (label[y] != label[a])):
+                    if label[a] != label[y[q]]:
+                        keep(a, y[q])
+                        label[label == label[y[q]]] = label[a]
+            maybe = apart & ~whole & (common >= _floor(t, seen) * seen) & (label[x][:, None] != label[y][None, :])
+            for p, q in zip(*np.nonzero(maybe), strict=True):
+                if i == j and y[q] < x[p]:
                     continue
-                common = left @ grid(y).T
-                whole = (na == wa) & (nb == wb)
-                seen = np.maximum(wa, wb)
-                links = apart & whole & (common * 100 >= round(t * 100) * (na + nb - common))
-                maybe = apart & ~whole & (common >= _floor(t, seen) * seen)
-                for p, q in zip(*np.nonzero(maybe), strict=True):
-                    a, b = own[x[p]], own[y[q]]
-                    union = np.union1d(a, b)[: max(len(a), len(b))]
-                    near = np.isin(a, b, assume_unique=True) & (a <= union[-1])
-                    maybe[p, q] = near.sum() / len(union) >= _floor(t, np.array(len(union)))
-                for p, q in zip(*np.nonzero(links | maybe), strict=True):
-                    a, b = x[p], y[q]
-                    if label[a] != label[b]:
-                        out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
-                        if links[p, q]:
-                            label[label == label[a]] = label[b]
+                a, b = own[x[p]], own[y[q]]
+                union = np.union1d(a, b)[: max(len(a), len(b))]
+                near = np.isin(a, b, assume_unique=True) & (a <= union[-1])
+                if near.sum() / len(union) >= _floor(t, np.array(len(union))):
+                    keep(x[p], y[q])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -404,7 +435,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
             "value",
         ).where("a > b").select("a", "b")
         long = lists.where(F.col("m") > LIST)
-        pairs = materialize(pairs.unionByName(_star(long)).distinct(), "pairs")
+        pairs = materialize(pairs.unionByName(_star(long.withColumn("label", F.col("cid")))).distinct(), "pairs")
         links = _linked(materialize(_close(pairs, classes, t), "close"), documents, classes, n, t)
         same = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp1", "fp2").join(
             classes.select("fp1", "fp2", "cid"),

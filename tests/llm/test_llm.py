@@ -114,6 +114,32 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     assert [r.component_id for r in got] == label
 
 
+@pytest.mark.parametrize(("whole", "block", "common", "deep"), [(0, 1024, 64, 512), (10**6, 16, 2, 512), (10**6, 16, 10**6, 20)])
+def test_near_duplicates_in_one_large_group(spark, monkeypatch, whole, block, common, deep):
+    """Copies with more or fewer words changed, some linked with few others only: by dealing, and all with all in small blocks."""
+    for name, value in (("LIST", 4), ("PAIRED", 4), ("PIVOTS", 1), ("WHOLE", whole), ("BLOCK", block), ("COMMON", common), ("DEEP", deep)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(23)
+    base = [f"b{k}" for k in range(40)]
+    docs = [" ".join(near(rng, base, rng.randrange(5))) for _ in range(110)]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (d.split() for d in docs)]
+    label = list(range(len(docs)))
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(len(docs)):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert 1 < len(set(label)) < len(docs)
+    got = neardup.near_duplicates(odd(spark, [(i, d, "s") for i, d in enumerate(docs)]), 4).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label
+
+
+def test_pivots_are_of_other_components(spark):
+    """A list of one component and one document apart: a pair for that one at most, however many pivots and lists there are."""
+    rows = [(v, c, 0 if c < 60 else c) for v in range(20) for c in range(61)]
+    got = neardup._star(spark.createDataFrame(rows, "value long, cid long, label long")).collect()
+    assert all(r.a == 60 for r in got) and len(got) <= 60
+
+
 def test_dealing_misses_next_to_no_link():
     for joint in neardup.JOINT:
         assert (1 - 0.8**joint) ** neardup._often(0.8, joint) <= neardup.LOST
