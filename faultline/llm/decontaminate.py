@@ -47,6 +47,22 @@ def _lcs(a: list[int], b: list[int]) -> int:
     return len(a) - (row & full).bit_count()
 
 
+def _sums(rows: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """For each line of `index` the sum of the rows that it names, from left to right; the last row is the one for none.
+
+    In pieces that the cache holds, column by column: reduceat adds so short rows some times slower.
+    """
+    out = np.empty((len(index), rows.shape[1]), rows.dtype)
+    held = np.empty((2048, rows.shape[1]), rows.dtype)
+    for at in range(0, len(index), len(held)):
+        part = index[at : at + len(held)]
+        own, buffer = out[at : at + len(part)], held[: len(part)]
+        np.take(rows, part[:, 0], axis=0, out=own, mode="clip")
+        for k in range(1, index.shape[1]):
+            own += np.take(rows, part[:, k], axis=0, out=buffer, mode="clip")
+    return out
+
+
 class Benchmark:
     """Passages as word hashes, their vocabulary, where each one's last sentence begins, and their pieces: (passage, first word, end)."""
 
@@ -178,14 +194,18 @@ class Index:
             return
         tried: set[tuple[int, int, int]] = set()
         text = np.repeat(np.arange(len(count)), blocks)
-        fine = np.add.reduceat(self.table[place], w.first[text] + (np.arange(len(text)) - base[text]) * finest, axis=0)
+        words = np.full(len(text) * finest, len(self.table) - 1, np.int64)
+        words[np.arange(w.first[0], w.first[-1]) + np.repeat(base[:-1] * finest - w.first[:-1], count)] = np.where(place < 0, len(self.table) - 1, place)
+        # the last row: beyond a text's end
+        fine = np.vstack([_sums(self.table, words.reshape(-1, finest)), np.zeros((1, self.table.shape[1]), np.float32)])
         for width, own, latent, reach in self.groups:
             step = width // 4
             blocks = -(-count // step)
             text = np.repeat(np.arange(len(count)), blocks)
             nth = np.arange(len(text)) - np.concatenate(([0], np.cumsum(blocks)))[text]
             start = w.first[text] + nth * step
-            sums = fine if step == finest else np.add.reduceat(fine, base[text] + nth * (step // finest), axis=0)
+            parts = (base[text] + nth * (step // finest))[:, None] + np.arange(step // finest)
+            sums = fine[:-1] if step == finest else _sums(fine, np.where(parts < base[text + 1][:, None], parts, len(fine) - 1))
             window = sums.copy()
             for k in range(1, 4):
                 if len(text) > k:

@@ -209,3 +209,15 @@ def test_threshold_of_all_trusted_documents(spark):
     labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
     got = quality.threshold(docs, labels, quality.counts(docs, labels)).first().least
     assert got == pytest.approx(np.percentile(list(held.values()), 100 * quality.LOST), abs=1e-9)
+
+
+def test_sums_of_words_from_left_to_right():
+    """Bit by bit what adding row by row gives, also over more lines than a piece has."""
+    rng = np.random.default_rng(3)
+    rows = np.vstack([rng.standard_normal((50, 7)), np.zeros((1, 7))]).astype(np.float32)
+    index = rng.integers(0, 51, (5000, 8))
+    wanted = rows[index[:, 0]]
+    for k in range(1, 8):
+        wanted = wanted + rows[index[:, k]]
+    assert np.array_equal(decontaminate._sums(rows, index), wanted)
+    assert decontaminate._sums(rows, index[:0]).shape == (0, 7)
