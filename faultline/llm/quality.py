@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, let, materialize, words
 from .neardup import few
 
-#: Hash buckets of the multinomials.
+#: Hash buckets of the multinomials, a power of two.
 BUCKETS = 1 << 16
 #: The target is smoothed by so many words for each of its own that are distributed like the raw corpus: at every size, ratios are log(PRIOR / (1 + PRIOR)) at least.
 PRIOR = 0.1
@@ -27,27 +27,32 @@ PRIOR = 0.1
 LOST = 0.01
 FEWEST, MOST_REPEATED, GRAM = 10, 20, 5
 _SYMBOLS = "#*$%&|<>"
-_BLANKS = " \t\n\x0b\x0c\r"
 _BIG = "cast(array() as array<bigint>)"
 
 
-def hashed(text: Column) -> Column:
-    """The hash of each word of a text."""
-    return F.transform(words(text), lambda x: F.xxhash64(x))
+def hashed(found: Column) -> Column:
+    """The hash of each of a text's words."""
+    return F.transform(found, lambda x: F.xxhash64(x))
 
 
-def buckets(h: Column) -> Column:
-    """The buckets of a text's words and of its pairs of neighbouring words, from the words' hashes."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-    two = F.when(
-        F.size(h) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(BUCKETS)).cast("int")),
-    )
-    return F.concat(one, F.coalesce(two, F.expr("cast(array() as array<int>)")))
+def paired(h: Column) -> Column:
+    """The hash of each pair of neighbouring words, from the words' hashes."""
+    # the last word has no next one, and what it gets is cut off
+    return F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))), 1, F.greatest(F.size(h) - 1, F.lit(0)))
+
+
+def both(text: Column, body) -> Column:
+    """body(w, h, p) of a text's words, their hashes and those of its pairs, each worked out once."""
+    return let(words(text), lambda w: let(hashed(w), lambda h: let(paired(h), lambda p: body(w, h, p))))
 
 
-def repeated(h: Column) -> Column:
-    """Words in GRAM-word windows that are found twice or more in the text, from the words' hashes."""
+def bucket(x: Column) -> Column:
+    """The bucket of a hash."""
+    return x.bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def repeated(h: Column, p: Column) -> Column:
+    """Words in GRAM-word windows that are found twice or more in the text, from the hashes of words and pairs."""
 
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(-GRAM).alias("last"), F.lit(0).alias("n"))
@@ -74,7 +79,8 @@ def repeated(h: Column) -> Column:
         found = let(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), twins)
         return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(found))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
+    # two pairs and the last word are a window; what begins too late for one is cut off
+    grams = F.slice(F.transform(p, lambda x, i: F.xxhash64(x, F.get(p, i + 2), F.get(h, i + 4))), 1, F.greatest(F.size(h) - GRAM + 1, F.lit(0)))
     return F.when(F.size(h) > GRAM, let(grams, inside)).otherwise(0).cast("long")
 
 
@@ -89,7 +95,9 @@ def counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("d"),
         F.col("text").cast("string").alias("text"),
     ).join(few(trusted(labels)), F.col("d") == F.col("t"), "left")
-    each = flagged.select(F.col("t").isNotNull().alias("trusted"), F.explode(let(hashed(F.col("text")), buckets)).alias("bucket"))
+    # a column of its own, as an explode of lambdas isn't compiled; outer, as else a filter is inferred that works it out a second time
+    each = flagged.select(F.col("t").isNotNull().alias("trusted"), both(F.col("text"), lambda w, h, p: F.concat(h, p)).alias("x"))
+    each = each.select("trusted", F.explode_outer("x").alias("x")).select("trusted", bucket(F.col("x")).cast("int").alias("bucket"))
     counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
     every = documents.sparkSession.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").na.fill(0)
     every = materialize(every, "buckets")
@@ -121,29 +129,35 @@ def threshold(documents: DataFrame, labels: DataFrame, every: DataFrame) -> Data
         "left_semi",
     )
     again = materialize(own.groupBy("d", "print").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
-    # of each bucket how often trusted documents have it, and one over its share of all
-    spread = F.when(F.col("raw") > 0, F.col("all_raw") / F.col("raw")).otherwise(0.0)
-    whole = every.select("all_target", F.struct("bucket", F.col("target").cast("double").alias("target"), spread.alias("spread")).alias("x"))
-    whole = whole.agg(F.first("all_target").alias("all_target"), F.array_sort(F.collect_list("x")).alias("x"))
-    whole = materialize(whole.select("all_target", F.col("x.target").alias("target"), F.col("x.spread").alias("spread")), "left-out")
+    # of each bucket how often trusted documents have it, one over its share of all, and the term of a document that has it once
+    prior = PRIOR * F.col("all_target")
+    each = every.select("bucket", "all_target", F.col("target").cast("double").alias("target"), F.when(F.col("raw") > 0, F.col("all_raw") / F.col("raw")).otherwise(0.0).alias("spread"))
+    each = each.withColumn("once", F.log(F.greatest(F.col("target") - 1, F.lit(0.0)) * F.col("spread") + prior))
+    whole = each.groupBy("all_target").agg(F.array_sort(F.collect_list(F.struct("bucket", "target", "spread", "once"))).alias("x"))
+    whole = whole.select((F.col("all_target") + prior).alias("all"), prior.alias("prior"), *(F.col(f"x.{c}").alias(c) for c in ("target", "spread", "once")))
+    whole = materialize(whole, "left-out")
     own = own.join(few(again), ["d", "print"], "left").select("d", "print", "text", F.coalesce("rows", F.lit(1)).alias("rows"))
-    own = own.withColumns({f"__{c}": whole.select(c).scalar() for c in whole.columns})
-    prior = PRIOR * F.col("__all_target")
-
-    def of_run(bucket: Column, n: Column) -> Column:
-        left = F.element_at(F.col("__target"), bucket + 1) - n * F.col("rows")
-        return n * F.log(left * F.element_at(F.col("__spread"), bucket + 1) + prior)
 
-    def mean(b: Column) -> Column:
-        # b is sorted: of each run of a bucket, how far it goes
-        ends = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.coalesce(F.get(b, i) != F.get(b, i - 1), F.lit(True)))
-        runs = let(ends, lambda e: F.transform(e, lambda x, i: of_run(F.get(b, x - 1), x - F.coalesce(F.get(e, i - 1), F.lit(0)))))
-        total = F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + x)
-        return total / F.size(b) - F.log(F.col("__all_target") - F.size(b) * F.col("rows") + prior)
+    def of_run(x: Column, n: Column) -> Column:
+        left = F.get(F.col("__target"), x) - n * F.col("rows")
+        several = n * F.log(left * F.get(F.col("__spread"), x) + F.col("__prior"))
+        return F.when((n == 1) & (F.col("rows") == 1), F.get(F.col("__once"), x)).otherwise(several)
 
     # not a filter: it would be pushed below the join and work out all documents' words
-    score = let(hashed(F.col("text")), lambda h: F.when(~failed(F.size(h), repeated(h)), let(F.sort_array(buckets(h)), mean)))
-    scores = own.select("d", "print", "rows", score.alias("score"))
+    own = own.withColumn("b", both(
+        F.col("text"),
+        lambda w, h, p: F.when(~failed(F.size(h), repeated(h, p)), F.transform(F.concat(h, p), bucket)),
+    )).drop("text")
+    # outside of lambdas sorting is compiled, and of numbers; of each run of a bucket, how far it goes
+    own = own.withColumn("b", F.sort_array("b"))
+    at = F.sequence(F.lit(1), F.size("b"))
+    ends = F.when(F.size("b") > 0, F.filter(at, lambda i: F.coalesce(F.get("b", i) != F.get("b", i - 1), F.lit(True))))
+    # each is used once below, so these columns never are: a row would get a copy of the whole tables
+    own = own.withColumns({"ends": ends, **{f"__{c}": whole.select(c).scalar() for c in whole.columns}})
+    begins = lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1))
+    runs = let(F.col("ends"), lambda e: F.zip_with(e, begins(e), lambda x, y: of_run(F.get("b", x - 1), x - y)))
+    mean = F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + x) / F.size("b") - F.log(F.col("__all") - F.size("b") * F.col("rows"))
+    scores = own.select("d", "print", "rows", mean.alias("score"))
     # one of equal rows counts; those that have none like them need no comparison
     scores = scores.where("rows = 1").select("score").unionByName(scores.where("rows > 1").dropDuplicates(["d", "print"]).select("score"))
     return scores.agg(F.when(F.count("score") > 1, F.percentile("score", F.lit(LOST))).alias("least"))
@@ -162,26 +176,26 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     least = materialize(threshold(documents, labels, every), "threshold")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def found(h: Column) -> Column:
-        b = buckets(h)
-        total = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.element_at(F.col("__table"), x + 1))
+    def found(w: Column, h: Column, p: Column) -> Column:
+        # the table is used once, so it never is a column, which would be copied for each row
+        total = F.aggregate(F.concat(h, p), F.lit(0.0), lambda acc, x: acc + F.get(F.col("__table"), bucket(x)))
         return F.struct(
             F.size(h).cast("long").alias("n_words"),
-            repeated(h).alias("n_repeat_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated(h, p).alias("n_repeat_words"),
             (total / F.greatest(F.lit(1), F.size(h) * 2 - 1)).alias("score"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    left_out = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     own = documents.withColumns({"__table": table.scalar(), "__least": least.scalar()})
     own = own.withColumns({
-        "__x": let(hashed(text), found),
-        "word_chars": (F.length(text) - left_out(_BLANKS)).cast("long"),
-        "n_symbols": left_out(_SYMBOLS).cast("long"),
+        "__x": both(text, found),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{_SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
     own = own.withColumns({
         "n_words": F.col("__x.n_words"),
+        "word_chars": F.col("__x.word_chars"),
         "n_repeat_words": F.col("__x.n_repeat_words"),
         "score": F.col("__x.score"),
     }).drop("__table", "__x")

@@ -211,6 +211,30 @@ def test_threshold_of_all_trusted_documents(spark):
     assert got == pytest.approx(np.percentile(list(held.values()), 100 * quality.LOST), abs=1e-9)
 
 
+def test_quality_has_no_table_of_buckets_in_a_row(spark):
+    """A column that holds a whole table is copied for each document."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+
+    def widths(plan):
+        children = plan.children()
+        own = [(plan.nodeName(), plan.output().apply(k).name()) for k in range(plan.output().size()) if plan.output().apply(k).dataType().simpleString() == "array<double>"]
+        return own + [x for k in range(children.size()) for x in widths(children.apply(k))]
+
+    for df in (quality.threshold(docs, labels, quality.counts(docs, labels)), quality.judge(docs, labels)):
+        assert widths(df._jdf.queryExecution().optimizedPlan()) == []
+
+
+def test_quality_counts_of_odd_texts(spark):
+    texts = [None, "", " \t\n", *(" ".join("abcdefgh"[:n]) for n in range(1, 9)), "x " * 5, "x " * 6, "\x0ba\x0c\U0001f600b\r\n\u00a0 |<>#\x85*$%&", "#" * 70_000, "a b c d e " * 2, "a b c d e f a b c d e", "a\nb\na\n\n \na"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(docs, spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")).collect()}
+    for d, t in enumerate(texts):
+        t = t or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(t)), t
+
+
 def test_sums_of_words_from_left_to_right():
     """Bit by bit what adding row by row gives, also over more lines than a piece has."""
     rng = np.random.default_rng(3)
