@@ -1,6 +1,7 @@
 """Operators on small inputs, against plain versions and stated rules."""
 
 import random
+import re
 
 import pytest
 
@@ -272,3 +273,18 @@ def test_flow_connections_like_all_pairs(spark, monkeypatch):
     got = FL.flow_connections(spark.createDataFrame(calls, "flow long, row_id long, timestamp double, qualified_name string"), spark.createDataFrame(edges, "caller string, callee string, kind string"))
     assert sorted(tuple(r) for r in got.collect()) == wanted and wanted
     assert got.rdd.getNumPartitions() >= FL.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_flow_connections_makes_pairs_last(spark, monkeypatch):
+    """Both loops that make pairs are compiled into the stage that counts them, and no array is filtered for each call; blocks in small pieces."""
+    monkeypatch.setattr(FL, "STRETCH", 16)
+    monkeypatch.setattr(FL, "PIECE", 5)
+    calls = [(k % 2, k, float(k // 3), "a::f" if k % 3 else "b::g") for k in range(120)]
+    got = FL.flow_connections(spark.createDataFrame(calls, "flow long, row_id long, timestamp double, qualified_name string"), spark.createDataFrame([("a::f", "b::g", "CALL"), ("a::f", "a::f", "CALL")], "caller string, callee string, kind string"))
+    wanted = sorted((a[0], a[1], b[1], a[3] != b[3]) for a in calls for b in calls if a[0] == b[0] and "a::f" in (a[3], b[3]) and a[1] < b[1])
+    assert sorted(tuple(r) for r in got.collect()) == wanted
+    counted = got.groupBy().count()
+    assert counted.collect()[0][0] == len(wanted)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    stage = re.search(r"\*\((\d+)\) HashAggregate\(keys=\[\], functions=\[partial_count", plan).group(1)
+    assert plan.count(f"*({stage}) Generate explode") == 2 and "filter(" not in plan
